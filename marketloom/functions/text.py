@@ -82,8 +82,12 @@ def blank_to_null(value: Column) -> Column:
     return F.nullif(F.trim(value), F.lit(""))
 
 
+# Unicode white space as one explicit class, so every regex engine agrees on it.
+WHITE_SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
 def normalize_concept(name: Column) -> Column:
-    return F.regexp_replace(F.trim(name), r"\s+", " ")
+    return F.trim(F.regexp_replace(name, WHITE_SPACE, " "))
 
 
 def split_concepts(raw: Column) -> Column:

@@ -31,14 +31,32 @@ def session_return(n: int, at: int = 0, digits: int | None = 4) -> Column:
     return value if digits is None else N.rounded(value, digits)
 
 
-def moving_average(column: str, n: int, at: int = 0, digits: int = 6) -> Column:
-    """Mean of the n rows ending ``at`` sessions ago; NULL while warming up or when a value is missing.
+def with_moving_averages(df: DataFrame, specs: list[tuple[str, int, int, str]], digits: int = 6) -> DataFrame:
+    """Adds means of ``n`` rows ending ``at`` sessions ago for (column, n, at, out); NULL while warming up or when a
+    value is missing.
 
-    The sum runs over scaled integers, so the sliding frame has no floating-point drift.
+    Each mean is a difference of two running totals, so the cost per row does not grow with n; the totals are scaled
+    integers, so the difference is exact.
     """
-    frame = by_day().rowsBetween(-(n - 1) - at, -at)
-    total = F.sum(N.scaled(F.col(column), digits)).over(frame)
-    return F.when(F.count(column).over(frame) == n, N.unscaled(total, digits) / n)
+    running = by_day().rowsBetween(W.unboundedPreceding, 0)
+    columns = sorted({c for c, _n, _at, _out in specs})
+    work = df.select(
+        "*",
+        *[F.sum(N.scaled(F.col(c), digits)).over(running).alias(f"_sum_{c}") for c in columns],
+        *[F.count(c).over(running).alias(f"_cnt_{c}") for c in columns],
+        F.row_number().over(by_day()).alias("_row"),
+    )
+
+    def ago(name: str, n: int) -> Column:
+        return F.col(name) if n == 0 else F.coalesce(F.lag(name, n).over(by_day()), F.lit(0))
+
+    means = []
+    for c, n, at, out in specs:
+        total = ago(f"_sum_{c}", at) - ago(f"_sum_{c}", at + n)
+        present = ago(f"_cnt_{c}", at) - ago(f"_cnt_{c}", at + n)
+        ready = (F.col("_row") >= n + at) & (present == n)
+        means.append(F.when(ready, N.unscaled(total, digits) / n).alias(out))
+    return work.select(*df.columns, *means)
 
 
 def highest(column: str, n: int) -> Column:
