@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marketloom import spec
 from marketloom.functions import numeric as N
 
 SYMBOL = ("market", "symbol")
@@ -63,20 +64,53 @@ def highest(column: str, n: int) -> Column:
     return F.max(column).over(by_day().rowsBetween(-(n - 1), 0))
 
 
-def self_percentile(column: str, n: int, full_frame: bool = True, digits: int = 2) -> Column:
-    """Share of the last n values strictly below the current one, in percent.
+def with_self_percentiles(df: DataFrame, names: dict[str, str], n: int, partial: dict[str, str] | None = None, digits: int = 2) -> DataFrame:
+    """Share of the last n values strictly below the current one, in percent, for {value column: output column}.
 
-    The frame is n doubles per row (n is a fixed small number), read with array functions inside the JVM.
+    ``names`` need a full frame of n rows; ``partial`` outputs use whatever history there is. One frame carries all
+    value columns as small structs (n is a fixed small number) and is read with array functions inside the JVM.
     """
-    w = by_day().rowsBetween(-(n - 1), 0)
-    current = F.col(column)
-    values = F.collect_list(column).over(w)
-    below = F.size(F.filter(values, lambda v: v < current))
-    pct = N.rounded(below / F.size(values) * 100.0, digits)
-    ready = current.isNotNull()
-    if full_frame:
-        ready = ready & (F.row_number().over(by_day()) >= n)
-    return F.when(ready, pct)
+    columns = sorted({*names, *(partial or {})})
+    frame = F.collect_list(F.struct(*columns)).over(by_day().rowsBetween(-(n - 1), 0))
+    work = df.select("*", frame.alias("_frame"), F.row_number().over(by_day()).alias("_row"))
+
+    def pct(c: str) -> Column:
+        below = F.size(F.filter("_frame", lambda v: v[c] < F.col(c)))
+        present = F.size(F.filter("_frame", lambda v: v[c].isNotNull()))
+        return N.rounded(below / present * 100.0, digits)
+
+    full = [F.when(F.col(c).isNotNull() & (F.col("_row") >= n), pct(c)).alias(out) for c, out in names.items()]
+    short = [F.when(F.col(c).isNotNull(), pct(c)).alias(out) for c, out in (partial or {}).items()]
+    return work.select(*df.columns, *full, *short)
+
+
+def with_recent_limit_up(df: DataFrame, n: int, limit_pct: float = spec.LIMIT_UP_PCT) -> DataFrame:
+    """Did any of the last n sessions close at least ``limit_pct`` above the one before?"""
+    rows = df.withColumn("_ret", N.return_pct(F.col("close"), lagged("close", 1)))
+    hit = F.max("_ret").over(by_day().rowsBetween(-(n - 1), 0)) >= limit_pct
+    return rows.withColumn("recent_limit_up", F.coalesce(hit, F.lit(False))).drop("_ret")
+
+
+def latest_snapshot(bars: DataFrame) -> DataFrame:
+    """Last session per symbol: close, the close before, volume, the mean of up to five earlier non-zero volumes and
+    the mean volume of the last five sessions."""
+    recent = tail(bars.select(*SYMBOL, "trading_day", "open", "high", "low", "close", "volume", "amount"), 6)
+    earlier = by_day().rowsBetween(-5, -1)
+    nonzero = F.when(F.col("volume") != 0, F.col("volume"))
+    last5 = by_day().rowsBetween(-4, 0)
+    rows = recent.select(
+        *SYMBOL, "trading_day", "open", "high", "low", F.col("close").alias("latest_close"), lagged("close", 1).alias("previous_close"),
+        F.col("volume").alias("latest_volume"), F.col("amount").alias("latest_amount"),
+        (F.sum(nonzero).over(earlier) / F.nullif(F.count(nonzero).over(earlier), F.lit(0))).alias("avg_volume_5"),
+        (F.sum("volume").over(last5) / F.count("volume").over(last5)).alias("avg_volume_last_5"),
+    )
+    return latest(rows)
+
+
+def with_listed_days(bars: DataFrame) -> DataFrame:
+    return bars.select(
+        "*", F.row_number().over(by_day()).cast("bigint").alias("listed_days"),
+        F.count(F.lit(1)).over(W.partitionBy(*SYMBOL)).alias("total_days"))
 
 
 def tail(df: DataFrame, n: int) -> DataFrame:

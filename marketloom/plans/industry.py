@@ -82,10 +82,10 @@ def _index_order() -> W:
 
 
 def index_levels(cells: DataFrame, start: float = 100.0) -> DataFrame:
-    """Compounded index level without per-step rounding."""
+    """Compounded index level without per-step rounding, and its logarithm, which cannot overflow."""
     growth = F.log1p(F.coalesce(F.col("pct_change"), F.lit(0.0)) / 100.0)
-    level = F.exp(F.sum(growth).over(_index_order().rowsBetween(W.unboundedPreceding, 0))) * start
-    return cells.select("*", level.alias("level"))
+    total = F.sum(growth).over(_index_order().rowsBetween(W.unboundedPreceding, 0))
+    return cells.select("*", total.alias("log_growth")).withColumn("level", F.exp("log_growth") * start)
 
 
 def synthetic_index(cells: DataFrame, start: float = 100.0) -> DataFrame:

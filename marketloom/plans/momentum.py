@@ -164,11 +164,10 @@ def self_rps_history(bars: DataFrame, windows=spec.RPS_WINDOWS, frame: int = spe
     rows = bars.select("market", "symbol", "trading_day", "close")
     rows = rows.select(
         "*", *[N.rolling_return_pct(F.col("close"), L.lagged("close", n)).alias(f"raw_{n}") for n in windows])
+    rows = L.with_self_percentiles(rows, {f"raw_{n}": f"rps_{n}" for n in windows}, frame)
     return rows.select(
-        "market", "symbol", "trading_day",
-        *[L.self_percentile(f"raw_{n}", frame).alias(f"rps_{n}") for n in windows],
-        *[N.rounded(F.col(f"raw_{n}"), 4).alias(f"return_{n}_pct") for n in windows],
-    )
+        "market", "symbol", "trading_day", *[f"rps_{n}" for n in windows],
+        *[N.rounded(F.col(f"raw_{n}"), 4).alias(f"return_{n}_pct") for n in windows])
 
 
 def search_rankings(rps: DataFrame, securities: DataFrame, query: str = "", window: int = 20, limit: int = 20) -> DataFrame:
