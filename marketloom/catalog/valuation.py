@@ -12,6 +12,7 @@ from marketloom.functions import periods as P
 from marketloom.operators import asof
 from marketloom.plans import statements as X
 from marketloom.plans import valuation as V
+from marketloom.session import settle
 from marketloom.sources import tables as S
 
 col = F.col
@@ -100,7 +101,8 @@ add_view("val_members", f"SELECT *, CASE WHEN is_new_listing THEN '次新股' EL
 
 
 def inputs(spark, d):
-    return V.current_inputs(S.statements(spark, d), S.bars(spark, d), S.region_industry(spark, d))
+    """One row per stock; every later step reads it, so it is settled once."""
+    return settle(V.current_inputs(S.statements(spark, d), S.bars(spark, d), S.region_industry(spark, d)))
 
 
 def history(spark, d):
@@ -108,12 +110,18 @@ def history(spark, d):
 
 
 def classified(spark, d):
-    rows = inputs(spark, d)
+    return classified_from(inputs(spark, d))
+
+
+def classified_from(rows):
     return V.classified_members(rows, V.industry_snapshot(rows, ["industry_level_2_name"]))
 
 
 def members(spark, d):
-    rows = classified(spark, d)
+    return members_from(classified(spark, d))
+
+
+def members_from(rows):
     return V.member_rows(rows, V.percentile_samples(rows))
 
 
@@ -236,8 +244,9 @@ CASE WHEN classification = 'B_THIN_PROFIT_DISTORTED' THEN 'PE invalid, fallback
 concat_ws('|', CASE WHEN is_new_listing THEN '上市未满60个交易日' END, CASE WHEN primary_percentile > 80 THEN '80%以上分位风险非线性上升' END,
 CASE WHEN temperature_label IN ('行业偏热', '行业过热') THEN '行业环境偏热/过热' END) AS risk_flags FROM val_status""")
 def val_07(spark, d):
-    snap = V.with_temperature(V.industry_snapshot(inputs(spark, d), ["industry_level_2_name"]), history(spark, d))
-    return V.relative_valuation(members(spark, d), snap).select(*VERDICT)
+    rows = inputs(spark, d)
+    snap = V.with_temperature(V.industry_snapshot(rows, ["industry_level_2_name"]), history(spark, d))
+    return V.relative_valuation(members_from(classified_from(rows)), snap).select(*VERDICT)
 
 
 add_view("val_peer_probe", """SELECT c.market, c.symbol, industry_level_2_name, k.sample_key, CASE WHEN starts_with(k.sample_key, 'pe_ttm') THEN CASE WHEN pe_ttm > 0 THEN pe_ttm END ELSE CASE WHEN ps_ttm > 0 THEN ps_ttm END END AS value

@@ -55,3 +55,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, never reused path below the shared folder."""
     return f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df):
+    """Materialise a small, expensive table that several branches of a plan read (one row per security or industry).
+
+    A reliable checkpoint: the files live in the shared folder, so branches neither recompute it nor depend on an
+    executor that may be lost.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
