@@ -253,8 +253,11 @@ add_view("val_peer_probe", """SELECT c.market, c.symbol, industry_level_2_name,
   FROM val_classified c JOIN (SELECT DISTINCT industry_level_2_name, sample_key FROM val_samples) k USING (industry_level_2_name)""")
 
 
-@query("val_08_peer_percentiles", f"SELECT market, symbol, industry_level_2_name, sample_key, value, valuation_percentile, coalesce({sql_band('valuation_percentile', spec.PERCENTILE_BANDS)}, '估值不可比') AS valuation_band FROM ("
-       + sql_percentile("val_peer_probe", "val_samples", ["industry_level_2_name", "sample_key"], "value", "sample_value", "valuation_percentile") + ")")
+add_view("peer_rows", f"SELECT market, symbol, industry_level_2_name, sample_key, value, valuation_percentile, coalesce({sql_band('valuation_percentile', spec.PERCENTILE_BANDS)}, '估值不可比') AS valuation_band FROM ("
+         + sql_percentile("val_peer_probe", "val_samples", ["industry_level_2_name", "sample_key"], "value", "sample_value", "valuation_percentile") + ")")
+
+
+@query("val_08_peer_percentiles", "SELECT * FROM peer_rows")
 def val_08(spark, d):
     rows = classified(spark, d)
     out = V.peer_percentiles(rows, V.percentile_samples(rows))
