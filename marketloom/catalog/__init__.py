@@ -27,5 +27,5 @@ def query(key: str, sql: str | None = None):
 
 
 def load() -> None:
-    from marketloom.catalog import aggregates, concepts, filters, frames, functions, jobs  # noqa: F401
-    from marketloom.catalog import joins, momentum, scores, screeners, sorting, sources, streams, valuation  # noqa: F401
+    from marketloom.catalog import aggregates, filters, frames, functions, jobs, joins, momentum  # noqa: F401
+    from marketloom.catalog import scores, screeners, sorting, sources, streams, valuation  # noqa: F401

@@ -10,19 +10,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Lookups instead of CASE chains: each input column appears once, so stacked period expressions stay small after the
+# optimizer has merged projections.
+QUARTER_SUFFIX = ("Q1", "Q2", "Q3", "A")
+MONTH_SUFFIX = ("A", "A", "Q1", "Q1", "Q1", "Q2", "Q2", "Q2", "Q3", "Q3", "Q3", "A")
+
+
+def _pick(table: tuple[str, ...], position: Column) -> Column:
+    return F.try_element_at(F.array(*[F.lit(x) for x in table]), position)
+
+
 def period_label(year: Column, quarter: Column) -> Column:
-    return F.concat(year.cast("string"), F.when(quarter == 4, "A").otherwise(F.concat(F.lit("Q"), quarter.cast("string"))))
+    return F.concat(year.cast("string"), _pick(QUARTER_SUFFIX, quarter.cast("int")))
 
 
 def period_from_yyyymmdd(value: Column) -> Column:
     """Quarter-end months name their quarter; any other month falls into the last finished quarter."""
-    year, month = F.floor(value / 10000).cast("int"), (F.floor(value / 100) % 100).cast("int")
-    done = F.floor((month - 1) / 3).cast("int")
-    quarter = (
-        F.when(month == 3, 1).when(month == 6, 2).when(month == 9, 3).when(month == 12, 4)
-        .when(done.between(1, 3), done)
-    )
-    return F.when(quarter.isNull(), F.concat(year.cast("string"), F.lit("A"))).otherwise(period_label(year, quarter))
+    month = F.floor(value / 100) % 100
+    return F.concat(F.floor(value / 10000).cast("string"), _pick(MONTH_SUFFIX, month.cast("int")))
 
 
 def strict_period_label(text: Column) -> Column:
@@ -35,12 +40,11 @@ def strict_period_label(text: Column) -> Column:
 
 
 def period_year(period: Column) -> Column:
-    return F.substring(period, 1, 4).cast("int")
+    return F.substring(period, 1, 4).try_cast("int")
 
 
 def period_quarter(period: Column) -> Column:
-    tail = F.substring(period, 5, 2)
-    return F.when(tail == "A", 4).when(tail == "Q1", 1).when(tail == "Q2", 2).when(tail == "Q3", 3)
+    return F.translate(F.right(period, F.lit(1)), "A", "4").try_cast("int")
 
 
 def period_ord(period: Column) -> Column:
@@ -56,9 +60,8 @@ def period_from_idx(idx: Column) -> Column:
 
 
 def period_end_yyyymmdd(period: Column) -> Column:
-    q = period_quarter(period)
-    tail = F.when(q == 1, 331).when(q == 2, 630).when(q == 3, 930).otherwise(1231)
-    return period_year(period) * 10000 + tail
+    ends = F.array(*[F.lit(x) for x in (331, 630, 930, 1231)])
+    return period_year(period) * 10000 + F.coalesce(F.try_element_at(ends, period_quarter(period)), F.lit(1231))
 
 
 def period_end_day(period: Column) -> Column:
