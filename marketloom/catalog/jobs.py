@@ -42,14 +42,15 @@ def packages(spark, d):
     again = s.withColumn("next_date", nxt).where(col("next_date").isNotNull() & (col("code").cast("bigint") % 3 == 0))
     name = lambda c: F.concat(F.lit("gpcw"), col(c).cast("string")).alias("package")
     first = s.select("code", "report_date", "announce_date", "revenue", name("report_date"))
-    return first.unionByName(again.select("code", "report_date", (col("announce_date") + 1).alias("announce_date"), (col("revenue") * 2).alias("revenue"), name("next_date")))
+    # Packages are stored files in practice: settled once, then read by each step.
+    return settle(first.unionByName(again.select("code", "report_date", (col("announce_date") + 1).alias("announce_date"), (col("revenue") * 2).alias("revenue"), name("next_date"))))
 
 
-def old_warehouse(spark, d):
+def old_warehouse(delivered):
     """What was stored at the end of 2000; every fifth code lags two periods behind."""
     from marketloom.functions import periods as P
 
-    w = H.build(packages(spark, d))
+    w = H.build(delivered)
     o = P.period_ord(col("period"))
     return w.where((o <= 20004) & ~((col("code").cast("bigint") % 5 == 0) & (o > 20002)))
 
@@ -64,22 +65,24 @@ def whs_01(spark, d):
 
 @query("whs_02_detect_updates", f"SELECT {COLS} FROM updates")
 def whs_02(spark, d):
-    return H.detect_updates(packages(spark, d), H.meta(old_warehouse(spark, d))).select(*PACKAGE)
+    delivered = packages(spark, d)
+    return H.detect_updates(delivered, H.meta(old_warehouse(delivered))).select(*PACKAGE)
 
 
 @query("whs_03_upsert_periods", f"SELECT {COLS} FROM old_warehouse WHERE (code, period) NOT IN (SELECT (code, period) FROM updates) UNION ALL SELECT {COLS} FROM updates")
 def whs_03(spark, d):
     path = fresh_path(spark, "statements")
-    old = old_warehouse(spark, d)
+    delivered = packages(spark, d)
+    old = old_warehouse(delivered)
     H.write_periods(old, path)
-    new = H.detect_updates(packages(spark, d), H.meta(old))
+    new = H.detect_updates(delivered, H.meta(spark.read.parquet(path)))
     H.upsert_table(spark, path, settle(new), ["code", "period"], fresh_path(spark, "staging"))
     return spark.read.parquet(path).select(*PACKAGE)
 
 
 @query("whs_04_stale_codes", "SELECT code, '2000Q2' AS latest_period FROM old_meta WHERE latest_ord = 20002")
 def whs_04(spark, d):
-    return H.stale_codes(H.meta(old_warehouse(spark, d)), "2000Q2")
+    return H.stale_codes(H.meta(old_warehouse(packages(spark, d))), "2000Q2")
 
 
 @query("whs_05_inherit_announce", "SELECT code, period, announce_date FROM warehouse")

@@ -16,8 +16,8 @@ def last_day(spark, d):
     return S.table(spark, d, "lineitem").agg(F.to_date(F.max("l_shipdate"))).scalar()
 
 
-def rps(spark, d):
-    return M.rps_table(S.bars(spark, d), last_day(spark, d), bound=S.universe_bound(spark, d))
+def rps(spark, d, closes=None):
+    return M.rps_table(closes or S.bars(spark, d), last_day(spark, d), bound=S.universe_bound(spark, d))
 
 
 WINDOWS = spec.RPS_WINDOWS

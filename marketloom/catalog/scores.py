@@ -79,13 +79,13 @@ def score_industry(spark, d):
     return S.industry(spark, d).where(col("industry_level_2_name") != NO_INDUSTRY)
 
 
-def long_rows(spark, d):
-    return C.latest_long(S.statements(spark, d), score_industry(spark, d), SECTORS)
+def long_rows(spark, d, statements=None):
+    return C.latest_long(statements or S.statements(spark, d), score_industry(spark, d), SECTORS)
 
 
-def scored(spark, d):
+def scored(spark, d, statements=None):
     """One row per security and indicator, read by several branches."""
-    return C.score_table(settle(long_rows(spark, d)), bound=S.universe_bound(spark, d))
+    return C.score_table(settle(long_rows(spark, d, statements)), bound=S.universe_bound(spark, d))
 
 
 def ranked(spark, d):
@@ -240,7 +240,8 @@ def jon_12(spark, d):
        + ", v.current_price, v.total_market_cap, v.free_float_market_cap, v.pe_ttm, v.ps_ttm, row_number() OVER (PARTITION BY industry_level_2_name ORDER BY ind_total_score DESC NULLS LAST, market, symbol) AS position "
        "FROM score_snapshot LEFT JOIN (SELECT market, symbol, current_price, total_market_cap, free_float_market_cap, pe_ttm, ps_ttm FROM val_inputs) v USING (market, symbol) WHERE industry_level_2_name IS NOT NULL")
 def fin_10(spark, d):
-    return C.total_benchmark(C.snapshot(scored(spark, d)), cv.inputs(spark, d), bound=S.universe_bound(spark, d))
+    tables = cv.Tables(spark, d)
+    return C.total_benchmark(C.snapshot(scored(spark, d, tables.statements)), cv.inputs(spark, d, tables), bound=S.universe_bound(spark, d))
 
 
 def _s(k):

@@ -85,15 +85,16 @@ def hea_01(spark, d):
 # ---- stock screener -----------------------------------------------------------------------------------
 def screener_table(spark, d, strategy=None):
     bound = S.universe_bound(spark, d)
-    scored = settle(scores.scored(spark, d))
+    tables = cv.Tables(spark, d)
+    scored = settle(scores.scored(spark, d, tables.statements))
     ranked = scores.C.with_ranks(scores.C.snapshot(scored), bound=bound)
     subs = scores.wide_scores(scored, "market_score").withColumnsRenamed({k: "sub_" + k for k in spec.SUB_KEYS})
-    rows = cv.inputs(spark, d)
+    rows = cv.inputs(spark, d, tables)
     snap = V.industry_snapshot(rows, ["industry_level_2_name"])
-    temperature = V.with_temperature(snap, cv.history(spark, d)).select("industry_level_2_name", "temperature_label", "temperature_percentile_since_2022")
+    temperature = V.with_temperature(snap, cv.history(spark, d, tables)).select("industry_level_2_name", "temperature_label", "temperature_percentile_since_2022")
     valuation = cv.members_from(cv.classified_from(rows)).join(temperature, "industry_level_2_name", "left")
     strategies = strategy_table(spark, d, strategy) if strategy else None
-    return X.screener_rows(ranked, subs, S.securities(spark, d), S.industry(spark, d), valuation, settle(rps(spark, d)), strategies, strategy)
+    return X.screener_rows(ranked, subs, S.securities(spark, d), S.industry(spark, d), valuation, settle(rps(spark, d, tables.closes)), strategies, strategy)
 
 
 SCREEN_COLUMNS = ["market", "symbol", "stock_name", "industry_level_1", "industry_level_2", "current_price", "pe_ttm", "ps_ttm", "total_market_cap", "free_float_market_cap", "market_total_score",

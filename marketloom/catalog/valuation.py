@@ -100,13 +100,25 @@ add_view("val_members", f"SELECT *, CASE WHEN is_new_listing THEN '次新股' EL
          + sql_percentile("val_classified", "val_samples", ["industry_level_2_name", "sample_key"], "primary_value", "sample_value", "primary_percentile") + ")")
 
 
-def inputs(spark, d):
+class Tables:
+    """Statements and closes of one query, materialised once because several branches read them."""
+
+    def __init__(self, spark, d):
+        self.statements = settle(S.statements(spark, d))
+        self.closes = settle(S.bars(spark, d).select("market", "symbol", "trading_day", "close"))
+
+
+def inputs(spark, d, tables=None):
     """One row per stock; every later step reads it, so it is settled once."""
-    return settle(V.current_inputs(S.statements(spark, d), S.bars(spark, d), S.region_industry(spark, d)))
+    statements = tables.statements if tables else S.statements(spark, d)
+    bars = tables.closes if tables else S.bars(spark, d)
+    return settle(V.current_inputs(statements, bars, S.region_industry(spark, d)))
 
 
-def history(spark, d):
-    return V.temperature_history(V.period_inputs(S.statements(spark, d), S.bars(spark, d), S.region_industry(spark, d), SINCE))
+def history(spark, d, tables=None):
+    statements = tables.statements if tables else S.statements(spark, d)
+    bars = tables.closes if tables else S.bars(spark, d)
+    return V.temperature_history(V.period_inputs(statements, bars, S.region_industry(spark, d), SINCE))
 
 
 def classified(spark, d):
@@ -187,8 +199,9 @@ def agg_07(spark, d):
 
 @query("val_04_snapshot", f"SELECT {', '.join(SNAPSHOT)}, temperature_percentile_since_2022, temperature_label FROM val_snapshot")
 def val_04(spark, d):
-    snap = V.industry_snapshot(inputs(spark, d), ["industry_level_2_name"])
-    return V.with_temperature(snap, history(spark, d)).select(*SNAPSHOT, "temperature_percentile_since_2022", "temperature_label")
+    tables = Tables(spark, d)
+    snap = V.industry_snapshot(inputs(spark, d, tables), ["industry_level_2_name"])
+    return V.with_temperature(snap, history(spark, d, tables)).select(*SNAPSHOT, "temperature_percentile_since_2022", "temperature_label")
 
 
 HISTORY_SQL = f"SELECT industry_level_2_name, {DAY}, weighted_pe_ttm FROM val_history"
@@ -244,8 +257,9 @@ CASE WHEN classification = 'B_THIN_PROFIT_DISTORTED' THEN 'PE invalid, fallback
 concat_ws('|', CASE WHEN is_new_listing THEN '上市未满60个交易日' END, CASE WHEN primary_percentile > 80 THEN '80%以上分位风险非线性上升' END,
 CASE WHEN temperature_label IN ('行业偏热', '行业过热') THEN '行业环境偏热/过热' END) AS risk_flags FROM val_status""")
 def val_07(spark, d):
-    rows = inputs(spark, d)
-    snap = V.with_temperature(V.industry_snapshot(rows, ["industry_level_2_name"]), history(spark, d))
+    tables = Tables(spark, d)
+    rows = inputs(spark, d, tables)
+    snap = V.with_temperature(V.industry_snapshot(rows, ["industry_level_2_name"]), history(spark, d, tables))
     return V.relative_valuation(members_from(classified_from(rows)), snap).select(*VERDICT)
 
 

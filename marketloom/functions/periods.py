@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 # Lookups instead of CASE chains: each input column appears once, so stacked period expressions stay small after the
 # optimizer has merged projections.
+QUARTER_ENDS = (331, 630, 930, 1231)
 QUARTER_SUFFIX = ("Q1", "Q2", "Q3", "A")
 MONTH_SUFFIX = ("A", "A", "Q1", "Q1", "Q1", "Q2", "Q2", "Q2", "Q3", "Q3", "Q3", "A")
 
@@ -60,7 +61,7 @@ def period_from_idx(idx: Column) -> Column:
 
 
 def period_end_yyyymmdd(period: Column) -> Column:
-    ends = F.array(*[F.lit(x) for x in (331, 630, 930, 1231)])
+    ends = F.array(*[F.lit(x) for x in QUARTER_ENDS])
     return period_year(period) * 10000 + F.coalesce(F.try_element_at(ends, period_quarter(period)), F.lit(1231))
 
 

@@ -30,12 +30,17 @@ def any_return(windows=spec.RPS_WINDOWS) -> Column:
 
 
 def latest_returns(bars: DataFrame, as_of: Column, windows=spec.RPS_WINDOWS) -> DataFrame:
-    """Each symbol's returns at its last session. Only the newest sessions reach the frames."""
+    """Each symbol's returns at its last session.
+
+    Only the newest sessions reach the shuffle, and looking ahead in newest-first order keeps the one sort they need.
+    """
     recent = L.tail(bars.select("market", "symbol", "trading_day", "close"), max(windows) + 1)
-    rows = L.latest(L.with_returns(recent, windows))
-    return rows.where(any_return(windows)).select(
-        as_of.alias("trading_day"), "market", "symbol", *[f"return_{n}_pct" for n in windows]
-    )
+    newest = L.newest_first()
+    rows = recent.select(
+        "market", "symbol", F.row_number().over(newest).alias("_rn"),
+        *[N.rounded(N.return_pct(F.col("close"), F.lead("close", n).over(newest)), 4).alias(f"return_{n}_pct") for n in windows])
+    return rows.where((F.col("_rn") == 1) & any_return(windows)).select(
+        as_of.alias("trading_day"), "market", "symbol", *[f"return_{n}_pct" for n in windows])
 
 
 def rps_table(bars: DataFrame, as_of: Column, *, bound: int | None) -> DataFrame:

@@ -35,10 +35,9 @@ def basic_info(bars: DataFrame, statements: DataFrame) -> DataFrame:
 def profiles(securities: DataFrame, industry: DataFrame, concepts: DataFrame, rps: DataFrame, *, bound: int | None) -> DataFrame:
     """Industry, concept counts by verdict, RPS and the security's place inside its industry."""
     c = F.col
-    rule = T.concept_rule(c("concept_name"))
-    counts = concepts.select(*KEYS, "concept_name").distinct().groupBy(*KEYS).agg(
-        F.count_if(rule["decision"] == "keep_core").alias("core_concept_count"),
-        F.count_if(rule["decision"] != "keep_core").alias("auxiliary_concept_count"))
+    core = c("decision") == "keep_core"
+    counts = concept_listing(concepts).groupBy(*KEYS).agg(
+        F.count_if(core).alias("core_concept_count"), F.count_if(~core).alias("auxiliary_concept_count"))
     ranked = rps.join(industry.select(*KEYS, "industry_level_2_name"), KEYS, "left")
     tie = [c("market").asc(), c("symbol").asc()]
     for n in (20, 50):
@@ -58,7 +57,12 @@ def profiles(securities: DataFrame, industry: DataFrame, concepts: DataFrame, rp
 
 
 def concept_listing(concepts: DataFrame) -> DataFrame:
-    """Concepts of each security with bucket and verdict: the rows behind a profile's core and auxiliary lists."""
+    """Concepts of each security with bucket and verdict: the rows behind a profile's core and auxiliary lists.
+
+    The regex rules run once per distinct name; the verdicts then meet the far longer membership table by join.
+    """
     rows = concepts.select(*KEYS, "concept_name").distinct()
-    return rows.select(*KEYS, "concept_name", T.concept_id(F.col("concept_name")).alias("concept_id"), T.concept_rule(F.col("concept_name")).alias("r")).select(
-        *KEYS, "concept_id", "concept_name", "r.bucket", "r.decision")
+    names = rows.select("concept_name").distinct()
+    verdicts = names.select("concept_name", T.concept_id(F.col("concept_name")).alias("concept_id"), T.concept_rule(F.col("concept_name")).alias("r"))
+    verdicts = verdicts.select("concept_name", "concept_id", "r.bucket", "r.decision")
+    return rows.join(verdicts, "concept_name").select(*KEYS, "concept_id", "concept_name", "bucket", "decision")
