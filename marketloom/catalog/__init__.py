@@ -10,6 +10,7 @@ from marketloom.catalog.views import with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+_BODIES: dict[str, str] = {}
 
 
 def query(key: str, sql: str | None = None):
@@ -20,12 +21,17 @@ def query(key: str, sql: str | None = None):
             raise ValueError(f"duplicate query {key}")
         QUERIES[key] = fn
         if sql is not None:
-            ORACLES[key] = with_views(sql)
+            _BODIES[key] = sql
         return fn
 
     return wrap
 
 
 def load() -> None:
+    """Import all query modules, then expand the shared views, whose definitions are spread over them."""
     from marketloom.catalog import aggregates, filters, frames, functions, jobs, joins, momentum  # noqa: F401
     from marketloom.catalog import scores, screeners, sorting, sources, streams, valuation  # noqa: F401
+
+    for key, body in _BODIES.items():
+        if key not in ORACLES:
+            ORACLES[key] = with_views(body)

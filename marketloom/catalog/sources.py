@@ -64,7 +64,7 @@ def src_04(spark, d):
     return spark.read.parquet(stored_warehouse(spark, d)).select(*STATEMENT_COLUMNS)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _encode(text, use_gbk):
     import pandas as pd
 

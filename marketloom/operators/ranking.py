@@ -13,6 +13,8 @@ Two ways to number the rows of a group:
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,11 +54,13 @@ def ordinal_rank_by_range(df: DataFrame, group: list[str], order: list[Column],
         ).alias("_start"),
     )
     located = placed.join(F.broadcast(starts), "_pid").withColumn("_pos", F.col("_start") + F.col("_idx"))
-    first = located.groupBy(*group).agg(F.min("_pos").alias("_first"))
-    same = [located[c].eqNullSafe(first[c]) for c in group]
-    joined = located.join(first, same) if group else located.crossJoin(first)  # ungrouped: `first` is one row
-    rank = (F.col("_pos") - F.col("_first") + 1).cast("bigint").alias(out)
-    return joined.select(*[located[c] for c in df.columns], rank)
+    names = {c: f"_g{i}" for i, c in enumerate(group)}
+    first = located.groupBy(*[F.col(c).alias(n) for c, n in names.items()]).agg(F.min("_pos").alias("_first"))
+    if group:  # one row per group; nulls are a group of their own
+        joined = located.join(first, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]))
+    else:
+        joined = located.withColumn("_first", first.scalar())
+    return joined.select(*df.columns, (F.col("_pos") - F.col("_first") + 1).cast("bigint").alias(out))
 
 
 def rps(rank: Column, universe: Column) -> Column:

@@ -13,7 +13,7 @@ def industry_code_map(lines: DataFrame) -> DataFrame:
     """code -> name from ``name|..|Xcode`` lines with at least six fields; the last line of a code wins."""
     parts = F.split(F.trim("line"), r"\|")
     rows = lines.select(
-        "line_no", F.size(parts).alias("n"), F.trim(F.element_at(parts, -1)).alias("code"), F.trim(F.element_at(parts, 1)).alias("name"))
+        "line_no", F.size(parts).alias("n"), F.trim(F.try_element_at(parts, F.lit(-1))).alias("code"), F.trim(F.try_element_at(parts, F.lit(1))).alias("name"))
     rows = rows.where((F.col("n") >= 6) & F.col("code").startswith("X") & (F.col("name") != ""))
     return rows.groupBy("code").agg(F.max_by("name", "line_no").alias("name"))
 
@@ -31,8 +31,8 @@ def industry_rows(lines: DataFrame, code_names: DataFrame) -> DataFrame:
     """Security -> industry rows from ``flag|symbol|T|||X`` lines."""
     parts = F.split(F.trim("line"), r"\|")
     rows = lines.where(F.size(parts) >= 6).select(
-        T.market_from_flag(F.element_at(parts, 1)).alias("market"), F.trim(F.element_at(parts, 2)).alias("symbol"),
-        F.trim(F.element_at(parts, 3)).alias("industry_code_raw_t"), F.trim(F.element_at(parts, 6)).alias("raw_code"))
+        T.market_from_flag(F.try_element_at(parts, F.lit(1))).alias("market"), F.trim(F.try_element_at(parts, F.lit(2))).alias("symbol"),
+        F.trim(F.try_element_at(parts, F.lit(3))).alias("industry_code_raw_t"), F.trim(F.try_element_at(parts, F.lit(6))).alias("raw_code"))
     return industry_hierarchy(rows.where(F.col("raw_code").startswith("X")), code_names)
 
 
@@ -40,8 +40,8 @@ def concept_rows(lines: DataFrame) -> DataFrame:
     """Security -> concept rows with rank and filter verdict from ``flag|symbol|id|names|value`` lines."""
     parts = F.split(F.trim("line"), r"\|")
     raw = lines.where(F.size(parts) >= 5).select(
-        T.market_from_flag(F.element_at(parts, 1)).alias("market"), F.trim(F.element_at(parts, 2)).alias("symbol"),
-        T.split_concepts(F.element_at(parts, 4)).alias("names"))
+        T.market_from_flag(F.try_element_at(parts, F.lit(1))).alias("market"), F.trim(F.try_element_at(parts, F.lit(2))).alias("symbol"),
+        T.split_concepts(F.try_element_at(parts, F.lit(4))).alias("names"))
     rows = raw.select(
         "market", "symbol", F.array_join("names", ",").alias("concept_list_raw"), F.posexplode("names").alias("pos", "concept_name"))
     return rows.select(

@@ -38,7 +38,7 @@ def newest_value(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column) == newest)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_text(content: pd.Series) -> pd.Series:
     """Bytes to text: UTF-8, then GBK, then UTF-8 with replacement. Python because the JVM decoder never fails over."""
 
@@ -87,7 +87,7 @@ def decode_master(files: DataFrame) -> DataFrame:
 def read_master(spark: SparkSession, path: str) -> DataFrame:
     """Security master files named by exchange; duplicates keep one row and ineligible names leave."""
     files = spark.read.format("binaryFile").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
+    name = F.try_element_at(F.split("path", "/"), F.lit(-1))
     rows = decode_master(files.select(F.substring(name, 1, 2).alias("market"), "content"))
     return rows.where(X.is_a_share_eligible(F.col("symbol"), F.col("stock_name"))).dropDuplicates(["market", "symbol"])
 
@@ -105,7 +105,7 @@ def flatten_reports(payloads: DataFrame) -> DataFrame:
     """(code, JSON of reports by date) to long rows (code, period, publish_date, title, value), titles by table."""
     reports = payloads.select("code", F.explode(F.from_json("payload", REPORTS)).alias("date", "report"))
     rows = reports.select(
-        "code", P.period_from_yyyymmdd(F.col("date").cast("int")).alias("period"), F.col("report.publish_date").alias("publish_date"),
+        "code", P.period_from_yyyymmdd(F.col("date").try_cast("int")).alias("period"), F.col("report.publish_date").alias("publish_date"),
         F.explode(F.array(*[F.struct(F.lit(t).alias("source"), F.col(f"report.tables.{t}").alias("items")) for t in ("lrb", "zcfz", "llb")])).alias("t"))
     items = rows.select("code", "period", "publish_date", F.col("t.source").alias("source"), F.inline("t.items"))
     return items.where((F.col("item_title") != "") & F.col("item_value").isNotNull()).select(
@@ -120,7 +120,7 @@ def pivot_reports(long: DataFrame, titles: list[str]) -> DataFrame:
 def newest_with_income(payloads: DataFrame) -> DataFrame:
     """Newest period per code that has an income statement; its other tables default to empty."""
     reports = payloads.select("code", F.explode(F.from_json("payload", REPORTS)).alias("date", "report"))
-    usable = reports.where(F.size("report.tables.lrb") > 0).withColumn("period", P.period_from_yyyymmdd(F.col("date").cast("int")))
+    usable = reports.where(F.size("report.tables.lrb") > 0).withColumn("period", P.period_from_yyyymmdd(F.col("date").try_cast("int")))
     size = lambda t: F.coalesce(F.nullif(F.size(f"report.tables.{t}"), F.lit(-1)), F.lit(0))
     newest = F.max_by(F.struct("period", size("lrb").alias("lrb_items"), size("zcfz").alias("zcfz_items"), size("llb").alias("llb_items")), P.period_ord(F.col("period")))
     return usable.groupBy("code").agg(newest.alias("n")).select("code", "n.*")
