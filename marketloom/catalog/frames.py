@@ -47,7 +47,7 @@ FROM statements p LEFT JOIN win_sample s ON s.period = p.period GROUP BY 1, 2, 3
 def win_06(spark, d):
     rows = S.statements(spark, d).select("market", "symbol", "period", "revenue", "net_profit")
     sample = rows.where(col("net_profit") > 0).select("period", "revenue")
-    out = R.sample_percentiles(rows, sample, ["period"], "revenue", "revenue", "percentile")
+    out = R.sample_percentiles(rows, sample, ["period"], "revenue", "revenue", "percentile", max_group_rows=S.universe_bound(spark, d))
     return out.select("market", "symbol", "period", "percentile")
 
 

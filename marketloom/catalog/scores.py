@@ -85,7 +85,8 @@ def long_rows(spark, d, statements=None):
 
 def scored(spark, d, statements=None):
     """One row per security and indicator, read by several branches."""
-    return C.score_table(settle(long_rows(spark, d, statements)), bound=S.universe_bound(spark, d))
+    long = long_rows(spark, d, statements)
+    return C.score_table(long if statements else settle(long), bound=S.universe_bound(spark, d))
 
 
 def ranked(spark, d):

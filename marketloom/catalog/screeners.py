@@ -92,7 +92,7 @@ def screener_table(spark, d, strategy=None):
     rows = cv.inputs(spark, d, tables)
     snap = V.industry_snapshot(rows, ["industry_level_2_name"])
     temperature = V.with_temperature(snap, cv.history(spark, d, tables)).select("industry_level_2_name", "temperature_label", "temperature_percentile_since_2022")
-    valuation = cv.members_from(cv.classified_from(rows)).join(temperature, "industry_level_2_name", "left")
+    valuation = cv.members_from(cv.classified_from(rows), bound).join(temperature, "industry_level_2_name", "left")
     strategies = strategy_table(spark, d, strategy) if strategy else None
     return X.screener_rows(ranked, subs, S.securities(spark, d), S.industry(spark, d), valuation, settle(rps(spark, d, tables.closes)), strategies, strategy)
 
@@ -127,17 +127,21 @@ def jon_04(spark, d):
 
 
 # ---- tail session --------------------------------------------------------------------------------------
-def quotes(spark, d):
+def recent_bars(spark, d):
+    """The newest sessions of every symbol, all that quotes and recent statistics read; settled once."""
+    return settle(L.tail(S.bars(spark, d), 21))
+
+
+def quotes(recent):
     """The last session of every symbol as its quote."""
-    return L.latest_snapshot(S.bars(spark, d)).select(
+    return L.latest_snapshot(recent).select(
         "market", "symbol", col("latest_close").alias("price"), col("previous_close").alias("last_close"), "open", "high", "low",
         col("latest_volume").alias("volume"), col("latest_amount").alias("amount"))
 
 
-def recent_stats(spark, d):
-    bars = S.bars(spark, d)
-    limit_up = L.latest(L.with_recent_limit_up(L.tail(bars.select("market", "symbol", "trading_day", "close"), 21), 20))
-    return limit_up.select("market", "symbol", "recent_limit_up").join(L.latest_snapshot(bars).select("market", "symbol", "avg_volume_last_5"), ["market", "symbol"])
+def recent_stats(recent):
+    limit_up = L.latest(L.with_recent_limit_up(recent.select("market", "symbol", "trading_day", "close"), 20))
+    return limit_up.select("market", "symbol", "recent_limit_up").join(L.latest_snapshot(recent).select("market", "symbol", "avg_volume_last_5"), ["market", "symbol"])
 
 
 def today_points(spark, d):
@@ -148,7 +152,8 @@ def today_points(spark, d):
 
 
 def tail_inputs(spark, d):
-    return X.tail_session_inputs(quotes(spark, d), recent_stats(spark, d), cv.inputs(spark, d), today_points(spark, d))
+    recent = recent_bars(spark, d)
+    return X.tail_session_inputs(quotes(recent), recent_stats(recent), cv.inputs(spark, d), today_points(spark, d))
 
 
 FLAG_COLUMNS = ["market", "symbol", "gain_pct", "volume_ratio", "turnover_pct", *["ok_" + k for k in X.SWITCHES]]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marketloom.catalog import query
 from marketloom.catalog import valuation as cv
 from marketloom.catalog.momentum import DAY, day_text
-from marketloom.catalog.screeners import FLAG_COLUMNS, recent_stats
+from marketloom.catalog.screeners import FLAG_COLUMNS, recent_bars, recent_stats
 from marketloom.catalog.views import add_view
 from marketloom.operators import rolling as L
 from marketloom.plans import intraday as D
@@ -29,9 +29,10 @@ def quote_stream(spark, d):
 
 def static_side(spark, d):
     """What the conditions need beside the quote; one row per security, so it is settled once for all batches."""
-    snap = L.latest_snapshot(S.bars(spark, d)).select("market", "symbol", col("latest_close").alias("last_close"), "open", "low")
+    recent = recent_bars(spark, d)
+    snap = L.latest_snapshot(recent).select("market", "symbol", col("latest_close").alias("last_close"), "open", "low")
     caps = cv.inputs(spark, d).select("market", "symbol", "total_market_cap", "free_float_market_cap")
-    return settle(snap.join(caps, ["market", "symbol"]).join(recent_stats(spark, d), ["market", "symbol"]).withColumn("points_pass", F.lit(None).cast("boolean")))
+    return settle(snap.join(caps, ["market", "symbol"]).join(recent_stats(recent), ["market", "symbol"]).withColumn("points_pass", F.lit(None).cast("boolean")))
 
 
 def screened(spark, d):

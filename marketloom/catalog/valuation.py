@@ -130,11 +130,11 @@ def classified_from(rows):
 
 
 def members(spark, d):
-    return members_from(classified(spark, d))
+    return members_from(classified(spark, d), S.universe_bound(spark, d))
 
 
-def members_from(rows):
-    return V.member_rows(rows, V.percentile_samples(rows))
+def members_from(rows, bound):
+    return V.member_rows(rows, V.percentile_samples(rows), bound=bound)
 
 
 @query("agg_09_ttm", f"SELECT market, symbol, period, {sql_ttm('net_profit')} AS ttm_net_profit, {sql_ttm('revenue')} AS ttm_revenue FROM neighbours")
@@ -260,7 +260,7 @@ def val_07(spark, d):
     tables = Tables(spark, d)
     rows = inputs(spark, d, tables)
     snap = V.with_temperature(V.industry_snapshot(rows, ["industry_level_2_name"]), history(spark, d, tables))
-    return V.relative_valuation(members_from(classified_from(rows)), snap).select(*VERDICT)
+    return V.relative_valuation(members_from(classified_from(rows), S.universe_bound(spark, d)), snap).select(*VERDICT)
 
 
 add_view("val_peer_probe", """SELECT c.market, c.symbol, industry_level_2_name, k.sample_key, CASE WHEN starts_with(k.sample_key, 'pe_ttm') THEN CASE WHEN pe_ttm > 0 THEN pe_ttm END ELSE CASE WHEN ps_ttm > 0 THEN ps_ttm END END AS value
@@ -274,7 +274,7 @@ add_view("peer_rows", f"SELECT market, symbol, industry_level_2_name, sample_key
 @query("val_08_peer_percentiles", "SELECT * FROM peer_rows")
 def val_08(spark, d):
     rows = classified(spark, d)
-    out = V.peer_percentiles(rows, V.percentile_samples(rows))
+    out = V.peer_percentiles(rows, V.percentile_samples(rows), bound=S.universe_bound(spark, d))
     return out.select("market", "symbol", "industry_level_2_name", "sample_key", "value", "valuation_percentile", "valuation_band")
 
 

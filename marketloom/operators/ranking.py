@@ -20,14 +20,30 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketloom.functions import numeric as N
+from marketloom.operators.prefix import running_totals
 from marketloom.session import ensure_checkpoint_dir
 
 WINDOW_ROW_LIMIT = 2_000_000
 
 
+def fits_one_task(max_group_rows: int | None) -> bool:
+    return max_group_rows is not None and max_group_rows <= WINDOW_ROW_LIMIT
+
+
+def with_group_stats(df: DataFrame, group: list[str], stats: dict[str, Column], *, max_group_rows: int | None) -> DataFrame:
+    """Adds aggregates of each row's group: over a window for bounded groups, else by an aggregate with map-side combine
+    whose result (one row per group) is joined back."""
+    if fits_one_task(max_group_rows):
+        return df.select("*", *[agg.over(W.partitionBy(*group)).alias(n) for n, agg in stats.items()])
+    names = {c: f"_g{i}" for i, c in enumerate(group)}
+    totals = df.groupBy(*[F.col(c).alias(n) for c, n in names.items()]).agg(*[agg.alias(n) for n, agg in stats.items()])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()])
+    return df.join(totals, same).select(*df.columns, *stats)
+
+
 def ordinal_rank(df: DataFrame, group: list[str], order: list[Column], out: str, *, max_group_rows: int | None) -> DataFrame:
     """Number rows 1..n within each group; picks the window or the range way by the group bound."""
-    if max_group_rows is not None and max_group_rows <= WINDOW_ROW_LIMIT:
+    if fits_one_task(max_group_rows):
         return df.withColumn(out, F.row_number().over(W.partitionBy(*group).orderBy(*order)).cast("bigint"))
     return ordinal_rank_by_range(df, group, order, out)
 
@@ -75,18 +91,18 @@ def momentum_ranks(
 
     ``rank_nulls`` keeps rows without a return at the bottom of the universe; otherwise they leave it.
     """
-    day = W.partitionBy("trading_day")
-    out = returns.withColumn("universe_size", F.count(F.lit(1)).over(day))
+    day = ["trading_day"]
+    sizes = {"universe_size": F.count(F.lit(1)), **{f"_n_{n}": F.count(f"return_{n}_pct") for n in windows if not rank_nulls}}
+    out = with_group_stats(returns, day, sizes, max_group_rows=max_group_rows)
     for n in windows:
         value = F.col(f"return_{n}_pct")
         order = [value.desc_nulls_last(), F.col("market").asc(), F.col("symbol").asc()]
-        out = ordinal_rank(out, ["trading_day"], order, f"rank_{n}", max_group_rows=max_group_rows)
-        universe = F.col("universe_size") if rank_nulls else F.count(value).over(day)
-        out = out.withColumn(f"rps_{n}", rps(F.col(f"rank_{n}"), universe))
+        out = ordinal_rank(out, day, order, f"rank_{n}", max_group_rows=max_group_rows)
+        out = out.withColumn(f"rps_{n}", rps(F.col(f"rank_{n}"), F.col("universe_size" if rank_nulls else f"_n_{n}")))
         if not rank_nulls:
             for c in (f"rank_{n}", f"rps_{n}"):
                 out = out.withColumn(c, F.when(value.isNotNull(), F.col(c)))
-    return out
+    return out.drop(*[f"_n_{n}" for n in windows])
 
 
 def percentile_scores(
@@ -101,13 +117,8 @@ def percentile_scores(
     empty = missing_default if empty_default is None else empty_default
     usable = F.when(F.col("zero_penalty") & F.col("higher_better") & (F.col("raw") <= 0), None).otherwise(F.col("raw"))
     signed = F.when(F.col("higher_better"), -F.col("_v")).otherwise(F.col("_v"))
-    over = W.partitionBy(*group)
-    out = (
-        long.withColumn("_v", usable)
-        .withColumn("_signed", signed)
-        .withColumn("_raw_n", F.count("raw").over(over))
-        .withColumn("_n", F.count("_v").over(over))
-    )
+    out = long.withColumn("_v", usable).withColumn("_signed", signed)
+    out = with_group_stats(out, group, {"_raw_n": F.count("raw"), "_n": F.count("_v")}, max_group_rows=max_group_rows)
     order = [F.col("_signed").asc_nulls_last(), F.col("market").asc(), F.col("symbol").asc()]
     out = ordinal_rank(out, group, order, "_rk", max_group_rows=max_group_rows)
     score = (
@@ -119,22 +130,31 @@ def percentile_scores(
     return out.withColumn("score", score).drop("_v", "_signed", "_raw_n", "_n", "_rk")
 
 
-def sample_percentiles(probe: DataFrame, sample: DataFrame, group: list[str], value: str, sample_value: str, out: str) -> DataFrame:
+def sample_percentiles(
+    probe: DataFrame, sample: DataFrame, group: list[str], value: str, sample_value: str, out: str, *, max_group_rows: int | None,
+) -> DataFrame:
     """Empirical percentile of ``probe.value`` within the ``sample`` rows of the same group.
 
     Both sides become weighted points: the sample is first reduced to one row per distinct (group, value), then a
     running count over the ordered points gives "how many lie below". Nothing is collected into arrays and no
-    pair of (probe, sample) rows is ever formed.
+    pair of (probe, sample) rows is ever formed. Groups without a size bound are cut into value ranges, and the running
+    count goes over the ranges first.
     """
     weights = sample.where(F.col(sample_value).isNotNull()).groupBy(*group, F.col(sample_value).alias("_v")).agg(
         F.count(F.lit(1)).alias("_w")
     )
     points = probe.select(*group, F.col(value).alias("_v")).where(F.col("_v").isNotNull()).distinct()
     points = points.join(weights, [*group, "_v"], "full_outer").withColumn("_w", F.coalesce("_w", F.lit(0)))
-    ordered = W.partitionBy(*group).orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
-    counted = (
-        points.withColumn("_below", F.coalesce(F.sum("_w").over(ordered), F.lit(0)))
-        .withColumn("_size", F.sum("_w").over(W.partitionBy(*group)))
-        .select(*group, F.col("_v").alias(value), N.empirical_percentile(F.col("_below"), F.col("_w"), F.col("_size")).alias(out))
-    )
+    if fits_one_task(max_group_rows):
+        so_far = W.partitionBy(*group).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+        points = points.withColumn("_cum", F.sum("_w").over(so_far))
+    else:
+        spark = probe.sparkSession
+        ensure_checkpoint_dir(spark)
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ranges = points.repartitionByRange(parts, *group, "_v").withColumn("_range", F.spark_partition_id()).checkpoint()
+        points = running_totals(ranges, group, F.col("_range"), ["_v"], {"_cum": F.col("_w")})
+    points = with_group_stats(points, group, {"_size": F.sum("_w")}, max_group_rows=max_group_rows)
+    percentile = N.empirical_percentile(F.col("_cum") - F.col("_w"), F.col("_w"), F.col("_size"))
+    counted = points.select(*group, F.col("_v").alias(value), percentile.alias(out))
     return probe.join(counted, [*group, value], "left")

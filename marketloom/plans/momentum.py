@@ -9,7 +9,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketloom import spec
@@ -68,15 +67,15 @@ def reference_returns(bars: DataFrame) -> DataFrame:
 
 def reference_rps(returns: DataFrame, *, bound: int | None) -> DataFrame:
     """RPS as of t-1, t-2, t-3 and t-5 among the symbols that have that return."""
-    out = returns
-    day = W.partitionBy("trading_day")
-    for n, k in ((20, 1), (20, 2), (20, 3), (50, 3), (50, 5)):
+    refs = ((20, 1), (20, 2), (20, 3), (50, 3), (50, 5))
+    sizes = {f"_n{k}_{n}": F.count(f"ref{k}_return_{n}_pct") for n, k in refs}
+    out = R.with_group_stats(returns, ["trading_day"], sizes, max_group_rows=bound)
+    for n, k in refs:
         value = F.col(f"ref{k}_return_{n}_pct")
         order = [value.desc_nulls_last(), F.col("symbol").asc(), F.col("market").asc()]
         out = R.ordinal_rank(out, ["trading_day"], order, "_rk", max_group_rows=bound)
-        rps = F.when(value.isNotNull(), R.rps(F.col("_rk"), F.count(value).over(day)))
-        out = out.withColumn(f"ref{k}_rps_{n}", rps).drop("_rk")
-    return out
+        out = out.withColumn(f"ref{k}_rps_{n}", F.when(value.isNotNull(), R.rps(F.col("_rk"), F.col(f"_n{k}_{n}")))).drop("_rk")
+    return out.drop(*sizes)
 
 
 def _all(*conditions: Column) -> Column:

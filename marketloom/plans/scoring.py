@@ -7,7 +7,6 @@ shuffle instead of 19 sorts of everything, and the way back to one row per secur
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketloom import spec
@@ -127,13 +126,13 @@ def with_ranks(snap: DataFrame, *, bound: int | None) -> DataFrame:
     """Rank and universe size over the market (blended total) and within the industry (industry total)."""
     tie = [F.col("market").asc(), F.col("symbol").asc()]
     one = snap.withColumn("_all", F.lit(1))  # one group, bounded by the security master or ranked by range
-    ranked = R.ordinal_rank(one, ["_all"], [F.col("market_total_score").desc_nulls_last(), *tie], "market_total_rank", max_group_rows=bound)
-    ranked = ranked.withColumn("market_total_universe_size", F.count("market_total_score").over(W.partitionBy("_all"))).drop("_all")
-    ranked = R.ordinal_rank(ranked, ["industry_level_2_name"], [F.col("ind_total_score").desc_nulls_last(), *tie], "industry_total_rank", max_group_rows=bound)
+    one = R.with_group_stats(one, ["_all"], {"market_total_universe_size": F.count("market_total_score")}, max_group_rows=bound)
+    ranked = R.ordinal_rank(one, ["_all"], [F.col("market_total_score").desc_nulls_last(), *tie], "market_total_rank", max_group_rows=bound).drop("_all")
+    inside = ["industry_level_2_name"]
+    ranked = R.with_group_stats(ranked, inside, {"industry_total_universe_size": F.count("ind_total_score")}, max_group_rows=bound)
+    ranked = R.ordinal_rank(ranked, inside, [F.col("ind_total_score").desc_nulls_last(), *tie], "industry_total_rank", max_group_rows=bound)
     known = F.col("industry_level_2_name").isNotNull()
-    size = F.count("ind_total_score").over(W.partitionBy("industry_level_2_name"))
-    return ranked.withColumn("industry_total_rank", F.when(known, F.col("industry_total_rank"))).withColumn(
-        "industry_total_universe_size", F.when(known, size))
+    return ranked.withColumns({c: F.when(known, F.col(c)) for c in ("industry_total_rank", "industry_total_universe_size")})
 
 
 def industry_raw_means(long: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from marketloom.operators import rolling as L
 from marketloom.plans import statements as X
 
 KEYS = ["market", "symbol"]
+MAX_PERIODS = 1000  # quarters an industry can have in its history, with room to spare
 MONEY_DIGITS = 10  # hundred millions of yuan, exact to the cent when summed
 
 
@@ -118,7 +119,7 @@ def with_temperature(snapshot: DataFrame, history: DataFrame) -> DataFrame:
     """Where today's weighted PE stands in the industry's own history."""
     probe = snapshot.withColumn("_now", F.when(F.col("sample_status") == "ok", F.col("weighted_pe_ttm")))
     out = R.sample_percentiles(probe, history.select("industry_level_2_name", F.col("weighted_pe_ttm").alias("_past")),
-                               ["industry_level_2_name"], "_now", "_past", "temperature_percentile_since_2022")
+                               ["industry_level_2_name"], "_now", "_past", "temperature_percentile_since_2022", max_group_rows=MAX_PERIODS)
     return out.drop("_now").withColumn("temperature_label", N.temperature_label(F.col("temperature_percentile_since_2022")))
 
 
@@ -172,9 +173,9 @@ def percentile_samples(classified: DataFrame) -> DataFrame:
     return rows
 
 
-def member_rows(classified: DataFrame, samples: DataFrame) -> DataFrame:
+def member_rows(classified: DataFrame, samples: DataFrame, *, bound: int | None) -> DataFrame:
     """Each member's percentile inside its class sample, with the band shown to users."""
-    out = R.sample_percentiles(classified, samples, ["industry_level_2_name", "sample_key"], "primary_value", "sample_value", "primary_percentile")
+    out = R.sample_percentiles(classified, samples, ["industry_level_2_name", "sample_key"], "primary_value", "sample_value", "primary_percentile", max_group_rows=bound)
     band = F.when(F.col("is_new_listing"), spec.LABEL_NEW_LISTING).otherwise(N.percentile_band(F.col("primary_percentile")))
     return out.withColumn("valuation_band_label", band)
 
@@ -209,14 +210,14 @@ def relative_valuation(members: DataFrame, snapshot: DataFrame) -> DataFrame:
     return rows.withColumn("valuation_band_label", band).withColumn("notes", F.coalesce(note, F.lit(""))).withColumn("risk_flags", risks)
 
 
-def peer_percentiles(classified: DataFrame, samples: DataFrame) -> DataFrame:
+def peer_percentiles(classified: DataFrame, samples: DataFrame, *, bound: int | None) -> DataFrame:
     """Every member valued on every sample of its industry; one target's peer table is a filter on its industry and
     sample key. Rows grow with members times the handful of sample keys, never with pairs of members."""
     keys = samples.select("industry_level_2_name", "sample_key").distinct()
     rows = classified.select("market", "symbol", "industry_level_2_name", "current_price", "pe_ttm", "ps_ttm").join(keys, "industry_level_2_name")
     positive = lambda name: F.when(F.col(name) > 0, F.col(name))
     value = F.when(F.col("sample_key").startswith("pe_ttm"), positive("pe_ttm")).otherwise(positive("ps_ttm"))
-    out = R.sample_percentiles(rows.withColumn("value", value), samples, ["industry_level_2_name", "sample_key"], "value", "sample_value", "valuation_percentile")
+    out = R.sample_percentiles(rows.withColumn("value", value), samples, ["industry_level_2_name", "sample_key"], "value", "sample_value", "valuation_percentile", max_group_rows=bound)
     return out.withColumn("valuation_band", F.coalesce(N.percentile_band(F.col("valuation_percentile")), F.lit(spec.LABEL_NOT_COMPARABLE)))
 
 

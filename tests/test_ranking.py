@@ -9,7 +9,9 @@ from marketloom.operators import ranking as R
 def percentile(spark, value, sample):
     probe = spark.createDataFrame([("g", value)], "g string, v double")
     rows = spark.createDataFrame([("g", float(x)) for x in sample], "g string, s double")
-    return R.sample_percentiles(probe, rows, ["g"], "v", "s", "p").collect()[0]["p"]
+    got = {bound: R.sample_percentiles(probe, rows, ["g"], "v", "s", "p", max_group_rows=bound).collect()[0]["p"] for bound in (100, None)}
+    assert got[100] == got[None]
+    return got[100]
 
 
 @pytest.mark.parametrize("value, sample, expected", [
@@ -74,3 +76,16 @@ def test_null_returns_rank_last_or_leave(spark):
     assert kept == {("sh", "1"): 100.0, ("sz", "1"): 66.67, ("sh", "2"): 33.33}
     left = {(r["market"], r["symbol"]): r["rps_20"] for r in R.momentum_ranks(df, (20,), max_group_rows=10, rank_nulls=False).collect()}
     assert left == {("sh", "1"): 100.0, ("sz", "1"): 50.0, ("sh", "2"): None}
+
+
+def test_unbounded_groups_give_the_same_results(spark):
+    df = skewed(spark).select(F.col("g").alias("trading_day"), F.lit("sh").alias("market"), "symbol", F.col("v").alias("return_20_pct"))
+    for rank_nulls in (True, False):
+        a, b = (R.momentum_ranks(df, (20,), max_group_rows=n, rank_nulls=rank_nulls) for n in (20000, None))
+        assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    long = df.select(F.col("trading_day").alias("sub_key"), F.lit(True).alias("higher_better"), F.lit(True).alias("zero_penalty"), "market", "symbol", F.col("return_20_pct").alias("raw"))
+    a, b = (R.percentile_scores(long, ["sub_key"], max_group_rows=n) for n in (20000, None))
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    sample = df.where("return_20_pct > 5").select("trading_day", F.col("return_20_pct").alias("s"))
+    a, b = (R.sample_percentiles(df, sample, ["trading_day"], "return_20_pct", "s", "p", max_group_rows=n) for n in (20000, None))
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
