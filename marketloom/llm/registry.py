@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from marketloom.llm import exact_dedup
+from marketloom.llm import exact_dedup, packing
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_packing": packing.op3_packing,
 }
 
 ORACLES = {
