@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from marketloom.llm import exact_dedup, packing, quality, secret_scan
+from marketloom.llm import exact_dedup, mixing, packing, quality, secret_scan
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_packing": packing.op3_packing,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_quality_classifier": quality.op5_quality_classifier,
+    "op6_source_mix": mixing.op6_source_mix,
 }
 
 ORACLES = {
