@@ -15,112 +15,55 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm.tables import filled, settled, table
+from marketloom.llm.texthash import chunks, lowered, mixed, runs, word_bounds
 
 BUCKETS = 1 << 14
 SMOOTHING = 50.0  # n-grams added to either model's count of a bucket, the raw model scaled to the target's size
 TEMPERATURE = 0.1  # noise counts for documents near the cut only
 LABELLED = 20_000  # at most so many good and so many bad labelled documents fit the target model and the cut
-CHUNK = 4 << 20  # bytes of text hashed at a time
 KEY_SCALE = 1 << 20  # keys are compared as integers of this resolution
 BINS = 4096
 SEED = 17
 
-_P = 0x9E3779B97F4A7C15  # odd, so powers have inverses modulo 2**64
-_INVERSE = pow(_P, -1, 1 << 64)
 
-
-@lru_cache(maxsize=1)
-def _powers(size: int):
-    import numpy as np
-
-    def powers(base):
-        out = np.full(size, base, dtype=np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
-
-    return powers(_P), powers(_INVERSE)
-
-
-@lru_cache(maxsize=1)
-def _byte_tables():
+def _shapes():
+    """Byte classes of a word's shape: capitals, letters (all beyond ASCII), digits, and every other byte as itself."""
     import numpy as np
 
-    space = np.zeros(256, dtype=bool)
-    space[[9, 10, 11, 12, 13, 32]] = True
-    lower = np.arange(256, dtype=np.uint64) + np.uint64(1)
-    lower[65:91] += np.uint64(32)
     shape = np.arange(256, dtype=np.uint64) + np.uint64(1)
     shape[65:91], shape[97:123], shape[128:], shape[48:58] = 66, 98, 98, 49
-    return space, lower, shape
-
-
-def _mixed(h):
-    import numpy as np
-
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return h ^ (h >> np.uint64(29))
-
-
-def _runs(values, starts, ends):
-    """Hash of values[start:end] for every pair, independent of the place."""
-    import numpy as np
-
-    size = 1 << max(16, int(len(values) + 1).bit_length())
-    power, inverse = _powers(size)
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(values * power[: len(values)], dtype=np.uint64)])
-    return _mixed((sums[ends] - sums[starts]) * inverse[starts])
+    return shape
 
 
 def hashed_ngrams(texts: list[bytes]):
     """Document numbers and buckets of all n-grams of ``texts``."""
     import numpy as np
 
-    space, lower, shape = _byte_tables()
-    data = np.frombuffer(b" ".join([b"", *texts, b""]), dtype=np.uint8)
-    gap = space[data]
-    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
-    starts, ends = edge[0::2], edge[1::2]
+    data, doc, starts, ends = word_bounds(texts)
     if not len(starts):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    begins = np.cumsum([1, *[len(t) + 1 for t in texts]])
-    doc = np.searchsorted(begins, starts, side="right") - 1
-    words = _runs(lower[data], starts, ends)
-    kind = shape[data]
+    words = runs(lowered()[data], starts, ends)
+    kind = _shapes()[data]
     new = np.ones(len(data), dtype=bool)
     new[1:] = kind[1:] != kind[:-1]
     before = np.concatenate([[0], np.cumsum(new)])
-    shapes = _runs(kind[new], before[starts], before[ends])
+    shapes = runs(kind[new], before[starts], before[ends])
     first = np.ones(len(doc), dtype=bool)
     first[1:] = doc[1:] != doc[:-1]
     previous, previous_shape = np.roll(words, 1), np.roll(shapes, 1)
     previous[first], previous_shape[first] = 1, 1
     again = previous == words
     salt = [np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0xCBBB9D5DC1059ED8)]
-    pairs = _mixed(previous * salt[0] + words)
+    pairs = mixed(previous * salt[0] + words)
     pairs[again] = salt[1]
-    shaped = _mixed(previous_shape * salt[1] + shapes * np.uint64(3) + again.astype(np.uint64)) ^ salt[2]
+    shaped = mixed(previous_shape * salt[1] + shapes * np.uint64(3) + again.astype(np.uint64)) ^ salt[2]
     grams = np.concatenate([words, pairs, shaped])
-    return np.concatenate([doc, doc, doc]), (_mixed(grams) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
-
-
-def _chunks(texts: list[str]) -> Iterator[tuple[int, list[bytes]]]:
-    """(number of the first text, encoded texts) of about CHUNK bytes; a longer text is a chunk of its own."""
-    held, size, first = [], 0, 0
-    for i, text in enumerate(texts):
-        blob = text.encode("utf-8", "surrogatepass")
-        if held and size + len(blob) > CHUNK:
-            yield first, held
-            held, size, first = [], 0, i
-        held.append(blob)
-        size += len(blob)
-    if held:
-        yield first, held
+    return np.concatenate([doc, doc, doc]), (mixed(grams) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
 def log_weights(texts: list[str], ratios):
@@ -128,7 +71,7 @@ def log_weights(texts: list[str], ratios):
     import numpy as np
 
     weights, sizes = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
-    for first, chunk in _chunks(texts):
+    for first, chunk in chunks(texts):
         doc, bucket = hashed_ngrams(chunk)
         weights[first:first + len(chunk)] = np.bincount(doc, weights=ratios[bucket], minlength=len(chunk))
         sizes[first:first + len(chunk)] = np.bincount(doc, minlength=len(chunk))
@@ -163,7 +106,7 @@ def ngram_counts(docs: DataFrame, target_ids: list[int], *, key: str = "doc_id",
         wanted = np.array(sorted(target_ids), dtype=np.int64)
         for batch in batches:
             good = batch["key"].isin(wanted).to_numpy()
-            for first, chunk in _chunks(batch["text"].tolist()):
+            for first, chunk in chunks(batch["text"].tolist()):
                 doc, bucket = hashed_ngrams(chunk)
                 raw += np.bincount(bucket, minlength=BUCKETS)
                 target += np.bincount(bucket[good[first:first + len(chunk)][doc]], minlength=BUCKETS)

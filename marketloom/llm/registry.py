@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marketloom.llm import exact_dedup, mixing, packing, quality, secret_scan
+from marketloom.llm import exact_dedup, mixing, packing, quality, secret_scan, shingle_join
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op6_source_mix": mixing.op6_source_mix,
+    "op10_shingle_join": shingle_join.op10_shingle_join,
 }
 
 ORACLES = {
