@@ -1,6 +1,6 @@
 """N-gram Jaccard join by grouped prefixes.
 
-A document's set is its distinct 3-word shingles (64-bit hashes). Two sets of similarity t or more share a shingle among the first
+A document's set is its distinct word shingles (64-bit hashes). Two sets of similarity t or more share a shingle among the first
 ``n - ceil(t n) + 1`` of each in any common order; the order here puts the most frequent shingles last, so that common
 passages rarely meet. Equal sets are one set. Sets with equal size and prefix form one group; groups meet by the
 shingles of their prefixes and are filtered by size, then pairs of groups are expanded to members, filtered by counts per hash
@@ -14,6 +14,7 @@ Links become components by alternating stars, each a combinable minimum and a jo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,19 +22,29 @@ from pyspark.sql import functions as F
 from marketloom.llm.tables import filled, settled, table
 from marketloom.llm.texthash import chunks, lowered, mixed, runs, word_bounds
 
-PERCENT = 90  # similarity from which two documents link
-WORDS = 3
 HEAVY_FROM = 32  # a shingle in more documents than this may be put last,
 HEAVY_MOST = 1 << 16  # the most frequent ones only: 1.3 MB go to every task; any choice gives the same links
 RANGES = 8  # key ranges of the frequency count per shuffle partition
-BINS = 128  # counts of a set's shingles by hash
+BINS = 256  # counts of a set's shingles by hash
 FEW = 128  # sets that may meet pairwise under one shingle; more are compared in blocks
 BLOCK = 256  # sets of a block
 COLUMNS = 4096  # shingles of a matrix product at a time
 BROADCAST_IDS = 500_000  # ids of 8 bytes; more are joined by a shuffle
 
 
-def shingle_sets(texts: list[bytes], words: int = WORDS):
+@dataclass(frozen=True)
+class Likeness:
+    """Words of a shingle, and the similarity in percent from which two documents link."""
+
+    words: int = 3
+    percent: int = 90
+
+
+CONTRACT = Likeness()
+NEAR_COPIES = Likeness(words=5, percent=80)
+
+
+def shingle_sets(texts: list[bytes], words: int):
     """Document numbers and shingle hashes, ordered by both, without repeats. A shorter text is one shingle; one without words none."""
     import numpy as np
 
@@ -63,18 +74,18 @@ def shingle_sets(texts: list[bytes], words: int = WORDS):
     return doc[new], gram[new]
 
 
-def _each_set(texts: list[str]) -> Iterator[tuple[int, object]]:
+def _each_set(texts: list[str], words: int) -> Iterator[tuple[int, object]]:
     """(number of the text, its sorted shingles)."""
     import numpy as np
 
     for first, chunk in chunks(texts):
-        doc, gram = shingle_sets(chunk)
+        doc, gram = shingle_sets(chunk, words)
         bounds = np.searchsorted(doc, np.arange(len(chunk) + 1))
         for i in range(len(chunk)):
             yield first + i, gram[bounds[i]:bounds[i + 1]]
 
 
-def heavy_shingles(docs: DataFrame, text: str = "text") -> dict[int, int]:
+def heavy_shingles(docs: DataFrame, like: Likeness, text: str = "text") -> dict[int, int]:
     """The most frequent folded (32-bit) shingles and their counts over all documents.
 
     A task sorts its folded shingles, cuts them into key ranges and ships the differences compressed, about two bytes for each
@@ -89,7 +100,7 @@ def heavy_shingles(docs: DataFrame, text: str = "text") -> dict[int, int]:
         import pandas as pd
 
         for batch in batches:
-            held = [gram >> np.uint64(32) for _, chunk in chunks(batch["text"].tolist()) for gram in [shingle_sets(chunk)[1]]]
+            held = [gram >> np.uint64(32) for _, chunk in chunks(batch["text"].tolist()) for gram in [shingle_sets(chunk, like.words)[1]]]
             folded = np.sort(np.concatenate(held or [np.zeros(0, dtype=np.uint64)]))
             cuts = np.searchsorted(folded, (np.arange(1, ranges, dtype=np.uint64) << np.uint64(32)) // np.uint64(ranges))
             parts = [(i, part) for i, part in enumerate(np.split(folded, cuts)) if len(part)]
@@ -112,7 +123,7 @@ def heavy_shingles(docs: DataFrame, text: str = "text") -> dict[int, int]:
     return {r["shingle"]: r["df"] for r in counted.orderBy(F.desc("df"), "shingle").limit(HEAVY_MOST).collect()}
 
 
-def described(docs: DataFrame, heavy: dict[int, int], *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def described(docs: DataFrame, heavy: dict[int, int], like: Likeness, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n, digest`` (of the set), ``prefix`` (shingles), ``prefix_digest`` and ``bins`` (counts, 16-bit), one row per document."""
 
     def describe(batches: Iterator) -> Iterator:
@@ -125,14 +136,14 @@ def described(docs: DataFrame, heavy: dict[int, int], *, key: str = "doc_id", te
         often = np.array([heavy[int(k)] for k in known], dtype=np.int64)
         for batch in batches:
             rows = []
-            for i, gram in _each_set(batch["text"].tolist()):
+            for i, gram in _each_set(batch["text"].tolist(), like.words):
                 n = len(gram)
                 rank = np.zeros(n, dtype=np.int64)
                 if len(known) and n:
                     folded = gram >> np.uint64(32)
                     at = np.minimum(np.searchsorted(known, folded), len(known) - 1)
                     rank = np.where(known[at] == folded, often[at], 0)
-                length = n - -(-PERCENT * n // 100) + 1 if n else 0
+                length = n - -(-like.percent * n // 100) + 1 if n else 0
                 prefix = gram[np.lexsort((gram, rank))[:length]] if rank.any() else gram[:length]
                 bins = np.bincount((gram >> np.uint64(20)).astype(np.int64) & (BINS - 1), minlength=BINS)
                 rows.append((batch["doc_id"].iloc[i], n, blake2b(gram.tobytes(), digest_size=16).digest(), prefix.view(np.int64),
@@ -145,16 +156,16 @@ def described(docs: DataFrame, heavy: dict[int, int], *, key: str = "doc_id", te
     return out
 
 
-def _near(a: str, b: str) -> Column:
-    return (F.col(a) * 100 >= F.col(b) * PERCENT) & (F.col(b) * 100 >= F.col(a) * PERCENT)
+def _near(a: str, b: str, like: Likeness) -> Column:
+    return (F.col(a) * 100 >= F.col(b) * like.percent) & (F.col(b) * 100 >= F.col(a) * like.percent)
 
 
-def candidate_pairs(multi: DataFrame, members: DataFrame) -> DataFrame:
+def candidate_pairs(multi: DataFrame, members: DataFrame, like: Likeness) -> DataFrame:
     """Distinct pairs of sets ``a < b`` under shingles where few meet: pairs of groups by shingle and size, then their members, and the
     pairs inside small groups."""
     few = multi.where(F.col("met") <= FEW).select("shingle", "gid", "n")
     left, right = few, few.select("shingle", F.col("gid").alias("gid_b"), F.col("n").alias("n_b"))
-    groups = left.join(right, "shingle").where((F.col("gid") < F.col("gid_b")) & _near("n", "n_b")).select("gid", "gid_b").distinct()
+    groups = left.join(right, "shingle").where((F.col("gid") < F.col("gid_b")) & _near("n", "n_b", like)).select("gid", "gid_b").distinct()
     one = members.select(F.col("gid"), F.col("rep").alias("a"))
     two = members.select(F.col("gid").alias("gid_b"), F.col("rep").alias("b"))
     across = groups.join(one, "gid").join(two, "gid_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -163,7 +174,7 @@ def candidate_pairs(multi: DataFrame, members: DataFrame) -> DataFrame:
     return across.unionByName(inside)
 
 
-def possible(pairs: DataFrame, bins: DataFrame) -> DataFrame:
+def possible(pairs: DataFrame, bins: DataFrame, like: Likeness) -> DataFrame:
     """Pairs whose overlap can reach the similarity by the bound: sum over bins of the smaller count. A full bin (65,535) bounds nothing."""
 
     def bound(batches: Iterator) -> Iterator:
@@ -177,14 +188,14 @@ def possible(pairs: DataFrame, bins: DataFrame) -> DataFrame:
             most = np.minimum(x, y).sum(axis=1)
             total = (batch["n_a"] + batch["n_b"]).to_numpy()
             full = ((x == 65535) | (y == 65535)).any(axis=1)
-            yield batch.loc[full | (100 * most >= PERCENT * (total - most)), ["a", "b"]]
+            yield batch.loc[full | (100 * most >= like.percent * (total - most)), ["a", "b"]]
 
     one = bins.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("bins").alias("bins_a"))
     two = bins.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("bins").alias("bins_b"))
     return pairs.join(one, "a").join(two, "b").mapInPandas(bound, "a bigint, b bigint")
 
 
-def set_table(docs: DataFrame, wanted: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def set_table(docs: DataFrame, wanted: DataFrame, like: Likeness, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``rep, digest, shingles`` (sorted, 64-bit) of the documents in ``wanted`` (``rep``, distinct)."""
 
     def sets(batches: Iterator) -> Iterator:
@@ -193,7 +204,7 @@ def set_table(docs: DataFrame, wanted: DataFrame, *, key: str = "doc_id", text:
         import pandas as pd
 
         for batch in batches:
-            blobs = [gram.astype("<u8").tobytes() for _, gram in _each_set(batch["text"].tolist())]
+            blobs = [gram.astype("<u8").tobytes() for _, gram in _each_set(batch["text"].tolist(), like.words)]
             yield pd.DataFrame({"rep": batch["rep"], "digest": [blake2b(b, digest_size=16).digest() for b in blobs], "shingles": blobs})
 
     ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
@@ -210,7 +221,7 @@ def one_set_for_each_key(full: DataFrame) -> DataFrame:
     return full.join(again, "doc_id", "left").where("own IS NULL OR (n = own.n AND digest = own.digest)").drop("own")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     """The pairs ``a, b`` that link."""
 
     def verify(batches: Iterator) -> Iterator:
@@ -221,14 +232,14 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for x, y in zip(batch["s_a"], batch["s_b"]):
                 x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+                keep.append(100 * both >= like.percent * (len(x) + len(y) - both))
             yield batch.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
     joined = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("s_a")), "a")
     return joined.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("s_b")), "b").mapInPandas(verify, "a bigint, b bigint")
 
 
-def _forest(ids, sets, left: int):
+def _forest(ids, sets, left: int, percent: int):
     """Rows (a, b) that connect what links among the sets: each of the first ``left`` with any, or all with all if ``left`` is 0."""
     import numpy as np
 
@@ -246,7 +257,7 @@ def _forest(ids, sets, left: int):
         part = np.zeros((len(sets), COLUMNS), dtype=np.float32)
         part[row[a:b], at[a:b] - low] = 1
         both += part @ part.T
-    linked = 100 * both >= PERCENT * (size[:, None] + size[None, :] - both)
+    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
     if left:
         linked[:left, :left] = linked[left:, left:] = False
     root = np.arange(len(sets))
@@ -260,7 +271,7 @@ def _forest(ids, sets, left: int):
     return [(int(ids[i]), int(ids[r])) for i, r in enumerate(root) if i != r]
 
 
-def block_links(multi: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+def block_links(multi: DataFrame, members: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     """Connecting links ``a, b`` among the sets that meet under a shingle, or in a group, where many meet."""
     many = many_met(multi, members)
     blocks = F.ceil(F.col("met") / BLOCK).cast("int")
@@ -280,7 +291,7 @@ def block_links(multi: DataFrame, members: DataFrame, sets: DataFrame) -> DataFr
         if len(part) < 2 or left == len(part):
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         sets = [np.frombuffer(s, dtype="<u8") for s in part["shingles"]]
-        return pd.DataFrame(_forest(part["rep"].to_numpy(), sets, left), columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(_forest(part["rep"].to_numpy(), sets, left, like.percent), columns=["a", "b"], dtype="int64")
 
     return rows.join(sets, "rep").groupBy("key", "i", "j").applyInPandas(compare, "a bigint, b bigint")
 
@@ -311,7 +322,7 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def linked_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def linked_components(docs: DataFrame, like: Likeness = CONTRACT, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id``, one row per row of ``docs`` that has a key.
 
     Null and empty texts, and texts of white space, have an empty set and are components of their own. Rows that repeat a key
@@ -320,7 +331,7 @@ def linked_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     named in a component and are left out. No rows give no rows. Only key and text are
     read, so other columns cannot clash.
     """
-    described_docs = settled(described(docs, heavy_shingles(docs, text), key=key, text=text), "shingle-prefixes")
+    described_docs = settled(described(docs, heavy_shingles(docs, like, text), like, key=key, text=text), "shingle-prefixes")
     full = one_set_for_each_key(described_docs.where("n > 0"))
     unique = settled(full.groupBy("n", "digest").agg(
         F.min("doc_id").alias("rep"), F.min_by(F.struct("prefix", "prefix_digest", "bins"), "doc_id").alias("s")), "shingle-sets")
@@ -332,12 +343,12 @@ def linked_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     met = postings.groupBy("shingle").agg(F.sum("weight").alias("met"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
     multi = settled(postings.select("gid", "n", "shingle").join(met.select("shingle", "met"), "shingle"), "met-shingles")
 
-    maybe = settled(possible(candidate_pairs(multi, members), unique.select("rep", "n", "s.bins")).distinct(), "possible-pairs")
+    maybe = settled(possible(candidate_pairs(multi, members, like), unique.select("rep", "n", "s.bins"), like).distinct(), "possible-pairs")
     wanted = maybe.select(F.col("a").alias("rep")).union(maybe.select("b")).union(many_met(multi, members).select("rep")).distinct()
-    whole = set_table(docs, settled(wanted, "wanted-sets"), key=key, text=text)
+    whole = set_table(docs, settled(wanted, "wanted-sets"), like, key=key, text=text)
     named = unique.select("rep", "digest")  # a repeated key may have other texts
     sets = settled(whole.join(named, ["rep", "digest"], "left_semi").dropDuplicates(["rep"]).drop("digest"), "whole-sets")
-    links = verified(maybe, sets).unionByName(block_links(multi, members, sets))
+    links = verified(maybe, sets, like).unionByName(block_links(multi, members, sets, like))
     found = settled(components(links), "set-components")
 
     by_set = unique.select("n", "digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
@@ -347,9 +358,9 @@ def linked_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def kept_rows(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def kept_rows(docs: DataFrame, like: Likeness = NEAR_COPIES, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component, the one that names it, with all columns; rows without a key stay."""
-    found = linked_components(docs, key=key, text=text)
+    found = linked_components(docs, like, key=key, text=text)
     gone = settled(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
     drop = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return docs.join(drop, docs[key].cast("bigint") == drop["_gone"], "left_anti")
