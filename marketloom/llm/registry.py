@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from marketloom.llm import exact_dedup, mixing, packing, quality, secret_scan, shingle_join
+from marketloom.llm import exact_dedup, mixing, packing, quality, secret_scan, shingle_join, url_filter, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_url_filter": url_filter.op2_url_filter,
     "op3_packing": packing.op3_packing,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op6_source_mix": mixing.op6_source_mix,
+    "op8_warc": warc.op8_warc,
     "op10_shingle_join": shingle_join.op10_shingle_join,
 }
 
