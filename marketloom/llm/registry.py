@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marketloom.llm import exact_dedup, html_text, mixing, packing, quality, secret_scan, shingle_join, url_filter, warc
+from marketloom.llm import exact_dedup, html_text, mixing, neighbours, packing, quality, secret_scan, shingle_join, url_filter, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op6_source_mix": mixing.op6_source_mix,
+    "op7_neighbours": neighbours.op7_neighbours,
     "op8_warc": warc.op8_warc,
     "op9_html_text": html_text.op9_html_text,
     "op10_shingle_join": shingle_join.op10_shingle_join,
