@@ -78,10 +78,10 @@ def jon_13(spark, d):
 
 
 @query("jon_14_industry_day_grid", f"""SELECT k.industry_level_2_code, strftime(t.trading_day, '%Y-%m-%d') AS trading_day, c.pct_change IS NULL AS is_empty
-FROM (SELECT industry_level_2_code FROM industry GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5) k CROSS JOIN (SELECT DISTINCT trading_day FROM bars WHERE year(trading_day) = (SELECT year(max(l_shipdate)) FROM lineitem)) t
+FROM (SELECT industry_level_2_code FROM industry GROUP BY 1) k CROSS JOIN (SELECT DISTINCT trading_day FROM bars WHERE year(trading_day) = (SELECT year(max(l_shipdate)) FROM lineitem)) t
 LEFT JOIN heat_cells c ON c.industry_level_2_code = k.industry_level_2_code AND c.trading_day = t.trading_day""")
 def jon_14(spark, d):
-    grid = I.heatmap(S.industry(spark, d), S.bars(spark, d), anchor=last_day(spark, d), limit=5)
+    grid = I.heatmap(S.industry(spark, d), S.bars(spark, d), anchor=last_day(spark, d))
     return day_text(grid).select("industry_level_2_code", "trading_day", col("pct_change").isNull().alias("is_empty"))
 
 

@@ -139,8 +139,8 @@ def quotes(recent):
         col("latest_volume").alias("volume"), col("latest_amount").alias("amount"))
 
 
-def recent_stats(recent):
-    limit_up = L.latest(L.with_recent_limit_up(recent.select("market", "symbol", "trading_day", "close"), 20))
+def recent_stats(recent, sessions=spec.TAIL_SESSION["limit_up_lookback_days"]):
+    limit_up = L.latest(L.with_recent_limit_up(recent.select("market", "symbol", "trading_day", "close"), sessions))
     return limit_up.select("market", "symbol", "recent_limit_up").join(L.latest_snapshot(recent).select("market", "symbol", "avg_volume_last_5"), ["market", "symbol"])
 
 
@@ -164,13 +164,14 @@ add_view("today_vwap", """SELECT market, symbol, count(*) AS valid_points, count
 add_view("limit_up", f"""SELECT market, symbol, coalesce(max((close / nullif(p, 0) - 1.0) * 100.0) >= 9.8, false) AS recent_limit_up FROM (SELECT *, lag(close) OVER s AS p, row_number() OVER (PARTITION BY market, symbol ORDER BY trading_day DESC) AS rn FROM bars {SYMBOL_FRAME})
   WHERE rn <= 20 GROUP BY 1, 2""")
 add_view("tail_rows", f"""SELECT f.market, f.symbol, f.close AS price, f.previous_close AS last_close, f.open, f.low, f.volume, f.amount, f.avg_volume_last_5, l.recent_limit_up, v.total_market_cap, v.free_float_market_cap,
-  NOT t.breached AND t.above / t.valid_points::DOUBLE * 100.0 >= 80 AS points_pass, {sql_round('(f.close / f.previous_close - 1.0) * 100.0', 4)} AS gain_pct,
+  NOT t.breached AND t.above / t.valid_points::DOUBLE * 100.0 >= 80 AS points_pass, {sql_round('(f.close / nullif(f.previous_close, 0) - 1.0) * 100.0', 4)} AS gain_pct,
   CASE WHEN f.avg_volume_last_5 > 0 THEN f.volume / f.avg_volume_last_5 END AS volume_ratio, coalesce(nullif(v.free_float_market_cap, 0), v.total_market_cap) AS float_cap
-  FROM (SELECT * FROM volume_frames WHERE rn = 1) f JOIN limit_up l USING (market, symbol) LEFT JOIN val_inputs v USING (market, symbol) LEFT JOIN today_vwap t USING (market, symbol) WHERE f.previous_close <> 0""")
-add_view("tail_flags", """SELECT market, symbol, gain_pct, volume_ratio, turnover_pct, gain_pct BETWEEN 3.0 AND 5.0 AS ok_gain_pct, recent_limit_up AS ok_limit_up_lookback_days, coalesce(volume_ratio >= 1.4, false) AS ok_min_volume_ratio,
+  FROM (SELECT * FROM volume_frames WHERE rn = 1) f JOIN limit_up l USING (market, symbol) LEFT JOIN val_inputs v USING (market, symbol) LEFT JOIN today_vwap t USING (market, symbol)""")
+FLAGS_SQL = """SELECT market, symbol, gain_pct, volume_ratio, turnover_pct, coalesce(gain_pct BETWEEN 3.0 AND 5.0, false) AS ok_gain_pct, coalesce(recent_limit_up, false) AS ok_limit_up_lookback_days, coalesce(volume_ratio >= 1.4, false) AS ok_min_volume_ratio,
   coalesce(total_market_cap <= 200, false) AS ok_max_market_cap_yi, coalesce(turnover_pct BETWEEN 5 AND 10, false) AS ok_turnover_pct,
-  coalesce(points_pass, low >= amount / nullif(volume * 100.0::DOUBLE, 0) * (1.0::DOUBLE - 0.3::DOUBLE / 100.0::DOUBLE), false) AS ok_intraday_above_vwap, price > open AS ok_current_above_open
-  FROM (SELECT *, CASE WHEN float_cap > 0 AND price > 0 THEN volume * 100.0::DOUBLE * price / (float_cap * 1e8) * 100.0 END AS turnover_pct FROM tail_rows)""")
+  coalesce(points_pass, low >= amount / nullif(volume * 100.0::DOUBLE, 0) * (1.0::DOUBLE - 0.3::DOUBLE / 100.0::DOUBLE), false) AS ok_intraday_above_vwap, coalesce(price > open, false) AS ok_current_above_open
+  FROM (SELECT *, CASE WHEN float_cap > 0 AND price > 0 THEN volume * 100.0::DOUBLE * price / (float_cap * 1e8) * 100.0 END AS turnover_pct FROM {0})"""
+add_view("tail_flags", FLAGS_SQL.format("tail_rows"))
 
 
 @query("scr_02_tail_session", "SELECT *, ok_gain_pct AND ok_limit_up_lookback_days AND ok_min_volume_ratio AND ok_max_market_cap_yi AND ok_turnover_pct AND ok_intraday_above_vwap AND ok_current_above_open AS matched FROM tail_flags")
@@ -227,14 +228,14 @@ def ind_01(spark, d):
 add_view("tick_days", "SELECT market, symbol, trading_day, arg_max(price, (ts, event_id)) AS close FROM ticks GROUP BY 1, 2, 3")
 add_view("window_columns", "SELECT market, symbol, trading_day, " + ", ".join(
     f"sum(CASE WHEN {aggregates.CLOCK} BETWEEN '{a}:00' AND '{b}:00' THEN volume ELSE 0 END)::BIGINT AS {n}, count(*) FILTER ({aggregates.CLOCK} BETWEEN '{a}:00' AND '{b}:00') AS {n.removesuffix('_volume')}_bar_count" for n, a, b in spec.WINDOW_SPECS)
-    + " FROM ticks WHERE hour(ts) BETWEEN 9 AND 14 GROUP BY 1, 2, 3")
+    + " FROM ticks GROUP BY 1, 2, 3")
 VOLUME_SQL = f"SELECT market, symbol, {DAY}, close, open_15m_volume, open_15m_bar_count, window_1430_1445_volume, window_1430_1445_bar_count FROM tick_days JOIN window_columns USING (market, symbol, trading_day)"
 
 
-def volume_rows(spark, d, limit):
+def volume_rows(spark, d, limit=None):
     t = S.ticks(spark, d)
     daily = t.groupBy("market", "symbol", "trading_day").agg(F.max_by("price", F.struct("ts", "event_id")).alias("close"))
-    return day_text(D.volume_history(daily, D.window_columns(t.where(F.hour("ts").between(9, 14))), limit))
+    return day_text(D.volume_history(daily, D.window_columns(t), limit))
 
 
 @query("vol_01_volume_history", VOLUME_SQL + " QUALIFY row_number() OVER (PARTITION BY market, symbol ORDER BY trading_day DESC) <= 20")
@@ -244,4 +245,4 @@ def vol_01(spark, d):
 
 @query("jon_15_daily_with_windows", VOLUME_SQL)
 def jon_15(spark, d):
-    return volume_rows(spark, d, 100000)
+    return volume_rows(spark, d)

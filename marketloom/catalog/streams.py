@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from marketloom.catalog import query
 from marketloom.catalog import valuation as cv
 from marketloom.catalog.momentum import DAY, day_text
-from marketloom.catalog.screeners import FLAG_COLUMNS, recent_bars, recent_stats
-from marketloom.catalog.views import add_view
+from marketloom.catalog.screeners import FLAG_COLUMNS, FLAGS_SQL, recent_bars, recent_stats
+from marketloom.catalog.views import add_view, sql_round, sql_symbol
 from marketloom.operators import rolling as L
 from marketloom.plans import intraday as D
 from marketloom.session import fresh_path, settle
@@ -23,7 +23,7 @@ def quote_stream(spark, d):
     """Ticks as quotes of the security their user stands for."""
     rows = T.tick_stream(spark, d)
     return rows.select(
-        S.market_of(col("user_id")).alias("market"), S.symbol_of(col("user_id")).alias("symbol"), col("ts").alias("quote_time"), "price", "volume",
+        S.market_of(col("user_id")).alias("market"), S.symbol_of(col("user_id")).alias("symbol"), col("ts").alias("quote_time"), "event_id", "price", "volume",
         (col("amount_cents") / 100.0).alias("amount"))
 
 
@@ -38,15 +38,22 @@ def static_side(spark, d):
 def screened(spark, d):
     path = fresh_path(spark, "screen")
     T.drain(T.realtime_screener(quote_stream(spark, d), static_side(spark, d), path, interval=None))
-    return spark.read.parquet(f"{path}/flags")
+    return T.screener_result(spark, path)
 
 
-@query("stm_01_realtime_screener")
+# Every quoted symbol keeps its row; what it lacks leaves conditions unmet.
+add_view("stream_rows", f"""SELECT q.market, q.symbol, q.price, q.volume, q.amount, s.last_close, s.open, s.low, s.avg_volume_last_5, s.recent_limit_up, s.total_market_cap, s.free_float_market_cap, NULL::BOOLEAN AS points_pass,
+  {sql_round('(q.price / nullif(s.last_close, 0) - 1.0) * 100.0', 4)} AS gain_pct, CASE WHEN s.avg_volume_last_5 > 0 THEN q.volume / s.avg_volume_last_5 END AS volume_ratio, coalesce(nullif(s.free_float_market_cap, 0), s.total_market_cap) AS float_cap
+  FROM (SELECT CASE user_id % 3 WHEN 0 THEN 'sz' WHEN 1 THEN 'sh' ELSE 'bj' END AS market, {sql_symbol('user_id')} AS symbol, arg_max(price, (ts, event_id)) AS price, arg_max(volume, (ts, event_id)) AS volume, arg_max(amount_cents, (ts, event_id))::DOUBLE / 100.0::DOUBLE AS amount FROM ticks GROUP BY 1, 2) q
+  LEFT JOIN (SELECT f.market, f.symbol, f.close AS last_close, f.open, f.low, f.avg_volume_last_5, l.recent_limit_up, v.total_market_cap, v.free_float_market_cap FROM (SELECT * FROM volume_frames WHERE rn = 1) f JOIN limit_up l USING (market, symbol) JOIN val_inputs v USING (market, symbol)) s USING (market, symbol)""")
+
+
+@query("stm_01_realtime_screener", FLAGS_SQL.format("stream_rows"))
 def stm_01(spark, d):
     return screened(spark, d).select(*FLAG_COLUMNS)
 
 
-@query("jon_16_stream_static_join")
+@query("jon_16_stream_static_join", "SELECT market, symbol, price, last_close, total_market_cap, avg_volume_last_5 FROM stream_rows")
 def jon_16(spark, d):
     return screened(spark, d).select("market", "symbol", "price", "last_close", "total_market_cap", "avg_volume_last_5")
 
@@ -97,12 +104,11 @@ def stm_04(spark, d):
     return bar_text(D.derive_bars(five, D.resample(ticks, 1), 30)).select(*BAR_COLUMNS, "base_interval")
 
 
-@query("stm_05_window_volume")
+@query("stm_05_window_volume", f"SELECT market, symbol, {DAY}, indicator_name, volume_sum, amount_sum, bar_count FROM window_sums")
 def stm_05(spark, d):
     path = fresh_path(spark, "windows")
     T.drain(T.window_volume(T.tick_stream(spark, d), path))
-    rows = spark.read.parquet(f"{path}/windows")
-    return rows.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")).drop("window_end")
+    return day_text(T.window_result(spark, path))
 
 
 DAYS = "SELECT market, symbol, trading_day, sum(volume)::BIGINT AS volume, sum(amount_cents)::BIGINT AS amount_cents FROM ticks GROUP BY 1, 2, 3"

@@ -47,9 +47,11 @@ def window_columns(ticks: DataFrame, specs=spec.WINDOW_SPECS) -> DataFrame:
     return ticks.groupBy(*CELL).agg(*out)
 
 
-def volume_history(daily: DataFrame, windows: DataFrame, limit: int) -> DataFrame:
-    """Days with both a daily close and intraday data, newest ``limit`` per symbol."""
+def volume_history(daily: DataFrame, windows: DataFrame, limit: int | None = None) -> DataFrame:
+    """Days with both a daily close and intraday data; the newest ``limit`` per symbol, or all."""
     rows = daily.select(*CELL, "close").join(windows, list(CELL))
+    if limit is None:
+        return rows
     newest = F.row_number().over(W.partitionBy("market", "symbol").orderBy(F.col("trading_day").desc()))
     return rows.withColumn("_rn", newest).where(F.col("_rn") <= limit).drop("_rn")
 

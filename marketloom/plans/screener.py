@@ -77,17 +77,19 @@ def stock_screener(rows: DataFrame, params: dict[str, str]) -> DataFrame:
 SWITCHES = tuple(spec.TAIL_SESSION_NAMES)
 
 
-def tail_session_inputs(quotes: DataFrame, recent: DataFrame, valuation: DataFrame, points: DataFrame | None) -> DataFrame:
-    """Quotes with recent-bar statistics, caps and the VWAP strength of their intraday points.
+def tail_session_inputs(quotes: DataFrame, recent: DataFrame, valuation: DataFrame, points: DataFrame | None, conditions: dict | None = None) -> DataFrame:
+    """Quotes with recent-bar statistics, caps and the VWAP strength of their intraday points, tested by ``conditions``.
 
     ``recent`` carries limit-up and average volume per symbol. Points, the costly side, are reduced to one row per
     symbol before they meet the quotes.
     """
-    rows = quotes.where(F.col("price").isNotNull() & (F.col("last_close") != 0)).join(recent, KEYS, "left").join(
+    p = {**spec.TAIL_SESSION, **(conditions or {})}
+    rows = quotes.where(F.col("price").isNotNull()).join(recent, KEYS, "left").join(
         valuation.select(*KEYS, "total_market_cap", "free_float_market_cap"), KEYS, "left")
     if points is None:
         return rows.withColumn("points_pass", F.lit(None).cast("boolean"))
-    strength = D.vwap_strength(D.cumulative_vwap(points)).select(*KEYS, F.col("passes").alias("points_pass"))
+    strength = D.vwap_strength(
+        D.cumulative_vwap(points), min_ratio_pct=p["intraday_above_vwap_min_ratio_pct"], max_breach_pct=p["intraday_vwap_max_breach_pct"]).select(*KEYS, F.col("passes").alias("points_pass"))
     return rows.join(strength, KEYS, "left")
 
 
@@ -96,8 +98,9 @@ def tail_session_flags(rows: DataFrame, conditions: dict | None = None) -> DataF
     p = {**spec.TAIL_SESSION, **(conditions or {})}
     c = F.col
     no = lambda x: F.coalesce(x, F.lit(False))
-    rows = rows.withColumn("gain_pct", N.rounded((c("price") / c("last_close") - 1.0) * 100.0, 4))
-    rows = rows.withColumn("volume_ratio", F.when(c("avg_volume_last_5") > 0, c("volume") / c("avg_volume_last_5")))
+    rows = rows.withColumn("gain_pct", N.rounded(N.return_pct(c("price"), c("last_close")), 4))
+    own = c("volume_ratio") if "volume_ratio" in rows.columns else F.lit(None).cast("double")  # the quote's own comes first
+    rows = rows.withColumn("volume_ratio", F.coalesce(own, F.when(c("avg_volume_last_5") > 0, c("volume") / c("avg_volume_last_5"))))
     float_cap = F.coalesce(F.nullif(c("free_float_market_cap"), F.lit(0.0)), c("total_market_cap"))
     rows = rows.withColumn("turnover_pct", F.when((float_cap > 0) & (c("price") > 0), c("volume") * spec.LOT_SIZE * c("price") / (float_cap * 1e8) * 100.0))
     vwap = F.coalesce(c("points_pass"), D.quote_vwap_passes(c("amount"), c("volume"), c("low"), p["intraday_vwap_max_breach_pct"]))

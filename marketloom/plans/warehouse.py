@@ -32,9 +32,14 @@ def with_period(rows: DataFrame) -> DataFrame:
     return known.withColumn("period", P.period_from_yyyymmdd(F.col("report_date")))
 
 
+def newest_of_package(packages: DataFrame) -> DataFrame:
+    """Each package holds one report per code, its newest; a full order makes the pick the same on every run."""
+    return keep_first(packages, ["package", "code"], [F.col("report_date").desc_nulls_last(), F.col("announce_date").desc_nulls_last(), F.xxhash64(*packages.columns)])
+
+
 def build(packages: DataFrame) -> DataFrame:
     """All periods of all packages: one row per code and period, newest announcement first."""
-    rows = with_period(packages)
+    rows = with_period(newest_of_package(packages))
     return keep_first(rows, ["code", "period"], [F.col("announce_date").desc(), F.col("report_date").desc(), F.col("package").desc()])
 
 
@@ -44,16 +49,20 @@ def meta(warehouse: DataFrame) -> DataFrame:
         F.max_by("period", P.period_ord(F.col("period"))).alias("latest_period"), F.count(F.lit(1)).alias("period_count"))
 
 
-def newest_packages(packages: DataFrame, n: int = 5) -> DataFrame:
-    names = packages.select("package").distinct().orderBy(F.col("package").desc()).limit(n)
-    return packages.join(names, "package", "left_semi")
+def package_period(package: Column) -> Column:
+    """Period named by the date at the end of a package's name."""
+    return P.period_from_yyyymmdd(F.right(package, F.lit(8)).try_cast("int"))
 
 
-def detect_updates(packages: DataFrame, known: DataFrame, n: int = 5) -> DataFrame:
-    """Records of the newest packages that are later than what each known code already has."""
-    rows = with_period(newest_packages(packages, n))
-    joined = rows.join(known.select("code", "latest_period"), "code")
-    fresh = joined.where(P.period_ord(F.col("period")) > P.period_ord(F.col("latest_period"))).drop("latest_period")
+def detect_updates(packages: DataFrame, known: DataFrame) -> DataFrame:
+    """Records later than what each known code already has.
+
+    A package is looked into for the codes whose newest period is older than the package, however many packages that are.
+    """
+    joined = newest_of_package(packages).join(known.select("code", "latest_period"), "code")
+    older = P.period_ord(F.col("latest_period")) < P.period_ord(package_period(F.col("package")))
+    rows = with_period(joined.where(older))
+    fresh = rows.where(P.period_ord(F.col("period")) > P.period_ord(F.col("latest_period"))).drop("latest_period")
     return keep_first(fresh, ["code", "period"], [F.col("announce_date").desc(), F.col("report_date").desc(), F.col("package").desc()])
 
 
@@ -81,7 +90,7 @@ def available_periods(warehouse: DataFrame) -> DataFrame:
 def write_periods(rows: DataFrame, path: str) -> None:
     """Write by period; only the periods present in ``rows`` are replaced, so unrelated periods are never rewritten."""
     (
-        rows.repartition("period", F.pmod(F.xxhash64("code"), F.lit(16)))  # several files per period, none hot
+        rows.hint("rebalance", "period")  # files of the advised size: small periods one file, large ones several
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(path)
     )
 

@@ -26,8 +26,8 @@ def read_json_rows(spark: SparkSession, path: str, schema: T.StructType) -> Data
 
 
 def read_periods(spark: SparkSession, path: str, period: str | None = None) -> DataFrame:
-    """Statement warehouse, one directory per period; a period filter prunes directories."""
-    rows = spark.read.option("ignoreCorruptFiles", True).parquet(path)
+    """Statement warehouse, one directory per period; a period filter prunes directories. An unreadable file fails the job."""
+    rows = spark.read.parquet(path)
     return rows if period is None else rows.where(F.col("period") == period)
 
 

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from marketloom import spec
 from marketloom.functions import numeric as N
-from marketloom.operators.prefix import running_totals
 from marketloom.plans import intraday as D
 from marketloom.plans import screener as X
 
@@ -40,84 +40,91 @@ def start(rows: DataFrame, path: str, batch: Callable[[DataFrame, int], None], i
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-def drain(query: StreamingQuery, seconds: int = 600) -> None:
-    if not query.awaitTermination(seconds):
-        query.stop()
-        raise TimeoutError("stream did not drain in time")
+def drain(query: StreamingQuery) -> None:
+    """Wait until all that is there has been processed; a failure of the query is raised."""
+    query.awaitTermination()
 
 
 def realtime_screener(quotes: DataFrame, static: DataFrame, path: str, *, interval: str | None = "30 seconds", conditions: dict | None = None) -> StreamingQuery:
-    """Evaluate the tail-session conditions on each micro-batch's newest quote per symbol against static data."""
+    """Evaluate the tail-session conditions on each micro-batch's newest quote per symbol against static data.
+
+    Symbols without static data keep their row; conditions that cannot be evaluated fail.
+    """
 
     def evaluate(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.groupBy("market", "symbol").agg(F.max_by(F.struct(*[c for c in batch.columns if c not in ("market", "symbol")]), "quote_time").alias("q"))
-        rows = newest.select("market", "symbol", "q.*").join(static, ["market", "symbol"])
+        newest = batch.groupBy("market", "symbol").agg(F.max_by(F.struct(*[c for c in batch.columns if c not in ("market", "symbol")]), F.struct("quote_time", "event_id")).alias("q"))
+        rows = newest.select("market", "symbol", "q.*").join(static, ["market", "symbol"], "left")
         X.tail_session_flags(rows, conditions).write.mode("overwrite").parquet(f"{path}/flags/batch={batch_id}")
 
     return start(quotes, path, evaluate, interval)
 
 
-def vwap_state(ticks: DataFrame, path: str, *, interval: str | None = None, keep_days: int = 3, max_breach_pct: float = 0.3) -> StreamingQuery:
-    """Cumulative VWAP strength per symbol and day, carried from batch to batch.
+def screener_result(spark: SparkSession, path: str) -> DataFrame:
+    """The verdict on each symbol's newest quote over all batches."""
+    rows = spark.read.parquet(f"{path}/flags").drop("batch")
+    fields = [c for c in rows.columns if c not in ("market", "symbol")]
+    return rows.groupBy("market", "symbol").agg(F.max_by(F.struct(*fields), F.struct("quote_time", "event_id")).alias("q")).select("market", "symbol", "q.*")
+
 
-    The carried state is a table with one small row per (symbol, day): totals, counts and the breach flag. A batch's own
-    running totals come from the two-level prefix sum, so a hot symbol's ticks are spread over tasks; the carried totals
-    are then added as an offset. Days older than ``keep_days`` before the newest tick move to the closed table.
+def vwap_state(ticks: DataFrame, path: str, *, interval: str | None = None, min_ratio_pct: float = 80.0, max_breach_pct: float = 0.3) -> StreamingQuery:
+    """Cumulative VWAP strength per symbol and day, right for late ticks and ticks out of order.
+
+    Usable points are kept by day and batch. A batch recomputes the (symbol, day) cells that it touches from their kept points, by
+    the same two-level running totals as the batch job; other days are pruned. The newest batch of a cell holds its result.
     """
     cell = list(D.CELL)
-    fields = ["cum_cents", "cum_volume", "valid_points", "above_count", "breached"]
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        points = D.usable_points(batch)
-        minute = F.date_format("ts", "HHmm")
-        inside = running_totals(points, cell, minute, ["ts", "event_id"], {"in_cents": F.col("amount_cents"), "in_volume": F.col("volume")})
-        if batch_id > 0:
-            before = spark.read.parquet(f"{path}/state/batch={batch_id - 1}")
-        else:
-            before = spark.createDataFrame([], "market string, symbol string, trading_day date, cum_cents bigint, cum_volume bigint, valid_points bigint, above_count bigint, breached boolean")
-        offset = before.select(*cell, F.col("cum_cents").alias("o_cents"), F.col("cum_volume").alias("o_volume"))
-        joined = inside.join(offset, cell, "left")
-        total = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-        vwap = (total("in_cents", "o_cents") / 100.0) / (total("in_volume", "o_volume") * 100.0)
-        seen = joined.where(total("in_volume", "o_volume") > 0).withColumn("vwap", vwap)
-        above = F.col("price") >= F.col("vwap")
-        own = seen.groupBy(*cell).agg(
-            F.sum("amount_cents").alias("cum_cents"), F.sum("volume").alias("cum_volume"), F.count(F.lit(1)).alias("valid_points"), F.count_if(above).alias("above_count"),
-            F.max(~above & (F.col("price") < F.col("vwap") * (1.0 - max_breach_pct / 100.0))).alias("breached"))
-        merged = before.select(*cell, *fields).unionByName(own).groupBy(*cell).agg(
-            *[F.sum(c).alias(c) for c in fields[:-1]], F.max("breached").alias("breached"))
-        merged.write.mode("overwrite").parquet(f"{path}/merged/batch={batch_id}")
-        stored = spark.read.parquet(f"{path}/merged/batch={batch_id}")
-        horizon = stored.agg(F.date_sub(F.max("trading_day"), keep_days)).scalar()
-        stored.where(F.col("trading_day") >= horizon).write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
-        stored.where(F.col("trading_day") < horizon).write.mode("overwrite").parquet(f"{path}/closed/batch={batch_id}")
+        points = D.usable_points(batch).withColumn("batch", F.lit(batch_id))
+        points.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("trading_day", "batch").parquet(f"{path}/points")
+        if spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(f"{path}/points").isEmpty():
+            return
+        stored = spark.read.schema(points.schema).parquet(f"{path}/points")
+        touched = stored.where(F.col("batch") == batch_id).select(*cell).distinct()
+        again = stored.where(F.col("batch") <= batch_id).join(touched, cell, "left_semi")
+        strength = D.vwap_strength(D.cumulative_vwap(again), min_ratio_pct=min_ratio_pct, max_breach_pct=max_breach_pct)
+        strength.write.mode("overwrite").parquet(f"{path}/cells/batch={batch_id}")
 
     return start(ticks, path, fold, interval)
 
 
-def vwap_result(spark: SparkSession, path: str, min_ratio_pct: float = 80.0) -> DataFrame:
-    """Closed days plus the newest carried state."""
-    closed = spark.read.parquet(f"{path}/closed").drop("batch")
-    state = spark.read.parquet(f"{path}/state")
-    newest = state.agg(F.max("batch")).scalar()
-    rows = closed.unionByName(state.where(F.col("batch") == newest).drop("batch"))
-    return rows.withColumn("passes", ~F.col("breached") & (F.col("above_count") / F.col("valid_points") * 100.0 >= min_ratio_pct))
+def vwap_result(spark: SparkSession, path: str) -> DataFrame:
+    """Each cell as its newest batch left it."""
+    rows = spark.read.parquet(f"{path}/cells")
+    fields = [c for c in rows.columns if c not in (*D.CELL, "batch")]
+    return rows.groupBy(*D.CELL).agg(F.max_by(F.struct(*fields), "batch").alias("v")).select(*D.CELL, "v.*")
+
 
+def window_volume(ticks: DataFrame, path: str, *, delay: str = "2 days", interval: str | None = None) -> StreamingQuery:
+    """Volume per symbol, day and named time-of-day window: changed rows per batch, windows still open included.
 
-def window_volume(ticks: DataFrame, path: str, *, minutes: int = 15, delay: str = "10 minutes", interval: str | None = None) -> StreamingQuery:
-    """Volume per symbol and time window; a window is written once, when the watermark has passed its end."""
-    rows = ticks.withWatermark("ts", delay).groupBy("market", "symbol", F.window("ts", f"{minutes} minutes")).agg(
+    The day is an event-time window, so the watermark clears a day's state ``delay`` after its end.
+    """
+    at = D.clock(F.col("ts"))
+    hits = F.filter(F.array(*[F.when(at.between(f"{a}:00", f"{b}:00"), F.lit(n)) for n, a, b in spec.WINDOW_SPECS]), lambda x: x.isNotNull())
+    inside = ticks.withWatermark("ts", delay).select("market", "symbol", "ts", "volume", "amount_cents", F.explode(hits).alias("indicator_name"))
+    rows = inside.groupBy("market", "symbol", "indicator_name", F.window("ts", "1 day")).agg(
         F.sum("volume").alias("volume_sum"), F.sum("amount_cents").alias("amount_cents"), F.count(F.lit(1)).alias("bar_count"))
-    flat = rows.select("market", "symbol", F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "volume_sum", "amount_cents", "bar_count")
-    writer = flat.writeStream.format("parquet").outputMode("append").option("path", f"{path}/windows").option("checkpointLocation", f"{path}/_checkpoint")
-    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+    flat = rows.select("market", "symbol", F.to_date("window.start").alias("trading_day"), "indicator_name", "volume_sum", "amount_cents", "bar_count")
+    return start(flat, path, lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/windows/batch={i}"), interval, mode="update")
+
+
+def window_result(spark: SparkSession, path: str) -> DataFrame:
+    """Each window as its newest batch left it."""
+    key = ("market", "symbol", "trading_day", "indicator_name")
+    newest = spark.read.parquet(f"{path}/windows").groupBy(*key).agg(F.max_by(F.struct("volume_sum", "amount_cents", "bar_count"), "batch").alias("v"))
+    return newest.select(*key, "v.volume_sum", (F.col("v.amount_cents") / 100.0).alias("amount_sum"), "v.bar_count")
 
 
-def provisional_days(ticks: DataFrame, path: str, *, delay: str = "10 minutes", interval: str | None = None) -> StreamingQuery:
-    """Running totals of each symbol's day while it trades: changed rows per batch, newest batch wins on reading."""
-    rows = ticks.withWatermark("ts", delay).groupBy("market", "symbol", "trading_day").agg(
+def provisional_days(ticks: DataFrame, path: str, *, delay: str = "2 days", interval: str | None = None) -> StreamingQuery:
+    """Running totals of each symbol's day while it trades: changed rows per batch, newest batch wins on reading.
+
+    The day is an event-time window: ``delay`` after its end the watermark drops its state, and later ticks are left to the recompute.
+    """
+    rows = ticks.withWatermark("ts", delay).groupBy("market", "symbol", F.window("ts", "1 day")).agg(
         F.sum("volume").alias("volume"), F.sum("amount_cents").alias("amount_cents"), F.max("ts").alias("as_of"))
+    rows = rows.select("market", "symbol", F.to_date("window.start").alias("trading_day"), "volume", "amount_cents", "as_of")
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/provisional/batch={batch_id}")

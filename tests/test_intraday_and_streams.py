@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marketloom.operators.prefix import running_totals
 from marketloom.plans import archive as A
 from marketloom.plans import intraday as D
+from marketloom.plans import screener as X
 from marketloom.session import fresh_path
 from marketloom.sources import tables as S
 from marketloom.streaming import ticks as T
@@ -58,21 +59,96 @@ def test_vwap_state_across_batches_equals_batch(spark, sf, split_events):
     path = fresh_path(spark, "vwap")
     q = T.vwap_state(T.tick_stream(spark, split_events, "events-*.parquet", files_per_batch=1), path)
     T.drain(q)
-    assert spark.read.parquet(f"{path}/merged").select("batch").distinct().count() == 4
+    assert spark.read.parquet(f"{path}/cells").select("batch").distinct().count() == 4
     columns = ["symbol", "trading_day", "valid_points", "above_count", "breached", "passes"]
     streamed = T.vwap_result(spark, path).select(*columns)
     batch = D.vwap_strength(D.cumulative_vwap(S.ticks(spark, sf))).select(*columns)
     assert streamed.exceptAll(batch).isEmpty() and batch.exceptAll(streamed).isEmpty()
 
 
-def test_window_volume_emits_each_closed_window_once(spark, sf, split_events):
+def write_ticks(folder, batches):
+    import os
+    import time
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    schema = pa.schema([("event_id", pa.int64()), ("ts", pa.timestamp("us")), ("user_id", pa.int64()), ("event_type", pa.string()), ("value", pa.float64()), ("props", pa.string())])
+    for k, rows in enumerate(batches):
+        path = f"{folder}/events-{k}.parquet"
+        pq.write_table(pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema), path)
+        os.utime(path, (time.time() - 100 + k, time.time() - 100 + k))
+
+
+def late_batches():
+    """Days 1, 10, then late and out-of-order ticks for both."""
+    tick = lambda i, day, minute, price: (i, dt.datetime(2024, 1, day, 9, minute), 1, "A", price, '{"k": 2}')
+    return [[tick(1, 1, 31, 10.0), tick(2, 1, 40, 9.0)], [tick(3, 10, 35, 10.0)], [tick(4, 1, 35, 20.0), tick(5, 10, 32, 5.0)], [tick(6, 10, 44, 7.0)]]
+
+
+def test_late_and_unordered_ticks_equal_the_batch(spark, tmp_path):
+    write_ticks(tmp_path, late_batches())
+    path = fresh_path(spark, "vwap")
+    T.drain(T.vwap_state(T.tick_stream(spark, str(tmp_path), "events-*.parquet", files_per_batch=1), path))
+    columns = ["symbol", "trading_day", "valid_points", "above_count", "breached", "passes"]
+    streamed = T.vwap_result(spark, path).select(*columns)
+    batch = D.vwap_strength(D.cumulative_vwap(T_batch(spark, tmp_path))).select(*columns)
+    assert sorted(streamed.collect()) == sorted(batch.collect()) and streamed.count() == 2
+
+
+def T_batch(spark, folder):
+    """The same ticks read as one batch."""
+    from marketloom.functions import numeric as N
+
+    raw = spark.read.parquet(f"{folder}/events-*.parquet")
+    volume = F.get_json_object("props", "$.k").cast("bigint")
+    return raw.select(F.lit("sh").alias("market"), F.col("event_type").alias("symbol"), "user_id", "event_id", F.to_date("ts").alias("trading_day"), F.col("ts").cast("timestamp").alias("ts"),
+                      F.col("value").alias("price"), volume.alias("volume"), N.scaled(F.col("value") * volume * 100.0, 2).alias("amount_cents"))
+
+
+def test_window_volume_has_every_window(spark, sf, split_events):
     path = fresh_path(spark, "windows")
     T.drain(T.window_volume(T.tick_stream(spark, split_events, "events-*.parquet", files_per_batch=1), path))
-    rows = spark.read.parquet(f"{path}/windows")
-    assert rows.groupBy("symbol", "window_start").count().where("count > 1").isEmpty()
-    batch = D.resample(S.ticks(spark, sf), 15).select("symbol", F.col("bar_start").cast("timestamp").alias("window_start"), F.col("volume").alias("v"))
-    assert rows.join(batch, ["symbol", "window_start"]).where(F.col("v") != F.col("volume_sum")).isEmpty()
-    assert 0 < rows.count() <= batch.count()
+    columns = ["symbol", "trading_day", "indicator_name", "volume_sum", "amount_sum", "bar_count"]
+    streamed, batch = T.window_result(spark, path).select(*columns), D.window_sums(S.ticks(spark, sf)).select(*columns)
+    assert sorted(streamed.collect()) == sorted(batch.collect())
+
+
+SCREEN = "market string, symbol string, price double, last_close double, open double, high double, low double, volume bigint, amount double"
+
+
+def screener_inputs(spark, conditions=None):
+    quotes = spark.createDataFrame([("sh", "1", 10.4, 10.0, 10.0, 10.5, 9.9, 1000, 1.02e6), ("sh", "2", 10.4, 0.0, 10.0, 10.5, 9.9, 1000, 1.02e6)], SCREEN)
+    recent = spark.createDataFrame([("sh", "1", True, 500.0)], "market string, symbol string, recent_limit_up boolean, avg_volume_last_5 double")
+    caps = spark.createDataFrame([("sh", "1", 150.0, 0.15)], "market string, symbol string, total_market_cap double, free_float_market_cap double")
+    at = lambda i: dt.datetime(2024, 1, 2, 10, i)
+    points = spark.createDataFrame(
+        [("sh", "1", dt.date(2024, 1, 2), at(i), i, 10.0 + (0.001 if i % 2 else -0.001) * (i > 0), 10, int((10.0) * 10 * 100 * 100)) for i in range(10)],
+        "market string, symbol string, trading_day date, ts timestamp, event_id bigint, price double, volume bigint, amount_cents bigint")
+    rows = X.tail_session_inputs(quotes, recent, caps, points, conditions)
+    return {r["symbol"]: r for r in X.tail_session_flags(rows, conditions).collect()}
+
+
+def test_screener_parameters_take_effect(spark):
+    assert not screener_inputs(spark)["1"]["ok_intraday_above_vwap"]
+    assert screener_inputs(spark, {"intraday_above_vwap_min_ratio_pct": 1.0})["1"]["ok_intraday_above_vwap"]
+    assert not screener_inputs(spark, {"intraday_above_vwap_min_ratio_pct": 1.0, "intraday_vwap_max_breach_pct": 0.0})["1"]["ok_intraday_above_vwap"]
+
+
+def test_a_zero_close_fails_its_conditions_and_stays(spark):
+    row = screener_inputs(spark)["2"]
+    assert row["gain_pct"] is None and not row["ok_gain_pct"]
+
+
+def test_every_package_later_than_the_code_is_looked_into(spark):
+    from marketloom.plans import warehouse as H
+
+    ends = [20200331, 20200630, 20200930, 20201231, 20210331, 20210630, 20210930]
+    rows = [("000001", e, e + 10, f"gpcw{e}") for e in ends] + [("000001", 20200331, 20211001, "gpcw20210930")]
+    packages = spark.createDataFrame(rows, "code string, report_date int, announce_date int, package string")
+    known = spark.createDataFrame([("000001", "2020Q1")], "code string, latest_period string")
+    got = sorted(r["report_date"] for r in H.detect_updates(packages, known).collect())
+    assert got == ends[1:]  # six packages; the old report delivered again in the newest one is not taken
 
 
 def test_final_rows_replace_provisional_rows(spark):
