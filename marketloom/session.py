@@ -1,7 +1,7 @@
 """Session defaults and the one shared working folder.
 
-Lineage is cut only with reliable ``checkpoint()`` or with tables written below the folder that
-``spark.checkpoint.dir`` names, so a lost executor never takes intermediate state with it.
+Lineage is cut only with tables written below the folder that ``spark.checkpoint.dir`` names, or with reliable
+``checkpoint()``, so a lost executor never takes intermediate state with it.
 """
 
 from __future__ import annotations
@@ -58,10 +58,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df):
-    """Materialise a small, expensive table that several branches of a plan read (one row per security or industry).
+    """Materialise an expensive table that several branches of a plan read.
 
-    A reliable checkpoint: the files live in the shared folder, so branches neither recompute it nor depend on an
-    executor that may be lost.
+    Written once as Parquet in the shared folder: branches read only the columns they use, the planner knows the size, and
+    no branch depends on an executor that may be lost. (``checkpoint()`` would compute the last stage twice and store whole rows.)
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    path = fresh_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
