@@ -210,16 +210,20 @@ def newest_pair(spark, d):
     return C.newest_with_year_ago(S.statements(spark, d))
 
 
-@query("fin_08_score_card", """SELECT r.market, r.symbol, r.industry_level_2_name, market_total_score, market_total_rank, ind_total_score, industry_total_rank, n.raw_roe_ex AS roe_ex, n.raw_roe_ex_year_ago AS roe_ex_year_ago, m.industry_mean AS industry_roe_ex
-FROM score_ranked r JOIN newest_pair n USING (market, symbol) LEFT JOIN raw_means m ON m.industry_level_2_name = r.industry_level_2_name AND m.sub_key = 'roe_ex'""")
+add_view("newest_long", " UNION ALL ".join(f"SELECT market, symbol, '{k}' AS sub_key, raw_{k} AS current_value, raw_{k}_year_ago AS previous_value FROM newest_pair" for k in spec.SUB_KEYS))
+CARD = ("market", "symbol", "industry_level_2_name", "market_total_score", "market_total_rank", "ind_total_score", "industry_total_rank")
+
+
+@query("fin_08_score_card", f"""SELECT {', '.join('r.' + c for c in CARD)}, n.sub_key, n.current_value, n.previous_value, m.industry_mean
+FROM score_ranked r JOIN newest_long n USING (market, symbol) LEFT JOIN raw_means m ON m.industry_level_2_name = r.industry_level_2_name AND m.sub_key = n.sub_key""")
 def fin_08(spark, d):
+    """The whole card: every indicator now, a year ago and in the industry's mean, one row each."""
     long = settle(long_rows(spark, d))
     bound = S.universe_bound(spark, d)
-    rows = C.with_ranks(C.snapshot(C.score_table(long, bound=bound)), bound=bound)
-    means = C.industry_raw_means(long).where(col("sub_key") == "roe_ex").select("industry_level_2_name", col("industry_mean").alias("industry_roe_ex"))
-    pair = newest_pair(spark, d).select("market", "symbol", col("raw_roe_ex").alias("roe_ex"), col("raw_roe_ex_year_ago").alias("roe_ex_year_ago"))
-    out = rows.join(pair, ["market", "symbol"]).join(means, "industry_level_2_name", "left")
-    return out.select("market", "symbol", "industry_level_2_name", "market_total_score", "market_total_rank", "ind_total_score", "industry_total_rank", "roe_ex", "roe_ex_year_ago", "industry_roe_ex")
+    rows = C.with_ranks(C.snapshot(C.score_table(long, bound=bound)), bound=bound).select(*CARD)
+    out = rows.join(C.indicator_rows(newest_pair(spark, d)), ["market", "symbol"])
+    return out.join(C.industry_raw_means(long).select("industry_level_2_name", "sub_key", "industry_mean"), ["industry_level_2_name", "sub_key"], "left").select(
+        *CARD, "sub_key", "current_value", "previous_value", "industry_mean")
 
 
 PEER_SQL = """SELECT market, symbol, industry_level_2_name, report_date, report_date - 10000 AS previous_report_date, raw_inv_days AS metric_value, inventory, op_cost, inventory_year_ago, op_cost_year_ago,
@@ -270,13 +274,14 @@ def fin_11(spark, d):
 
 def sql_diagnostics():
     parts = []
-    for k, label, template, _c, suffix, lower in spec.DIAGNOSTICS:
+    for k, label, template, c, suffix, lower in spec.DIAGNOSTICS:
         strength, validate = spec.EVIDENCE[template]
+        now, ago = (", ".join(f"{x}{end}::DOUBLE" for x in c.split(",")) for end in ("", "_year_ago"))
         worse = f"raw_{k} > raw_{k}_year_ago" if lower else f"raw_{k} < raw_{k}_year_ago"
         parts.append(f"""SELECT market, symbol, period, '{k}' AS sub_key, '{label}' AS indicator_name, '{template}' AS template_type, '{suffix}' AS suffix, {str(lower).lower()} AS lower_is_better,
-'{strength}' AS evidence_strength, {str(validate).lower()} AS needs_text_validation, raw_{k} AS current_value, raw_{k}_year_ago AS previous_value, raw_{k} - raw_{k}_year_ago AS delta_value,
+'{strength}' AS evidence_strength, {str(validate).lower()} AS needs_text_validation, raw_{k} AS current_value, raw_{k}_year_ago AS previous_value, raw_{k} - raw_{k}_year_ago AS delta_value, '{c}' AS components, [{now}] AS component_values, [{ago}] AS previous_component_values,
 CASE WHEN raw_{k} IS NULL OR raw_{k}_year_ago IS NULL THEN 'unknown' WHEN {worse} THEN 'cautious' ELSE 'positive' END AS trend FROM newest_pair""")
-    return ("SELECT d.*, s.blended_score AS market_score, s.industry_score FROM (" + " UNION ALL ".join(parts) + ") d LEFT JOIN scored s USING (market, symbol, sub_key)").replace("d.*,", "market, symbol, d.period, sub_key, indicator_name, template_type, suffix, lower_is_better, evidence_strength, needs_text_validation, current_value, previous_value, delta_value, trend,")
+    return ("SELECT d.*, s.blended_score AS market_score, s.industry_score FROM (" + " UNION ALL ".join(parts) + ") d LEFT JOIN scored s USING (market, symbol, sub_key)").replace("d.*,", "market, symbol, d.period, sub_key, indicator_name, template_type, suffix, lower_is_better, evidence_strength, needs_text_validation, current_value, previous_value, delta_value, components, component_values, previous_component_values, trend,")
 
 
 @query("fin_12_diagnostics", sql_diagnostics())

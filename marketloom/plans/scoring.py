@@ -154,15 +154,23 @@ def newest_with_year_ago(statements: DataFrame) -> DataFrame:
     return X.latest(lagged)
 
 
+def indicator_rows(newest: DataFrame) -> DataFrame:
+    """Every indicator of a security now and a year ago, one row each."""
+    entries = [F.struct(F.lit(k).alias("sub_key"), F.col("raw_" + k).alias("current_value"), F.col(f"raw_{k}_year_ago").alias("previous_value")) for k in spec.SUB_KEYS]
+    return newest.select(*KEYS, F.inline(F.array(*entries)))
+
+
 def diagnostics(newest: DataFrame, scored: DataFrame) -> DataFrame:
     """One row per security and indicator: change against last year, template, scores, trend and evidence."""
     entries = []
-    for k, label, template, _components, suffix, lower in spec.DIAGNOSTICS:
+    for k, label, template, components, suffix, lower in spec.DIAGNOSTICS:
         strength, validate = spec.EVIDENCE[template]
+        now, ago = (F.array(*[F.col(c + end).cast("double") for c in components.split(",")]) for end in ("", "_year_ago"))
         entries.append(F.struct(
             F.lit(k).alias("sub_key"), F.lit(label).alias("indicator_name"), F.lit(template).alias("template_type"), F.lit(suffix).alias("suffix"),
             F.lit(lower).alias("lower_is_better"), F.lit(strength).alias("evidence_strength"), F.lit(validate).alias("needs_text_validation"),
-            F.col("raw_" + k).alias("current_value"), F.col(f"raw_{k}_year_ago").alias("previous_value")))
+            F.col("raw_" + k).alias("current_value"), F.col(f"raw_{k}_year_ago").alias("previous_value"),
+            F.lit(components).alias("components"), now.alias("component_values"), ago.alias("previous_component_values")))
     long = newest.select(*KEYS, "period", F.inline(F.array(*entries)))
     c = F.col
     long = long.withColumn("delta_value", c("current_value") - c("previous_value")).withColumn(
