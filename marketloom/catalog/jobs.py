@@ -17,7 +17,6 @@ from marketloom.plans import quality as Q
 from marketloom.plans import valuation as V
 from marketloom.plans import warehouse as H
 from marketloom.session import fresh_path, settle
-from marketloom.sources import files as R
 from marketloom.sources import tables as S
 
 col = F.col
@@ -118,12 +117,12 @@ def datasets(spark, d):
     ]
 
 
-def catalog_rows(spark, d):
-    out = None
-    for name, category, scope, rows in datasets(spark, d):
-        entry = R.catalog_entry(rows, name, category, scope, TRADING_DAY, f"{TRADING_DAY} 15:00:00", name)
-        out = entry if out is None else out.unionByName(entry)
-    return settle(out.withColumn("artifact_exists", F.lit(True)))
+def archived(spark, d):
+    """A day archived from the tables; returns its catalog and whether its audit rows were written."""
+    root = fresh_path(spark, "archive")
+    A.run(spark, A.ArchiveContext(TRADING_DAY, root), datasets(spark, d))
+    day = f"{root}/trading_day={TRADING_DAY}"
+    return spark.read.parquet(f"{day}/catalog"), A.artifact_exists(spark, f"{day}/audit")
 
 
 @query("arc_01_daily_archive")
@@ -138,14 +137,15 @@ MISSING = "missing datasets: dataset_stock_candidate_pool, snapshot_market_overv
 @query("arc_02_dataset_checks", f"""SELECT check_name, CASE WHEN ok THEN 'passed' ELSE 'failed' END AS status, details FROM (VALUES ('final_data_status_check', true, NULL), ('dataset_presence_check', false, '{MISSING}'), ('version_presence_check', true, NULL),
 ('archive_partition_check', true, NULL), ('row_count_sanity_check', true, NULL), ('timestamp_consistency_check', true, NULL), ('artifact_existence_check', true, NULL), ('snapshot_presence_check', true, NULL), ('audit_log_presence_check', true, NULL)) t(check_name, ok, details)""")
 def arc_02(spark, d):
-    return A.validations(catalog_rows(spark, d), trading_day=TRADING_DAY, cutoff=f"{TRADING_DAY} 15:00:00")
+    catalog, audited = archived(spark, d)
+    return A.validations(catalog, trading_day=TRADING_DAY, cutoff=f"{TRADING_DAY} 15:00:00", audit_present=audited)
 
 
 @query("arc_03_manifest")
 def arc_03(spark, d):
     """Second revision of a day that has one."""
-    catalog = catalog_rows(spark, d)
-    checks = A.validations(catalog, trading_day=TRADING_DAY, cutoff=f"{TRADING_DAY} 15:00:00")
+    catalog, audited = archived(spark, d)
+    checks = A.validations(catalog, trading_day=TRADING_DAY, cutoff=f"{TRADING_DAY} 15:00:00", audit_present=audited)
     none = catalog.limit(0).select(F.lit(TRADING_DAY).alias("trading_day"), F.lit(0).cast("bigint").alias("archive_revision"))
     first = settle(A.next_manifest(none, catalog, checks, TRADING_DAY))
     return first.unionByName(A.next_manifest(first, catalog, checks, TRADING_DAY, "late statements"))

@@ -25,7 +25,7 @@ class ArchiveContext:
         return f"{self.trading_day} 15:00:00"
 
 
-def validations(catalog: DataFrame, *, trading_day: str, cutoff: str, data_status: str = "final", versions: tuple[str, ...] = ("1", "1", "1"), audit_present: bool = True) -> DataFrame:
+def validations(catalog: DataFrame, *, trading_day: str, cutoff: str, data_status: str = "final", versions: tuple[str, ...] = ("1", "1", "1"), audit_present: bool) -> DataFrame:
     """Nine checks over the catalog, one row each. All dataset checks come from one aggregate."""
     required = F.array(*[F.lit(n) for n in sorted(spec.REQUIRED_DATASETS)])
     facts = catalog.agg(
@@ -89,13 +89,19 @@ def rerun_allowed(runs: DataFrame, trading_day: str, force: bool) -> bool:
     return force or done.isEmpty()
 
 
-RUNS_SCHEMA = "trading_day string, archive_revision bigint, run_id string, archive_status string, dataset_count bigint, validation_passed boolean"
+RUNS_SCHEMA = "trading_day string, archive_revision bigint, run_id string, archive_status string, dataset_count bigint, validation_passed boolean, failed_stage string, error string"
 
 
 def run_record(manifest: DataFrame, status: str = "success") -> DataFrame:
     return manifest.select(
         "trading_day", "archive_revision", "run_id", F.lit(status).alias("archive_status"), "dataset_count",
-        (F.col("validation_status") == "passed").alias("validation_passed"))
+        (F.col("validation_status") == "passed").alias("validation_passed"), F.lit(None).cast("string").alias("failed_stage"), F.lit(None).cast("string").alias("error"))
+
+
+def artifact_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return bool(done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done))
 
 
 def runs_table(spark: SparkSession, root: str) -> DataFrame:
@@ -114,22 +120,32 @@ def run(spark: SparkSession, ctx: ArchiveContext, datasets: list[tuple[str, str,
     runs = runs_table(spark, ctx.root)
     if not rerun_allowed(runs, ctx.trading_day, ctx.force_rerun):
         raise RuntimeError(f"{ctx.trading_day} is already archived; force a rerun to create another revision")
+    day = f"{ctx.root}/trading_day={ctx.trading_day}"
+    stage = "datasets"
     try:
         entries: DataFrame | None = None
         for name, category, scope, rows in datasets:
-            path = f"{ctx.root}/trading_day={ctx.trading_day}/{category}/{name}"
+            stage = f"dataset {name}"
+            path = f"{day}/{category}/{name}"
             entry = files.write_dataset(rows, path, dataset=name, category=category, scope=scope, trading_day=ctx.trading_day, cutoff=ctx.cutoff)
-            entry = entry.withColumn("artifact_exists", F.lit(True))  # the entry was counted from the written files
+            entry = entry.withColumn("artifact_exists", F.lit(artifact_exists(spark, path)))
             entries = entry if entries is None else entries.unionByName(entry)
-        catalog_path = f"{ctx.root}/trading_day={ctx.trading_day}/catalog"
-        entries.coalesce(1).write.mode("overwrite").parquet(catalog_path)
-        catalog = spark.read.parquet(catalog_path)
-        checks = validations(catalog, trading_day=ctx.trading_day, cutoff=ctx.cutoff, data_status=ctx.data_status, versions=ctx.versions)
-        manifest = next_manifest(runs, catalog, checks, ctx.trading_day, ctx.rerun_reason)
-        record = run_record(manifest)
+        stage = "catalog"
+        entries.coalesce(1).write.mode("overwrite").parquet(f"{day}/catalog")
+        catalog = spark.read.parquet(f"{day}/catalog")
+        stage = "audit"
+        audit = catalog.select("dataset_name", "path", "row_count", F.lit("written").alias("event"), F.current_timestamp().alias("at"))
+        audit.coalesce(1).write.mode("overwrite").parquet(f"{day}/audit")
+        stage = "checks"
+        checks = validations(
+            catalog, trading_day=ctx.trading_day, cutoff=ctx.cutoff, data_status=ctx.data_status, versions=ctx.versions, audit_present=artifact_exists(spark, f"{day}/audit"))
+        stage = "manifest"
+        record = run_record(next_manifest(runs, catalog, checks, ctx.trading_day, ctx.rerun_reason))
         record.coalesce(1).write.mode("append").parquet(f"{ctx.root}/archive_runs")
-    except Exception:
-        failed = spark.createDataFrame([(ctx.trading_day, 0, "", "failed", 0, False)], RUNS_SCHEMA)
+    except Exception as error:
+        last = runs.where(F.col("trading_day") == ctx.trading_day).agg(F.max("archive_revision")).first()[0] or 0
+        run_id = f"archive_{ctx.trading_day.replace('-', '')}_{last + 1:02d}"
+        failed = spark.createDataFrame([(ctx.trading_day, last + 1, run_id, "failed", 0, False, stage, str(error)[:1000])], RUNS_SCHEMA)
         failed.write.mode("append").parquet(f"{ctx.root}/archive_runs")
         raise
     return runs_table(spark, ctx.root)

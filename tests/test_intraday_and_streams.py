@@ -168,6 +168,17 @@ def test_archive_refuses_and_chains_reruns(spark, sf):
     assert [(r["archive_revision"], r["run_id"]) for r in runs] == [(1, "archive_20240102_01"), (2, "archive_20240102_02")]
 
 
+def test_a_failed_archive_says_where_and_why(spark, sf):
+    root = fresh_path(spark, "archive")
+    good = ("bars_15m", "bars", "stock", D.resample(S.ticks(spark, sf), 15))
+    bad = ("broken", "dataset", "stock", S.securities(spark, sf).select("market", "symbol", F.raise_error(F.lit("boom")).alias("x")))
+    A.run(spark, A.ArchiveContext("2024-01-02", root), [good])
+    with pytest.raises(Exception, match="boom"):
+        A.run(spark, A.ArchiveContext("2024-01-02", root, force_rerun=True), [good, bad])
+    row = A.runs_table(spark, root).where("archive_status = 'failed'").first()
+    assert (row["archive_revision"], row["run_id"], row["failed_stage"]) == (2, "archive_20240102_02", "dataset broken") and "boom" in row["error"]
+
+
 def test_archive_checks(spark):
     row = lambda **kw: {"dataset_name": "bars_15m", "dataset_category": "bars", "dataset_scope": "stock", "partition": "trading_day=2024-01-02", "row_count": 1, "data_cutoff_time": "c", "artifact_exists": True, **kw}
     catalog = spark.createDataFrame([row(), row(dataset_name="x", partition="trading_day=1", row_count=-1, data_cutoff_time="z", artifact_exists=False)])
