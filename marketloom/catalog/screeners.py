@@ -38,14 +38,21 @@ def pro_02(spark, d):
 
 
 EPS = "(SELECT market, symbol, eps, ttm_eps, total_shares, free_float_shares FROM trailing_rows QUALIFY row_number() OVER (PARTITION BY market, symbol ORDER BY period_ord DESC) = 1)"
-add_view("basic_info", f"""SELECT market, symbol, close AS current_price, (close - previous_close) / nullif(previous_close, 0) * 100.0 AS change_pct, CASE WHEN volume <> 0 THEN volume / nullif(avg_volume_5, 0) END AS volume_ratio,
+add_view("live_quotes", f"""SELECT CASE user_id % 3 WHEN 0 THEN 'sz' WHEN 1 THEN 'sh' ELSE 'bj' END AS market, {sql_symbol('user_id')} AS symbol, arg_max(price, (ts, event_id)) AS q_price, arg_max(volume, (ts, event_id)) AS q_volume
+  FROM ticks WHERE user_id % 2 = 0 GROUP BY 1, 2""")
+add_view("basic_info", f"""SELECT market, symbol, coalesce(q_price, close) AS current_price, (coalesce(q_price, close) - previous_close) / nullif(previous_close, 0) * 100.0 AS change_pct,
+  CASE WHEN coalesce(q_volume, volume) <> 0 THEN coalesce(q_volume, volume) / nullif(avg_volume_5, 0) END AS volume_ratio,
   total_shares / 1e8 AS total_shares, free_float_shares / 1e8 AS float_shares, close * total_shares / 1e8 AS a_share_market_cap, eps, CASE WHEN ttm_eps > 0 THEN close / ttm_eps END AS dynamic_pe
-  FROM (SELECT * FROM volume_frames WHERE rn = 1) LEFT JOIN {EPS} USING (market, symbol)""")
+  FROM (SELECT * FROM volume_frames WHERE rn = 1) LEFT JOIN {EPS} USING (market, symbol) LEFT JOIN live_quotes USING (market, symbol)""")
 
 
 @query("pro_03_basic_info", "SELECT * FROM basic_info")
 def pro_03(spark, d):
-    return R.basic_info(S.bars(spark, d), S.statements(spark, d))
+    """Every second user's newest tick is the quote of the security it stands for; the others have none."""
+    order = F.struct("ts", "event_id")
+    ticks = S.ticks(spark, d).where(col("user_id") % 2 == 0).withColumn("market", S.market_of(col("user_id"))).withColumn("symbol", S.symbol_of(col("user_id")))
+    quotes = ticks.groupBy("market", "symbol").agg(F.max_by("price", order).alias("price"), F.max_by("volume", order).alias("volume"))
+    return R.basic_info(S.bars(spark, d), S.statements(spark, d), quotes.withColumn("last_close", F.lit(None).cast("double")))
 
 
 # A few brands carry names the rules hide, so both verdicts occur.
@@ -74,6 +81,13 @@ def pro_04(spark, d):
     return R.profiles(S.securities(spark, d), S.industry(spark, d), labelled(spark, d), settle(rps(spark, d)), bound=S.universe_bound(spark, d))
 
 
+@query("pro_04_concept_lists", f"""SELECT market, symbol, sha1('tdx_local:' || concept_name) AS concept_id, concept_name, {sql_concept_rule('concept_name', 'bucket')} AS bucket, {sql_concept_rule('concept_name', 'rule_id')} = 'default_keep_core' AS is_core
+FROM (SELECT DISTINCT market, symbol, concept_name FROM labelled_concepts)""")
+def pro_04_lists(spark, d):
+    """The core and auxiliary concepts of every security, one row each."""
+    return R.concept_listing(labelled(spark, d)).select("market", "symbol", "concept_id", "concept_name", "bucket", (col("decision") == "keep_core").alias("is_core"))
+
+
 @query("hea_01_industry_heatmap", f"""SELECT k.industry_level_2_code, k.industry_level_2_name, k.member_count, strftime(t.trading_day, '%Y-%m-%d') AS trading_day, c.pct_change, coalesce(c.stock_count, 0) AS stock_count, c.daily_volume
 FROM (SELECT industry_level_2_code, min(industry_level_2_name) AS industry_level_2_name, count(*) AS member_count FROM industry GROUP BY 1) k
 CROSS JOIN (SELECT DISTINCT trading_day FROM bars WHERE year(trading_day) = (SELECT year(max(l_shipdate)) FROM lineitem)) t

@@ -17,16 +17,22 @@ from marketloom.plans import statements as X
 KEYS = ["market", "symbol"]
 
 
-def basic_info(bars: DataFrame, statements: DataFrame) -> DataFrame:
-    """Price, change, volume ratio, shares, A-share cap, EPS and dynamic PE per security."""
+def basic_info(bars: DataFrame, statements: DataFrame, quotes: DataFrame) -> DataFrame:
+    """Price, change, volume ratio, shares, A-share cap, EPS and dynamic PE per security.
+
+    A quote's ``price``, ``last_close`` and ``volume`` come before the daily bar's, one by one; cap and PE stay on the daily close.
+    """
     c = F.col
-    snap = L.latest_snapshot(bars)
+    live = quotes.select(*KEYS, c("price").alias("q_price"), c("last_close").alias("q_last_close"), c("volume").alias("q_volume"))
+    snap = L.latest_snapshot(bars).join(live, KEYS, "left")
+    price, before = F.coalesce("q_price", "latest_close"), F.coalesce("q_last_close", "previous_close")
+    volume = F.coalesce("q_volume", "latest_volume")
     eps = X.with_neighbours(statements, ["eps"])
     ttm = N.ttm_eps(P.period_quarter(c("period")), c("eps"), c("eps_prev_annual"), c("eps_prev_same"))
     report = X.latest(eps.withColumn("ttm_eps", ttm)).select(*KEYS, "eps", "ttm_eps", "total_shares", "free_float_shares")
-    ratio = F.when(c("latest_volume") != 0, N.ratio(c("latest_volume"), F.nullif(c("avg_volume_5"), F.lit(0.0))))
+    ratio = F.when(volume != 0, N.ratio(volume, F.nullif(c("avg_volume_5"), F.lit(0.0))))
     return snap.join(report, KEYS, "left").select(
-        *KEYS, c("latest_close").alias("current_price"), (N.ratio(c("latest_close") - c("previous_close"), c("previous_close")) * 100.0).alias("change_pct"),
+        *KEYS, price.alias("current_price"), (N.ratio(price - before, before) * 100.0).alias("change_pct"),
         ratio.alias("volume_ratio"), N.to_yi(c("total_shares")).alias("total_shares"), N.to_yi(c("free_float_shares")).alias("float_shares"),
         N.market_cap_yi(c("latest_close"), c("total_shares")).alias("a_share_market_cap"), "eps",
         F.when(c("ttm_eps") > 0, c("latest_close") / c("ttm_eps")).alias("dynamic_pe"))
