@@ -41,10 +41,10 @@ def _prefix_case(entries):
 
 
 @query("str_02_market_from_prefix", "SELECT c_custkey, code, " + ", ".join(
-    f"{_prefix_case(v)} AS market_{k}" for k, v in T.MARKET_PREFIXES.items()) + " FROM coded")
+    f"{_prefix_case(v)} AS market_{k}" for k, v in spec.MARKET_PREFIXES.items()) + " FROM coded")
 def str_02(spark, d):
     return customers(spark, d).select(
-        "c_custkey", "code", *[T.market_from_prefix(col("code"), k).alias(f"market_{k}") for k in T.MARKET_PREFIXES])
+        "c_custkey", "code", *[T.market_from_prefix(col("code"), k).alias(f"market_{k}") for k in spec.MARKET_PREFIXES])
 
 
 @query("str_03_a_share_eligible", """SELECT c_custkey, (starts_with(code, '6') OR starts_with(code, '00') OR starts_with(code, '30') OR starts_with(code, '92'))

@@ -88,7 +88,7 @@ def src_06(spark, d):
     pad = lambda c, n: F.rpad(c, n, "\0")
     gap = lambda n: F.lit("\0" * n)
     s = S.table(spark, d, "supplier").select("s_suppkey", S.market_of(col("s_suppkey")).alias("market"), S.symbol_of(col("s_suppkey")).alias("symbol"))
-    rows = s.join(S.securities(spark, d), ["market", "symbol"])
+    rows = s.join(S.securities(spark, d), ["market", "symbol"]).where(F.length("symbol") == 6)  # the format has no room for longer codes
     record = F.concat("symbol", gap(25), pad(col("stock_name"), 18), gap(280), pad(col("name_initials"), 12), gap(19))
     files = rows.groupBy("market", F.floor(col("s_suppkey") / CHUNK)).agg(
         F.encode(F.concat(gap(50), F.array_join(F.collect_list(record), "")), "US-ASCII").alias("content"))

@@ -16,23 +16,13 @@ def market_from_flag(flag: Column) -> Column:
     return F.when(f == "0", "sz").when(f == "1", "sh").when(f == "2", "bj").otherwise(f)
 
 
-# Prefix tables: first hit wins. ``None`` as the last entry is the default exchange.
-MARKET_PREFIXES = {
-    "default": (("sh", ("6", "5")), ("bj", ("92", "4", "8")), ("sz", None)),
-    "warehouse": (("sh", ("6", "5")), ("bj", ("92",)), ("sz", None)),
-    "single_day": (("sh", ("6",)), ("bj", ("92",)), ("sz", None)),
-    "strict": (("sh", ("60", "68", "90")), ("sz", ("00", "30", "20"))),
-    "wide": (("sh", ("6", "5", "9")), ("sz", ("0", "3")), ("bj", ("4", "8"))),
-}
-
-
 def starts_with_any(text: Column, prefixes: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [text.startswith(p) for p in prefixes])
 
 
 def market_from_prefix(symbol: Column, table: str = "default") -> Column:
     out: Column | None = None
-    for market, prefixes in MARKET_PREFIXES[table]:
+    for market, prefixes in spec.MARKET_PREFIXES[table]:
         if prefixes is None:
             return out.otherwise(F.lit(market)) if out is not None else F.lit(market)
         hit = starts_with_any(symbol, prefixes)

@@ -35,18 +35,6 @@ def bounded(df: DataFrame, column: str | Column, low: float | None = None, high:
     return df.where(reduce(lambda a, b: a & b, tests)) if tests else df
 
 
-TEXT_PARAMS = {
-    "industry_level_1": "industry_level_1", "industry_level_2": "industry_level_2",
-    "industry_temperature_label": "industry_temperature_label", "classification": "classification", "valuation_band": "valuation_band_label",
-}
-NUMBER_PARAMS = {
-    "min_total_score": ("market_total_score", "min"), "min_ind_total_score": ("industry_total_score", "min"),
-    "max_market_rank": ("market_total_rank", "max"), "max_industry_rank": ("industry_total_rank", "max"),
-    "min_primary_percentile": ("primary_percentile", "min"), "max_primary_percentile": ("primary_percentile", "max"),
-    "min_current_price": ("current_price", "min"), "max_current_price": ("current_price", "max"),
-}
-
-
 def dynamic_column(param: str) -> tuple[str, str] | None:
     """(column, bound) of a prefixed parameter: dimension, indicator or RPS bounds."""
     side, _, rest = param.partition("_")
@@ -65,10 +53,10 @@ def dynamic_column(param: str) -> tuple[str, str] | None:
 def screen(df: DataFrame, params: dict[str, str]) -> DataFrame:
     """Apply all screener parameters that are set."""
     out = df
-    for param, column in TEXT_PARAMS.items():
+    for param, column in spec.TEXT_PARAMS.items():
         out = keyword(out, column, params.get(param))
     for param, raw in params.items():
-        target = NUMBER_PARAMS.get(param) or dynamic_column(param)
+        target = spec.NUMBER_PARAMS.get(param) or dynamic_column(param)
         value = number(raw)
         if target is None or value is None:
             continue

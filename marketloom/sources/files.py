@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,34 +60,40 @@ def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line")).where(F.trim("line") != "")
 
 
-MASTER_SCHEMA = "market string, symbol string, stock_name string, name_initials string"
+@F.pandas_udf(T.StringType())
+def decode_field(content: pd.Series, encoding: pd.Series) -> pd.Series:
+    """Bytes up to the first NUL as text; undecodable bytes are skipped, which the JVM decoders cannot do."""
+    return pd.Series([bytes(c).split(b"\0", 1)[0].decode(e, errors="ignore").strip() for c, e in zip(content, encoding)])
 
 
 def decode_master(files: DataFrame) -> DataFrame:
-    """Security master records from (market, content) rows: a header, then fixed-width records."""
+    """Security master records from (market, content) rows: a header, then fixed-width records.
+
+    The JVM cuts the records and keeps those with a six-digit symbol; only the names' bytes go to Python.
+    """
+    size = spec.MASTER_RECORD
+    count = F.floor((F.octet_length("content") - spec.MASTER_HEADER) / size)
+    starts = F.when(count > 0, F.sequence(F.lit(0).cast("bigint"), count - 1)).otherwise(F.array().cast("array<bigint>"))
+    record = F.transform(starts, lambda i: F.substring(F.col("content"), (i * size + spec.MASTER_HEADER + 1).cast("int"), F.lit(size)))
+    rows = files.select("market", F.explode(record).alias("r"))
+    rows = rows.where(F.hex(F.substring("r", 1, 6)).rlike("^(3[0-9]){6}$"))
 
-    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        field = lambda rec, at, size, enc: rec[at:at + size].split(b"\0", 1)[0].decode(enc, errors="ignore").strip()
-        for batch in batches:
-            out = []
-            for market, content in zip(batch["market"], batch["content"]):
-                body = bytes(content)[spec.MASTER_HEADER:]
-                for at in range(0, len(body) - spec.MASTER_RECORD + 1, spec.MASTER_RECORD):
-                    rec = body[at:at + spec.MASTER_RECORD]
-                    symbol, name = rec[:6].decode("ascii", errors="ignore").strip(), field(rec, *spec.MASTER_NAME)
-                    if len(symbol) == 6 and symbol.isdigit() and name:
-                        out.append((market, symbol, name, field(rec, *spec.MASTER_INITIALS).lower()))
-            yield pd.DataFrame(out, columns=["market", "symbol", "stock_name", "name_initials"])
+    def field(at: int, width: int, encoding: str) -> Column:
+        return decode_field(F.substring("r", at + 1, width), F.lit(encoding))
 
-    return files.select("market", "content").mapInPandas(records, MASTER_SCHEMA)
+    out = rows.select(
+        "market", F.decode(F.substring("r", 1, 6), "US-ASCII").alias("symbol"), field(*spec.MASTER_NAME).alias("stock_name"),
+        F.lower(field(*spec.MASTER_INITIALS)).alias("name_initials"))
+    return out.where(F.col("stock_name") != "")
 
 
 def read_master(spark: SparkSession, path: str) -> DataFrame:
-    """Security master files named by exchange; duplicates keep one row and ineligible names leave."""
+    """Security master files named by exchange; of duplicates the first by name stays and ineligible names leave."""
     files = spark.read.format("binaryFile").load(path)
     name = F.try_element_at(F.split("path", "/"), F.lit(-1))
     rows = decode_master(files.select(F.substring(name, 1, 2).alias("market"), "content"))
-    return rows.where(X.is_a_share_eligible(F.col("symbol"), F.col("stock_name"))).dropDuplicates(["market", "symbol"])
+    eligible = rows.where(X.is_a_share_eligible(F.col("symbol"), F.col("stock_name")))
+    return eligible.groupBy("market", "symbol").agg(F.min(F.struct("stock_name", "name_initials")).alias("r")).select("market", "symbol", "r.*")
 
 
 def with_package_date(rows: DataFrame) -> DataFrame:

@@ -316,3 +316,23 @@ MASTER_HEADER = 50
 MASTER_RECORD = 360
 MASTER_NAME = (31, 18, "gbk")
 MASTER_INITIALS = (329, 12, "ascii")
+# ---- fixed values: exchange by code prefix -----------------------------------------------------
+# Prefix tables: first hit wins. ``None`` as the last entry is the default exchange.
+MARKET_PREFIXES = {
+    "default": (("sh", ("6", "5")), ("bj", ("92", "4", "8")), ("sz", None)),
+    "warehouse": (("sh", ("6", "5")), ("bj", ("92",)), ("sz", None)),
+    "single_day": (("sh", ("6",)), ("bj", ("92",)), ("sz", None)),
+    "strict": (("sh", ("60", "68", "90")), ("sz", ("00", "30", "20"))),
+    "wide": (("sh", ("6", "5", "9")), ("sz", ("0", "3")), ("bj", ("4", "8"))),
+}
+# ---- fixed values: request parameters of the screener -------------------------------------------
+TEXT_PARAMS = {
+    "industry_level_1": "industry_level_1", "industry_level_2": "industry_level_2",
+    "industry_temperature_label": "industry_temperature_label", "classification": "classification", "valuation_band": "valuation_band_label",
+}
+NUMBER_PARAMS = {
+    "min_total_score": ("market_total_score", "min"), "min_ind_total_score": ("industry_total_score", "min"),
+    "max_market_rank": ("market_total_rank", "max"), "max_industry_rank": ("industry_total_rank", "max"),
+    "min_primary_percentile": ("primary_percentile", "min"), "max_primary_percentile": ("primary_percentile", "max"),
+    "min_current_price": ("current_price", "min"), "max_current_price": ("current_price", "max"),
+}
