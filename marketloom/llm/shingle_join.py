@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.tables import filled, settled, table
+from marketloom.llm.tables import discard, filled, noted, settled, table
 from marketloom.llm.texthash import chunks, lowered, mixed, runs, word_bounds
 
 HEAVY_FROM = 32  # a shingle in more documents than this may be put last,
@@ -331,17 +331,23 @@ def linked_components(docs: DataFrame, like: Likeness = CONTRACT, *, key: str =
     named in a component and are left out. No rows give no rows. Only key and text are
     read, so other columns cannot clash.
     """
-    described_docs = settled(described(docs, heavy_shingles(docs, like, text), like, key=key, text=text), "shingle-prefixes")
+    spark = docs.sparkSession
+    with noted() as wide:
+        described_docs = settled(described(docs, heavy_shingles(docs, like, text), like, key=key, text=text), "shingle-prefixes")
+    held = settled(described_docs.select("doc_id", "n", "digest"), "set-digests")
     full = one_set_for_each_key(described_docs.where("n > 0"))
     unique = settled(full.groupBy("n", "digest").agg(
         F.min("doc_id").alias("rep"), F.min_by(F.struct("prefix", "prefix_digest", "bins"), "doc_id").alias("s")), "shingle-sets")
-    grouped = settled(unique.groupBy("n", "s.prefix_digest").agg(
-        F.min("rep").alias("gid"), F.count(F.lit(1)).alias("weight"), F.min_by("s.prefix", "rep").alias("prefix")), "prefix-groups")
+    discard(spark, wide)
+    with noted() as grouping:
+        grouped = settled(unique.groupBy("n", "s.prefix_digest").agg(
+            F.min("rep").alias("gid"), F.count(F.lit(1)).alias("weight"), F.min_by("s.prefix", "rep").alias("prefix")), "prefix-groups")
     own = unique.select("rep", "n", F.col("s.prefix_digest").alias("prefix_digest"))
     members = settled(own.join(grouped.drop("prefix"), ["n", "prefix_digest"]).select("rep", "gid", "n", "weight"), "group-members")
     postings = grouped.select("gid", "n", "weight", F.explode("prefix").alias("shingle"))
     met = postings.groupBy("shingle").agg(F.sum("weight").alias("met"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
     multi = settled(postings.select("gid", "n", "shingle").join(met.select("shingle", "met"), "shingle"), "met-shingles")
+    discard(spark, grouping)
 
     maybe = settled(possible(candidate_pairs(multi, members, like), unique.select("rep", "n", "s.bins"), like).distinct(), "possible-pairs")
     wanted = maybe.select(F.col("a").alias("rep")).union(maybe.select("b")).union(many_met(multi, members).select("rep")).distinct()
@@ -353,7 +359,6 @@ def linked_components(docs: DataFrame, like: Likeness = CONTRACT, *, key: str =
 
     by_set = unique.select("n", "digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     by_set = settled(by_set.select("n", "digest", F.coalesce("component", "rep").alias("component")), "components-of-sets")
-    held = described_docs.select("doc_id", "n", "digest")
     return held.join(by_set, ["n", "digest"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
