@@ -197,6 +197,45 @@ def test_mix_pools_small_sources(spark, monkeypatch):
     assert len(rows) == 200 and {r["source_number"] for r in rows} == {0, 1, mixing.POOL}
 
 
+def shares_on_the_clock(rows, weights, block):
+    """Checks every source's blocks against weight x clock in the order of the slots; returns the largest distance from weight x slots.
+    """
+    blocks = sorted({(r["slot"], r["row"]["source"], r["block"]) for r in rows}, key=lambda b: b[0])
+    assert [b[0] for b in blocks] == list(range(len(blocks)))
+    whole, taken, worst = sum(weights.values()), dict.fromkeys(weights, 0), 0.0
+    ends = {}
+    for _, s, _ in blocks:
+        ends[s] = ends.get(s, 0) + 1
+    for t, (_, s, _) in enumerate(blocks, 1):
+        taken[s] += 1
+        if t <= min(ends[x] * whole / w for x, w in weights.items()):  # no source has run out
+            worst = max(worst, *(abs(taken[x] - t * w / whole) for x, w in weights.items()))
+    return worst
+
+
+def test_mix_gives_every_source_its_weight(spark):
+    # far more sources than have slots in the period: each is due as often as any other, from the first round on
+    frame = spark.range(300 * 12).selectExpr("id AS doc_id", "concat('s', id % 300) AS source")
+    rows = mixing.mixed(frame, carry=["doc_id", "source"], block=2).collect()
+    assert len(rows) == 3600 and len({r["position"] for r in rows}) == 3600
+    assert shares_on_the_clock(rows, {f"s{i}": 1.0 for i in range(300)}, 2) < 2
+
+
+def test_mix_keeps_small_and_late_weights(spark, monkeypatch):
+    # the smallest source has the largest weight and another one a weight far below one unit of the period
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
+    sizes = {"a": 4000, "b": 3000, "c": 2000, "d": 60, None: 1500}
+    frame = spark.createDataFrame([(i, s) for s, n in sizes.items() for i in range(n)], "doc_id bigint, source string")
+    weights = {"a": 10.0, "b": 0.001, "c": 5.0, "d": 20.0, None: 7.5}
+    rows = mixing.mixed(frame, carry=["doc_id", "source"], block=1, weights=weights).collect()
+    assert len(rows) == sum(sizes.values())
+    assert shares_on_the_clock(rows, weights, 1) < 2.5
+    first = sorted(rows, key=lambda r: r["slot"])[:2000]
+    assert sum(r["row"]["source"] == "b" for r in first) <= 1
+    after = [r["row"]["source"] for r in sorted(rows, key=lambda r: r["slot"])[300:2300]]  # d has run out: the others keep their proportions
+    assert [abs(after.count(s) - 2000 * weights[s] / 22.501) < 5 for s in ("a", "c", None)] == [True] * 3
+
+
 def test_mixed_rows_are_laid_out_in_order(spark, odd, none):
     assert mixing.mixed_rows(odd).columns == odd.columns and mixing.mixed_rows(odd).count() == odd.count()
     assert mixing.mixed_rows(none).count() == 0
