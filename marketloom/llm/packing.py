@@ -6,7 +6,7 @@ offsets. Pass two is a map: a document's global interval is cut at multiples of
 crosses a boundary leaves one record on either side and only the last sequence of all is short.
 
 The vocabulary is read by ``tiktoken``, which gives the ids of the ``tokenizers`` file (tests compare them) in a quarter of
-the time.
+the time. Its splitting has a stack that runs of about a million white spaces overflow; such a text is read by ``tokenizers``.
 """
 
 from __future__ import annotations
@@ -48,6 +48,25 @@ def encoding(path: str):
     return tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict([END_OF_TEXT]))
 
 
+@lru_cache(maxsize=2)
+def slow_encoding(path: str):
+    """The same vocabulary, from the ``tokenizers`` file beside it: for texts that overflow the stack of ``encoding``."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path.removesuffix(".tiktoken") + ".json")
+
+
+def ids_of(text: str, path: str):
+    import numpy as np
+
+    try:
+        return encoding(path).encode_to_numpy(text, allowed_special={END_OF_TEXT[0]}).astype("<u4")
+    except ValueError as error:
+        if "stack" not in str(error):
+            raise
+        return np.array(slow_encoding(path).encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+
 def tokenised(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """One row per document: its unit, where it starts there, and its ids (little-endian unsigned 32-bit) with the separator."""
     path = vocabulary or vocabulary_path()
@@ -61,14 +80,14 @@ def tokenised(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocab
         import numpy as np
         import pyarrow as pa
 
-        coder, last = encoding(path), np.array([SEPARATOR], dtype="<u4").tobytes()
+        last = np.array([SEPARATOR], dtype="<u4").tobytes()
         unit, total = None, 0
         for batch in batches:
             starts, sizes, blobs = [], [], []
             for name, block, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()):
                 if (name, block) != unit:
                     unit, total = (name, block), 0
-                blob = coder.encode_to_numpy(words, allowed_special={END_OF_TEXT[0]}).astype("<u4").tobytes() + last
+                blob = ids_of(words, path).tobytes() + last
                 starts.append(total)
                 sizes.append(len(blob) // 4)
                 blobs.append(blob)

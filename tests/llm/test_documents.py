@@ -79,6 +79,18 @@ def test_packing_tiles_and_ids(spark, docs, odd):
         assert sum(r["length"] for r in rows) == sum(len(plain.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in frame.collect())
 
 
+def test_packing_reads_very_long_white_space(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [" " * 2_000_000, "a" + "\n" * 1_200_000 + "b <|endoftext|> c", "short"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: np.frombuffer(bytes(r["ids"]), dtype="<u4").tolist() for r in packing.tokenised(frame).collect()}
+    assert got == {i: [*plain.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    assert sum(r["length"] for r in packing.pieces(frame).select("length").collect()) == sum(map(len, got.values()))
+
+
 def test_packing_pads_all_but_powers_of_two(spark, none):
     short = spark.createDataFrame([(1, "a", "", "", 1), (2, "b", "", "", 1)], SCHEMA)
     four = packing.sequences(packing.pieces(short, size=16, with_ids=True), size=16).collect()
