@@ -118,6 +118,14 @@ def test_html_without_an_article_element():
     assert markup.text_of(markup.regions(markup.tree(page.format(7)), path)) == "7 Story 7 goes on. And on 7."
 
 
+def test_html_of_very_deep_pages(spark):
+    page = "<body>" + "<font><div>" * 5000 + "deep {0}"
+    rows = html_text.main_texts(spark.createDataFrame([(i, "http://deep.org/", page.format(i)) for i in range(3)], PAGES)).collect()
+    assert sorted(r["text"] for r in rows) == [f"deep {i}" for i in range(3)]
+    wrap = markup.wrapper([page.format(i) for i in range(2)])
+    assert markup.expression(wrap) == "<body>" + "<font><div>" * 5000 + "#" + "</div></font>" * 5000 + "</body>"
+
+
 def test_html_rows(spark, sf):
     import html
 
