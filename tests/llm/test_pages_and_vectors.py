@@ -118,6 +118,30 @@ def test_html_without_an_article_element():
     assert markup.text_of(markup.regions(markup.tree(page.format(7)), path)) == "7 Story 7 goes on. And on 7."
 
 
+def texts_by_id(spark, pages):
+    rows = [(i, "http://no-article.org/x", page) for i, page in enumerate(pages)]
+    return [r["text"] for r in sorted(html_text.main_texts(spark.createDataFrame(rows, PAGES)).collect(), key=lambda r: r["page_id"])]
+
+
+def test_html_keeps_all_blocks_without_an_article_element(spark):
+    long, short = "large block {0} " * 7, "second block {0} " * 3
+    page = "<body><div class=top>Our site</div><h1>Title {0}</h1><div class=a><p>" + long + "</p></div><div class=b><p>" + short + "</p></div><div class=end>All rights</div>"
+    want = [f"Title {i} {(long + short).format(i)}".strip() for i in range(30)]
+    path = markup.region(markup.wrapper([page.format(i) for i in range(3)]))
+    assert path == ["body"]
+    assert texts_by_id(spark, [page.format(i) for i in range(30)]) == want
+
+
+def test_html_keeps_what_the_sample_did_not_show(spark):
+    page = "<body><div class=top>Our site</div><div class=a><p>Text {0}</p></div>{1}"
+    late = {17: "<div class=late>Only here</div>", 23: "<div class=top>Our site says more</div>"}
+    want = [" ".join([f"Text {i}", re.sub("<[^>]*>", "", late.get(i, ""))]).strip() for i in range(30)]
+    assert texts_by_id(spark, [page.format(i, late.get(i, "")) for i in range(30)]) == want
+    mixed = [f"<body><div>Fixed</div>Hello <b>dear</b> reader {i}<div><p>See <i>this</i> number {i}</div>" for i in range(9)]
+    assert texts_by_id(spark, mixed) == [f"Hello dear reader {i} See this number {i}" for i in range(9)]
+    assert texts_by_id(spark, ["<body><div class=a>70 percent of it</div><div class=b>the rest</div>"]) == ["70 percent of it the rest"]
+
+
 def test_html_of_very_deep_pages(spark):
     page = "<body>" + "<font><div>" * 5000 + "deep {0}"
     rows = html_text.main_texts(spark.createDataFrame([(i, "http://deep.org/", page.format(i)) for i in range(3)], PAGES)).collect()
