@@ -142,6 +142,19 @@ def test_html_keeps_what_the_sample_did_not_show(spark):
     assert texts_by_id(spark, ["<body><div class=a>70 percent of it</div><div class=b>the rest</div>"]) == ["70 percent of it the rest"]
 
 
+def test_html_of_templates_that_the_sample_did_not_show(spark):
+    first = "<body><div class=top>Our site</div><article><p>Text {0}</p></article>"
+    other = "<body><div class=top>Our site</div><div class=lead><h2>Head {0}</h2></div><div class=box><p>Other {0}</p></div><div class=end>All rights</div>"
+    pages = [first.format(i) for i in range(300)] + [other.format(i) for i in range(3)]
+    assert texts_by_id(spark, pages) == [f"Text {i}" for i in range(300)] + [f"Head {i} Other {i}" for i in range(3)]
+
+
+def test_html_labels_leave_out_numbers_of_pages(spark):
+    page = "<body><div class=top>Our site</div><div class='entry post{0}' id='post-{0}'><p>Text {0}</p></div><div class=end>All rights</div>"
+    assert markup.tree(page.format(7)).children[0].children[1].label == "div.entry.post"
+    assert texts_by_id(spark, [page.format(i) for i in range(40)]) == [f"Text {i}" for i in range(40)]
+
+
 def test_html_of_very_deep_pages(spark):
     page = "<body>" + "<font><div>" * 5000 + "deep {0}"
     rows = html_text.main_texts(spark.createDataFrame([(i, "http://deep.org/", page.format(i)) for i in range(3)], PAGES)).collect()
