@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from marketloom.llm import exact_dedup, html_text, mixing, neighbours, packing, quality, secret_scan, shingle_join, url_filter, warc
+from marketloom.llm import (chat_format, exact_dedup, html_text, mixing, neighbours, packing, phrases, quality, secret_scan, shingle_join, url_filter,
+                            vector_codes, warc)
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,8 +16,14 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_html_text": html_text.op9_html_text,
     "op10_shingle_join": shingle_join.op10_shingle_join,
+    "op11_chat_format": chat_format.op11_chat_format,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_phrases": phrases.op13_phrases,
 }
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op11_chat_format": chat_format.OP11_SQL,
+    "op12_vector_codes": vector_codes.OP12_SQL,
+    "op13_phrases": phrases.OP13_SQL,
 }
