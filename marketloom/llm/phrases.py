@@ -60,7 +60,7 @@ class Grams:
         return gram, whole
 
 
-def cut_texts(texts: list[str], langs: list[str]) -> Iterator[tuple[list[bytes], list[str], list[int]]]:
+def cut_texts(texts: list[str], langs: list[str], most: int = CHUNK) -> Iterator[tuple[list[bytes], list[str], list[int]]]:
     """Chunks of (bytes, language, how many of the bytes start n-grams here). A long text is cut before a word; each part is followed by
     the WORDS - 1 words after it."""
     import re
@@ -73,11 +73,11 @@ def cut_texts(texts: list[str], langs: list[str]) -> Iterator[tuple[list[bytes],
         blob = text.encode("utf-8", "surrogatepass")
         low = 0
         while low < len(blob):
-            found = gap.search(blob, low + CHUNK) if len(blob) - low > CHUNK else None
+            found = gap.search(blob, low + most) if len(blob) - low > most else None
             high = found.start() if found else len(blob)
             more = ahead.match(blob, high) if found else None
             stop = more.end() if more else len(blob)
-            if size and size + stop - low > CHUNK:
+            if size and size + stop - low > most:
                 yield held
                 held, size = ([], [], []), 0
             for column, value in zip(held, (blob[low:stop], lang, high - low)):
@@ -191,7 +191,7 @@ def _told_apart(held: Grams, n: int, gram, at):
 
     clean = held.data
     while len(at):
-        _, first, member, times = np.unique(gram[at], return_index=True, return_inverse=True, return_counts=True)
+        _, first, member = np.unique(gram[at], return_index=True, return_inverse=True)
         pointer = at[first][member]
         same = np.ones(len(at), dtype=bool)
         for k in range(n):
@@ -209,7 +209,6 @@ def _told_apart(held: Grams, n: int, gram, at):
                 step += 1
         yield from zip(at[first].tolist(), np.bincount(member[same], minlength=len(first)).tolist())
         at = at[~same]
-        del times
 
 
 def materialised(docs: DataFrame, filters: list[Filter], least: int) -> DataFrame:

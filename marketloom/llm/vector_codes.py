@@ -151,8 +151,9 @@ def first_books(rows: DataFrame) -> list:
     import numpy as np
 
     drawn = rows.orderBy(F.asc_nulls_last("vec_id"), "x").select("x").limit(ENTRIES).collect()
-    whole = np.array([r["x"] for r in drawn], dtype=object).reshape(len(drawn), -1)
-    return [np.array(book) for book in np.split(whole, PARTS, axis=1)] if len(drawn) else []
+    if not drawn:
+        return []
+    return [np.array(book) for book in np.split(np.array([r["x"] for r in drawn], dtype=object), PARTS, axis=1)]
 
 
 def _ready(book):
