@@ -6,9 +6,13 @@ passages rarely meet. Equal sets are one set. Sets with equal size and prefix fo
 shingles of their prefixes and are filtered by size, then pairs of groups are expanded to members, filtered by counts per hash
 bin (a bound on the overlap) and verified on the whole sets.
 
-A shingle under which many sets meet would give a square of pairs. Its sets are cut into blocks and a task compares two
-blocks by products of their incidence matrices and returns a spanning forest of the links, at most one row per set.
-Links become components by alternating stars, each a combinable minimum and a join.
+A shingle under which many sets meet would give a square of pairs. There every set first meets one pivot, round after round while that
+links at least half of them, so that masses of near copies take rows in proportion to their number. What then is already in
+one component needs no further link. Under shingles where several components still meet, the largest is held against all others in
+blocks: a task compares two blocks by products of their incidence matrices and returns a spanning forest of the links, at most one
+row per set. Links become components by alternating stars, each a combinable minimum and a salted join.
+
+Every distinct set has a number of its own, whatever ids its documents have, so repeated and null ids lose nothing.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ FEW = 128  # sets that may meet pairwise under one shingle; more are compared in
 BLOCK = 256  # sets of a block
 COLUMNS = 4096  # shingles of a matrix product at a time
 BROADCAST_IDS = 500_000  # ids of 8 bytes; more are joined by a shuffle
+SALTS = 8  # parts of a star's neighbours
 
 
 @dataclass(frozen=True)
@@ -127,16 +132,14 @@ def described(docs: DataFrame, heavy: dict[int, int], like: Likeness, *, key: st
     """``doc_id, n, digest`` (of the set), ``prefix`` (shingles), ``prefix_digest`` and ``bins`` (counts, 16-bit), one row per document."""
 
     def describe(batches: Iterator) -> Iterator:
-        from hashlib import blake2b
-
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
         known = np.array(sorted(heavy), dtype=np.uint64)
         often = np.array([heavy[int(k)] for k in known], dtype=np.int64)
         for batch in batches:
             rows = []
-            for i, gram in _each_set(batch["text"].tolist(), like.words):
+            for _, gram in _each_set(batch.column(1).to_pylist(), like.words):
                 n = len(gram)
                 rank = np.zeros(n, dtype=np.int64)
                 if len(known) and n:
@@ -146,14 +149,19 @@ def described(docs: DataFrame, heavy: dict[int, int], like: Likeness, *, key: st
                 length = n - -(-like.percent * n // 100) + 1 if n else 0
                 prefix = gram[np.lexsort((gram, rank))[:length]] if rank.any() else gram[:length]
                 bins = np.bincount((gram >> np.uint64(20)).astype(np.int64) & (BINS - 1), minlength=BINS)
-                rows.append((batch["doc_id"].iloc[i], n, blake2b(gram.tobytes(), digest_size=16).digest(), prefix.view(np.int64),
-                             blake2b(prefix.tobytes(), digest_size=16).digest(), np.minimum(bins, 65535).astype("<u2").tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "digest", "prefix", "prefix_digest", "bins"])
+                rows.append((n, digest_of(gram), prefix.view(np.int64), digest_of(prefix), np.minimum(bins, 65535).astype("<u2").tobytes()))
+            types = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            columns = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, types)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n", "digest", "prefix", "prefix_digest", "bins"])
 
     read = docs.select(F.col(key).cast("bigint").alias("doc_id"), filled(text).alias("text"))
-    out = read.where("doc_id IS NOT NULL").mapInPandas(
-        describe, "doc_id bigint, n bigint, digest binary, prefix array<bigint>, prefix_digest binary, bins binary")
-    return out
+    return read.mapInArrow(describe, "doc_id bigint, n bigint, digest binary, prefix array<bigint>, prefix_digest binary, bins binary")
+
+
+def digest_of(gram) -> bytes:
+    from hashlib import blake2b
+
+    return blake2b(gram.astype("<u8").tobytes(), digest_size=16).digest()
 
 
 def _near(a: str, b: str, like: Likeness) -> Column:
@@ -196,29 +204,25 @@ def possible(pairs: DataFrame, bins: DataFrame, like: Likeness) -> DataFrame:
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, like: Likeness, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``rep, digest, shingles`` (sorted, 64-bit) of the documents in ``wanted`` (``rep``, distinct)."""
+    """``rep, shingles`` (sorted, 64-bit) of the sets in ``wanted`` (``rep, digest, first``: the smallest id of a document with the set)."""
 
     def sets(batches: Iterator) -> Iterator:
-        from hashlib import blake2b
-
-        import pandas as pd
+        import pyarrow as pa
 
         for batch in batches:
-            blobs = [gram.astype("<u8").tobytes() for _, gram in _each_set(batch["text"].tolist(), like.words)]
-            yield pd.DataFrame({"rep": batch["rep"], "digest": [blake2b(b, digest_size=16).digest() for b in blobs], "shingles": blobs})
-
-    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    read = docs.select(F.col(key).cast("bigint").alias("rep"), filled(text).alias("text")).join(ids, "rep", "left_semi")
-    return read.mapInPandas(sets, "rep bigint, digest binary, shingles binary")
+            grams = [gram for _, gram in _each_set(batch.column(0).to_pylist(), like.words)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([digest_of(g) for g in grams], pa.binary()), pa.array([g.astype("<u8").tobytes() for g in grams], pa.binary())], names=["digest", "shingles"])
 
-
-def one_set_for_each_key(full: DataFrame) -> DataFrame:
-    """Without the sets of repeated keys that are not the key's largest (ties: the larger digest)."""
-    again = full.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.struct("n", "digest")).alias("own")).where("rows > 1")
-    again = settled(again.select("doc_id", "own"), "repeated-keys")
-    if again.isEmpty():
-        return full
-    return full.join(again, "doc_id", "left").where("own IS NULL OR (n = own.n AND digest = own.digest)").drop("own")
+    small = wanted.count() <= BROADCAST_IDS
+    ids = wanted.where("first IS NOT NULL").select(F.col("first").alias("_first")).distinct()
+    names = wanted.select("rep", "digest")
+    read = docs.select(F.col(key).cast("bigint").alias("_id"), filled(text).alias("text"))
+    known = read.join(F.broadcast(ids) if small else ids, F.col("_id") == F.col("_first"), "left_semi")
+    if not wanted.where("first IS NULL").isEmpty():  # sets of documents without an id
+        known = known.unionByName(read.where("_id IS NULL"))
+    whole = known.select("text").mapInArrow(sets, "digest binary, shingles binary")
+    return whole.join(F.broadcast(names) if small else names, "digest").select("rep", "shingles").dropDuplicates(["rep"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
@@ -271,23 +275,59 @@ def _forest(ids, sets, left: int, percent: int):
     return [(int(ids[i]), int(ids[r])) for i, r in enumerate(root) if i != r]
 
 
-def block_links(multi: DataFrame, members: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
-    """Connecting links ``a, b`` among the sets that meet under a shingle, or in a group, where many meet."""
-    many = many_met(multi, members)
-    blocks = F.ceil(F.col("met") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep", "key"), blocks).cast("int")
-    rows = many.select("key", "rep", blocks.alias("blocks"), own.alias("own"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("key", "rep", "own", other)
-    rows = rows.select("key", "rep", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+def many_met(multi: DataFrame, members: DataFrame) -> DataFrame:
+    """``key, rep, met``: the sets under shingles, and in groups, where more than FEW meet."""
+    by_shingle = multi.where(F.col("met") > FEW).join(members.select("gid", "rep"), "gid").select(F.col("shingle").alias("key"), "rep", "met")
+    by_group = members.where(F.col("weight") > FEW).select(F.xxhash64("gid").alias("key"), "rep", F.col("weight").alias("met"))
+    return by_shingle.unionByName(by_group)
+
+
+def star_links(many: DataFrame, sets: DataFrame, like: Likeness) -> list[DataFrame]:
+    """Links ``a, b`` of sets with the pivot (the smallest number) under the most crowded of their keys; those without one get
+    another pivot, as long as at least half find their link."""
+    left = settled(many.groupBy("rep").agg(F.max(F.struct("met", "key")).alias("k")).select("rep", "k.key"), "crowded-sets")
+    found: list[DataFrame] = []
+    count = left.count()
+    while count:
+        pivots = left.groupBy("key").agg(F.min("rep").alias("pivot"))
+        asked = left.join(pivots, "key").where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+        found.append(settled(verified(asked, sets, like), "star-links"))
+        alone = left.join(pivots.select(F.col("pivot").alias("rep")), "rep", "left_anti").join(found[-1].select(F.col("b").alias("rep")), "rep", "left_anti")
+        left, before = settled(alone, "crowded-sets"), count
+        count = left.count()
+        if 2 * count > before:
+            break
+    return found
+
+
+def block_links(many: DataFrame, together: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
+    """Connecting links ``a, b`` under keys where sets of several components meet: the largest component there with all other sets, and these
+    with one another. ``together`` has ``node, component`` of sets that are linked already."""
+    placed = many.join(together.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    placed = settled(placed, "crowded-components")
+    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+        F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("met"))
+    open_ = sizes.where(F.col("met") > F.col("main.n")).select(
+        "key", F.col("main.component").alias("main"), F.ceil(F.col("main.n") / BLOCK).alias("own"), F.ceil((F.col("met") - F.col("main.n")) / BLOCK).alias("others"))
+    rows = placed.join(settled(open_, "open-keys"), "key")
+    inside = F.col("component") == F.col("main")
+    number = F.pmod(F.xxhash64("rep", "key"), F.when(inside, F.col("own")).otherwise(F.col("others")))
+    rows = rows.select("key", "rep", inside.alias("inside"), number.alias("number"), "own", "others")
+    # block numbers of the others are shifted behind those of the main component
+    first = F.when(F.col("inside"), F.col("others")).otherwise(F.col("own") + F.col("others"))
+    rows = rows.select("key", "rep", "inside", "number", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), first - 1)).alias("other"))
+    number = F.when(F.col("inside"), F.col("number")).otherwise(F.col("own") + F.col("number"))
+    other = F.when(F.col("inside"), F.col("own") + F.col("other")).otherwise(F.col("other"))
+    rows = rows.select("key", "rep", number.alias("number"), other.alias("other"))
+    rows = rows.select("key", "rep", "number", F.least("number", "other").alias("i"), F.greatest("number", "other").alias("j"))
 
     def compare(part):
         import numpy as np
         import pandas as pd
 
-        part = part.sort_values(["own", "rep"])
+        part = part.sort_values(["number", "rep"])
         same = part["i"].iloc[0] == part["j"].iloc[0]
-        left = 0 if same else int((part["own"] == part["i"]).sum())
+        left = 0 if same else int((part["number"] == part["i"]).sum())
         if len(part) < 2 or left == len(part):
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         sets = [np.frombuffer(s, dtype="<u8") for s in part["shingles"]]
@@ -296,11 +336,10 @@ def block_links(multi: DataFrame, members: DataFrame, sets: DataFrame, like: Lik
     return rows.join(sets, "rep").groupBy("key", "i", "j").applyInPandas(compare, "a bigint, b bigint")
 
 
-def many_met(multi: DataFrame, members: DataFrame) -> DataFrame:
-    """``key, rep, met``: the sets under shingles, and in groups, where more than FEW meet."""
-    by_shingle = multi.where(F.col("met") > FEW).join(members.select("gid", "rep"), "gid").select(F.col("shingle").alias("key"), "rep", "met")
-    by_group = members.where(F.col("weight") > FEW).select(F.xxhash64("gid").alias("key"), "rep", F.col("weight").alias("met"))
-    return by_shingle.unionByName(by_group)
+def _with_least(rows: DataFrame, least: DataFrame, neighbour: str) -> DataFrame:
+    """``rows`` with the ``m`` of their ``u``; a star's many neighbours are spread over SALTS parts."""
+    salted = least.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(neighbour), F.lit(SALTS))).join(salted, ["u", "_salt"]).drop("_salt")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -310,10 +349,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _with_least(both.where("v > u"), least, "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         edges = settled(large, "large-star")
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        small = edges.join(least, "u").select(F.col("v").alias("x"), "m").unionByName(least.select(F.col("u").alias("x"), "m"))
+        small = _with_least(edges, least, "v").select(F.col("v").alias("x"), "m").unionByName(least.select(F.col("u").alias("x"), "m"))
         edges = settled(small.where("x <> m").select(F.greatest("x", "m").alias("u"), F.least("x", "m").alias("v")).distinct(), "small-star")
         state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
@@ -322,23 +361,18 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def linked_components(docs: DataFrame, like: Likeness = CONTRACT, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id``, one row per row of ``docs`` that has a key.
-
-    Null and empty texts, and texts of white space, have an empty set and are components of their own. Rows that repeat a key
-    and a text are copies. Where rows repeat a key with other texts, the largest set (ties: by digest) stands for the key; a row
-    with another set gets the component of the documents with that set, else its own key. Rows without a key cannot be
-    named in a component and are left out. No rows give no rows. Only key and text are
-    read, so other columns cannot clash.
-    """
+def _found(docs: DataFrame, like: Likeness, key: str, text: str) -> DataFrame:
+    """``doc_id, n, digest, part, component_id``, one row per document; ``part`` numbers the component (null for an empty set)."""
     spark = docs.sparkSession
     with noted() as wide:
         described_docs = settled(described(docs, heavy_shingles(docs, like, text), like, key=key, text=text), "shingle-prefixes")
     held = settled(described_docs.select("doc_id", "n", "digest"), "set-digests")
-    full = one_set_for_each_key(described_docs.where("n > 0"))
-    unique = settled(full.groupBy("n", "digest").agg(
-        F.min("doc_id").alias("rep"), F.min_by(F.struct("prefix", "prefix_digest", "bins"), "doc_id").alias("s")), "shingle-sets")
+    with noted() as whole_unique:
+        unique = described_docs.where("n > 0").groupBy("n", "digest").agg(
+            F.min("doc_id").alias("first"), F.any_value(F.struct("prefix", "prefix_digest", "bins")).alias("s"))
+        unique = settled(unique.withColumn("rep", F.monotonically_increasing_id()), "shingle-sets")
     discard(spark, wide)
+    names = settled(unique.select("rep", "n", "digest", "first"), "set-names")
     with noted() as grouping:
         grouped = settled(unique.groupBy("n", "s.prefix_digest").agg(
             F.min("rep").alias("gid"), F.count(F.lit(1)).alias("weight"), F.min_by("s.prefix", "rep").alias("prefix")), "prefix-groups")
@@ -350,25 +384,75 @@ def linked_components(docs: DataFrame, like: Likeness = CONTRACT, *, key: str =
     discard(spark, grouping)
 
     maybe = settled(possible(candidate_pairs(multi, members, like), unique.select("rep", "n", "s.bins"), like).distinct(), "possible-pairs")
-    wanted = maybe.select(F.col("a").alias("rep")).union(maybe.select("b")).union(many_met(multi, members).select("rep")).distinct()
-    whole = set_table(docs, settled(wanted, "wanted-sets"), like, key=key, text=text)
-    named = unique.select("rep", "digest")  # a repeated key may have other texts
-    sets = settled(whole.join(named, ["rep", "digest"], "left_semi").dropDuplicates(["rep"]).drop("digest"), "whole-sets")
-    links = verified(maybe, sets, like).unionByName(block_links(multi, members, sets, like))
+    discard(spark, whole_unique)
+    many = settled(many_met(multi, members), "crowded-keys")
+    wanted = maybe.select(F.col("a").alias("rep")).union(maybe.select("b")).union(many.select("rep")).distinct()
+    wanted = settled(wanted.join(names, "rep").select("rep", "digest", "first"), "wanted-sets")
+    sets = settled(set_table(docs, wanted, like, key=key, text=text), "whole-sets")
+    links = verified(maybe, sets, like)
+    stars = star_links(many, sets, like)
+    if stars:
+        for more in stars:
+            links = links.unionByName(more)
+        links = settled(links, "verified-links")
+        links = links.unionByName(block_links(many, settled(components(links), "linked-so-far"), sets, like))
     found = settled(components(links), "set-components")
 
-    by_set = unique.select("n", "digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    by_set = settled(by_set.select("n", "digest", F.coalesce("component", "rep").alias("component")), "components-of-sets")
+    least = found.join(names.select(F.col("rep").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("least"))
+    linked = found.join(settled(least, "least-ids"), "component").select(F.col("node").alias("rep"), F.col("component").alias("_part"), "least")
+    by_set = names.join(linked, "rep", "left").select(
+        "n", "digest", F.coalesce("_part", "rep").alias("part"), F.when(F.col("_part").isNull(), F.col("first")).otherwise(F.col("least")).alias("least"))
+    by_set = settled(by_set, "components-of-sets")
     return held.join(by_set, ["n", "digest"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+        "doc_id", "n", "digest", "part", F.when(F.col("part").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def linked_components(docs: DataFrame, like: Likeness = CONTRACT, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id``, one row per row of ``docs``.
+
+    Null and empty texts, and texts of white space, have an empty set and are components of their own, named by their key. Every row is a document:
+    rows that repeat a key with other texts are in the component of their own text. A row without a key links like any other; it has the smallest
+    key of its component, or null if no row there has one. No rows give no rows. Only key and text are read, so other columns
+    cannot clash.
+    """
+    return _found(docs, like, key, text).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def kept_rows(docs: DataFrame, like: Likeness = NEAR_COPIES, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, the one that names it, with all columns; rows without a key stay."""
-    found = linked_components(docs, like, key=key, text=text)
-    gone = settled(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
+    """One document of each component, with all columns: that of the smallest key (rows without one come last), of equal keys that of the
+    smallest digest, of rows with equal key and set any one. Documents with an empty set all stay, as does a text that shares no more than
+    its key with one that goes."""
+    found = settled(_found(docs, like, key, text), "near-copies")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    chosen = settled(found.where("n > 0").groupBy("part").agg(F.min(order).alias("c")).select("part", "c.doc_id", "c.digest"), "kept-sets")
+    stays = chosen.select("part", F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    marked = found.join(stays, "part", "left").withColumn(
+        "stay", F.col("part").isNull() | (F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))))
+    keys = settled(marked.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("stay").alias("kept"), F.max("n").alias("largest")), "near-copy-keys")
+    gone = keys.where("kept = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone"))
     drop = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(drop, docs[key].cast("bigint") == drop["_gone"], "left_anti")
+    id_ = F.col(f"`{key}`").cast("bigint")
+    # keys of which some rows stay and some go, or that repeat with a set, and rows without a key: told apart by their set
+    torn = keys.where("kept > 0 AND rows > 1 AND largest > 0 OR doc_id IS NULL").select(F.col("doc_id").alias("_torn"))
+    if torn.isEmpty():
+        return docs.join(drop, id_ == F.col("_gone"), "left_anti")
+    torn = settled(torn, "torn-keys")
+    ids = torn.where("_torn IS NOT NULL")
+    some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    plain = docs.where(id_.isNotNull()).join(drop, id_ == F.col("_gone"), "left_anti").join(some, id_ == F.col("_torn"), "left_anti")
+    others = docs.where(id_.isNotNull()).join(some, id_ == F.col("_torn"), "left_semi").unionByName(docs.where(id_.isNull()))
+
+    def digests(texts):
+        import pandas as pd
+
+        return pd.Series([digest_of(gram) if len(gram) else None for _, gram in _each_set(texts.tolist(), like.words)])
+
+    held = others.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_.alias("id"), filled(text).alias("text"))
+    held = held.withColumn("digest", F.pandas_udf(digests, "binary")("text"))
+    rows = held.join(chosen.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")), F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left_semi")
+    one = rows.groupBy("id", "digest").agg(F.first("row").alias("row")).select("row.*")
+    return plain.unionByName(one).unionByName(held.where("digest IS NULL").select("row.*"))
 
 
 def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -254,19 +254,29 @@ def test_mixed_rows_are_laid_out_in_order(spark, odd, none):
 
 
 def components(rows, like):
+    """Size of the set and component of every row (id, text), in the order of the rows."""
+
     def shingles(text):
         words = re.findall("[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
         return {tuple(words[i:i + like.words]) for i in range(max(1, len(words) - like.words + 1))} if words else set()
 
-    sets = {i: shingles(t) for i, t in rows}
-    root = {i: i for i in sets}
-    for a in sorted(sets):
-        for b in sorted(sets):
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
             both = len(sets[a] & sets[b])
-            if a < b and both and 100 * both >= like.percent * len(sets[a] | sets[b]):
+            if both and 100 * both >= like.percent * len(sets[a] | sets[b]) and root[a] != root[b]:
                 low, high = sorted((root[a], root[b]))
-                root = {i: low if r == high else r for i, r in root.items()}
-    return {i: (len(sets[i]), root[i]) for i in sets}
+                root = [low if r == high else r for r in root]
+    least = {}
+    for (i, _), r in zip(rows, root):
+        if i is not None:
+            least[r] = min(i, least.get(r, i))
+    return [(i, len(s), least.get(r)) for (i, _), s, r in zip(rows, sets, root)]
+
+
+def linked(frame, like=shingle_join.CONTRACT):
+    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in shingle_join.linked_components(frame, like).collect()), key=str)
 
 
 @pytest.mark.parametrize("few", [128, 2])
@@ -279,18 +289,47 @@ def test_shingle_components(spark, docs, monkeypatch, few, like):
     base = [f"w{i}" for i in range(60)]
     near = [(10_000 + k, " ".join(base[:k * 2] + [f"edit{k}"] + base[k * 2 + 1:])) for k in range(20)]
     short = [(20_000, "One two"), (20_001, "one  TWO\n"), (20_002, "one"), (20_003, "ONE"), (20_004, ""), (20_005, None), (20_006, " \t")]
-    rows = given + near + short
+    repeated = [(7, near[3][1]), (7, "all its own words here"), (None, near[5][1]), (None, "of nobody and of nothing else"), (None, "of nobody and of nothing else"), (10_003, "One two")]
+    rows = given + near + short + repeated
     frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingle_join.linked_components(frame, like).collect()}
-    assert got == components(rows, like)
+    assert linked(frame, like) == sorted(components(rows, like), key=str)
+
+
+def test_crowds_around_several_pivots(spark, monkeypatch):
+    """One passage in all texts, so that all meet: masses of near copies of some texts, chains of copies of copies, and texts of their own."""
+    monkeypatch.setattr(shingle_join, "FEW", 2)
+    monkeypatch.setattr(shingle_join, "BLOCK", 4)
+    rng = np.random.default_rng(3)
+    like = shingle_join.Likeness(words=2, percent=60)
+    shared = [f"s{i}" for i in range(12)]
+    rows, number = [], 0
+    for family in range(4):
+        own = [f"f{family}_{i}" for i in range(14)]
+        for k in range(15):
+            own = list(own)
+            own[int(rng.integers(14))] = f"e{family}_{k}"  # each is a copy of the one before
+            rows.append((number := number + 1, " ".join(shared + own)))
+    rows += [(1000 + k, " ".join(shared + [f"alone{k}_{i}" for i in range(14)])) for k in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert linked(frame, like) == sorted(components(rows, like), key=str)
+
+
+def test_near_copies_keep_a_text_that_shares_only_its_key(spark):
+    a, b = "one two three four five six seven", "a text of its own that nobody else has at all"
+    rows = [(3, a), (5, a), (5, b), (6, a + " "), (6, b + "!"), (None, a), (None, "without a key but with enough words"), (None, "without a key but with enough words"), (9, ""), (9, ""), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'x' AS part", "'x' AS row", "1 AS id")
+    kept = shingle_join.kept_rows(frame)
+    assert kept.columns == frame.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(
+        [(3, a), (5, b), (6, b + "!"), (None, "without a key but with enough words"), (9, ""), (9, ""), (None, None)], key=str)
 
 
 def test_shingle_edges(odd, none):
-    rows = shingle_join.linked_components(odd).collect()
-    assert len(rows) == odd.where("doc_id IS NOT NULL").count()
+    assert linked(odd) == sorted(components([(r["doc_id"], r["text"]) for r in odd.collect()], shingle_join.CONTRACT), key=str)
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     kept = shingle_join.kept_rows(odd)
     assert kept.columns == odd.columns
-    assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in shingle_join.linked_components(odd, shingle_join.NEAR_COPIES).collect() if r["doc_id"] == r["component_id"]} | {None}
+    words = [(r["doc_id"], r["text"]) for r in kept.collect() if (r["text"] or "").strip()]
+    assert len(words) == len(set(words)) == len({c for _, n, c in components(rows, shingle_join.NEAR_COPIES) if n})
+    assert {i for i, _ in words} == {c for _, n, c in components(rows, shingle_join.NEAR_COPIES) if n}
     assert shingle_join.linked_components(none).count() == 0 and shingle_join.kept_rows(none).count() == 0
-
-
