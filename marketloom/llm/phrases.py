@@ -26,10 +26,11 @@ from marketloom.llm.texthash import lowered, mixed, runs
 WORDS = 5  # of the longest phrase
 LEAST = 100  # occurrences of a candidate
 BEST = 2000  # phrases of a language
-CHUNK = 1 << 21  # bytes hashed at a time; longer texts are cut between words
+CHUNK = 1 << 20  # bytes hashed at a time; longer texts are cut between words
 FILTER_BITS = 1 << 27  # of a length's filter: 16 MB go to every task, whatever the corpus
 BLOCK_BITS = 1 << 16  # of a filter, built by one group
 SALTS = 64  # groups of a language in the first round of ranking
+BROADCAST_LANGS = 100_000  # more languages are joined by a shuffle
 NO_LANG = "und"
 
 
@@ -117,9 +118,6 @@ class Filter:
 
         self.bits = np.frombuffer(bits, dtype=np.uint8)
 
-    def __contains__(self, gram) -> bool:
-        return bool(self.holds(gram[None])[0])
-
     def holds(self, gram):
         import numpy as np
 
@@ -211,8 +209,9 @@ def _told_apart(held: Grams, n: int, gram, at):
         at = at[~same]
 
 
-def materialised(docs: DataFrame, filters: list[Filter], least: int) -> DataFrame:
-    """``lang, n, phrase, f``: exact counts of the frequent phrases of 1 to WORDS words; n = 0 counts a language's words."""
+def materialised(docs: DataFrame, known: Filter | None, words: int, least: int) -> DataFrame:
+    """``lang, n, phrase, f``: exact counts of the frequent phrases of 1 to ``words`` words, whose fingerprints are in ``known``; n = 0 counts
+    a language's words."""
 
     def read(batches: Iterator) -> Iterator:
         import numpy as np
@@ -228,10 +227,10 @@ def materialised(docs: DataFrame, filters: list[Filter], least: int) -> DataFram
                 for lang in set(langs):
                     rows.append((lang, 0, "", int((held.own & (names[text] == lang)).sum()) if len(text) else 0))
                 clean = held.data.tobytes()
-                for n, filter_ in enumerate(filters, start=1):
+                for n in range(1, words + 1):
                     gram, ok = held.hashes(n)
                     at = np.flatnonzero(ok & held.own)
-                    at = at[filter_.holds(gram[at])]
+                    at = at[known.holds(gram[at])]
                     for pointer, times in _told_apart(held, n, gram, at):
                         said = b" ".join(clean[held.starts[i]:held.ends[i]] for i in range(pointer, pointer + n))
                         rows.append((langs[text[pointer]], n, said.decode("utf-8", "surrogatepass"), times))
@@ -246,13 +245,14 @@ def materialised(docs: DataFrame, filters: list[Filter], least: int) -> DataFram
 def counted_phrases(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int = LEAST, words: int = WORDS) -> DataFrame:
     """``lang, n, phrase, f`` as ``materialised`` gives them, from length to length."""
     read = docs.select(filled(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANG)).alias("lang"))
-    filters: list[Filter] = []
+    below, known, longest = None, None, 0
     for n in range(1, words + 1):
-        some = settled(frequent(read, n, filters[-1] if filters else None, least), f"frequent-{n}")
+        some = settled(frequent(read, n, below, least), f"frequent-{n}")
         if some.isEmpty():
             break
-        filters.append(filter_of(some))
-    return materialised(read, filters, least)
+        below, longest = filter_of(some), n
+        known = below if known is None else Filter((known.bits | below.bits).tobytes())
+    return materialised(read, known, longest, least)
 
 
 def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int = LEAST, best: int = BEST) -> DataFrame:
@@ -278,7 +278,8 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", lea
     parts = counts.where("n BETWEEN 1 AND 4")
     cuts = cuts.join(parts.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l")), ["lang", "first"])
     cuts = cuts.join(parts.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r")), ["lang", "rest"])
-    cuts = cuts.join(counts.where("n = 0").select("lang", F.col("f").alias("n")), "lang")
+    totals = counts.where("n = 0").select("lang", F.col("f").alias("n"))
+    cuts = cuts.join(F.broadcast(totals) if totals.count() <= BROADCAST_LANGS else totals, "lang")
     whole = [F.col(c).cast("decimal(38,0)") for c in ("a", "n", "l", "r")]
     scored = cuts.withColumns({"_above": F.lit(1000).cast("decimal(4,0)") * whole[0] * whole[1], "_below": whole[2] * whole[3]})
     scored = scored.withColumn("score", F.expr("_above div _below"))
