@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 from marketloom.llm.tables import settled, table
 
 NEAREST = 20
-SAMPLE = 20_000  # vectors that the centroids are fitted on, the first by a hash; all are indexed
-LIST = 64  # sampled vectors for each centroid, at least
-MOST_LISTS = 4_096  # centroids in memory
+LIST = 64  # vectors of a list, at least, while there are fewer than MOST_LISTS lists
+MOST_LISTS = 4_096  # centroids in memory; beyond 262,144 vectors lists get longer and are read in shards
+SAMPLE = 131_072  # vectors that the centroids are fitted on, the first by a hash, and at most SAMPLED for a list; all are indexed
+SAMPLED = 32
 LINKS, FAR_LINKS = 16, 4  # graph: nearest centroids, and others drawn at random
-BEAM = 96
-COPIES, COPY_RATIO = 8, 1.12  # lists of a boundary vector, and how much farther their centroids may be
-PROBES, PROBE_RATIO, LEAST_PROBES = 96, 1.35, 24
-SHARD = 8_192
+COPIES, COPY_RATIO = 4, 1.1  # lists of a boundary vector, and how much farther their centroids may be
+PROBES, PROBE_SHARE, PROBE_RATIO, LEAST_PROBES = 96, 0.1875, 1.35, 24  # lists read at most (or this share of them), ratio of distances, and lists read at least
+SHARD = 8_192  # vectors of a list, and queries to it, that meet in a task
 SEED = 61
 
 
@@ -69,13 +69,21 @@ def _halves(points, order, rng):
     return order[near], order[far]
 
 
-def build(sample, longest: float) -> Index:
+def list_count(vectors: int) -> int:
+    """Lists of an index over so many vectors: the largest power of two that gives each LIST of them, up to MOST_LISTS."""
+    count = 1
+    while count * 2 <= MOST_LISTS and vectors // (count * 2) >= LIST:
+        count *= 2
+    return count
+
+
+def build(sample, longest: float, lists: int) -> Index:
     """Centroids of balanced cells of the sample (original vectors), and their graph."""
     import numpy as np
 
     points, rng = lifted(sample, longest), np.random.default_rng(SEED)
     cells = [np.arange(len(points))]
-    while len(cells) * 2 <= MOST_LISTS and len(points) // (len(cells) * 2) >= LIST:
+    while len(cells) < lists and len(points) >= len(cells) * 4:
         cells = [half for cell in cells for half in _halves(points, cell, rng)]
     centroids = np.array([points[cell].mean(axis=0) for cell in cells])
     count = len(centroids)
@@ -90,7 +98,8 @@ def nearest_lists(index: Index, points, most: int):
     import numpy as np
 
     centroids, squares = index.centroids, (index.centroids ** 2).sum(axis=1)
-    width = min(BEAM, len(centroids))
+    width = min(max(most, 32), len(centroids))
+    opens = max(8, width // 12)
 
     def distance(ids, some):
         dots = np.einsum("nmd,nd->nm", centroids[ids], some)
@@ -112,7 +121,7 @@ def nearest_lists(index: Index, points, most: int):
         rows = np.arange(len(some))[:, None]
         while True:  # every round opens the nearest few of the beam that have not been
             fresh = np.where(seen[rows, beam], np.inf, far)
-            pick = np.argsort(fresh, axis=1, kind="stable")[:, :8]
+            pick = np.argsort(fresh, axis=1, kind="stable")[:, :opens]
             if np.isinf(np.take_along_axis(fresh, pick, axis=1)).all():
                 break
             opened = np.take_along_axis(beam, pick, axis=1)
@@ -146,46 +155,57 @@ def valid(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding")
     return rows.select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.reverse("v"), F.lit(SEED)).alias("h2"))
 
 
-def posted(distinct: DataFrame, index: Index, *, queries: bool) -> DataFrame:
-    """``list, rep, v``: each vector in the lists that hold it, or, for queries, in those that they read."""
+def posted(distinct: DataFrame, index: Index, *, queries: bool, counted: bool = False) -> DataFrame:
+    """``list, rep, first, v``: each vector in the lists that hold it, or, for queries, in those that they read; ``counted``: ``list, n`` only."""
 
     def post(batches: Iterator) -> Iterator:
         import numpy as np
         import pandas as pd
 
+        most = max(PROBES, round(PROBE_SHARE * len(index.centroids))) if queries else COPIES
         for batch in batches:
             if not len(batch):
                 continue
             raw = np.stack(batch["v"].to_numpy())
             points = lifted_queries(raw) if queries else lifted(raw, index.longest)
-            ids, far = nearest_lists(index, points, PROBES if queries else COPIES)
+            ids, far = nearest_lists(index, points, most)
             ratio, least = (PROBE_RATIO, LEAST_PROBES) if queries else (COPY_RATIO, 1)
             lists = [_within(i, f, ratio, least) for i, f in zip(ids, far)]
+            if counted:
+                number, n = np.unique(np.concatenate(lists), return_counts=True)
+                yield pd.DataFrame({"list": number, "n": n})
+                continue
             at = np.repeat(np.arange(len(batch)), [len(x) for x in lists])
-            yield pd.DataFrame({"list": np.concatenate(lists), "rep": batch["rep"].to_numpy()[at], "v": batch["v"].to_numpy()[at]})
+            yield pd.DataFrame({"list": np.concatenate(lists), **{c: batch[c].to_numpy()[at] for c in ("rep", "first", "v")}})
 
-    return distinct.select("rep", "v").mapInPandas(post, "list bigint, rep bigint, v array<double>")
+    columns = distinct.select("rep", F.element_at("ids", 1).alias("first"), "v")
+    return columns.mapInPandas(post, "list bigint, n bigint" if counted else "list bigint, rep bigint, first bigint, v array<double>")
 
 
 def _best_of(left, right):
-    """Per query of a shard, its nearest vectors there: ``query, rep, score``."""
+    """Per query of a shard, its nearest vectors there: ``query, rep, first, score``. Whatever ties with the last place is scored exactly before
+    the smallest ids are taken."""
     import numpy as np
     import pandas as pd
 
     out = []
     if len(left) and len(right):
-        right = right.sort_values("rep")
-        reps, stack = right["rep"].to_numpy(), np.stack(right["v"].to_numpy())
+        right = right.sort_values("first")
+        reps, firsts, stack = right["rep"].to_numpy(), right["first"].to_numpy(), np.stack(right["v"].to_numpy())
         asked = np.stack(left["v"].to_numpy())
+        lengths = np.linalg.norm(stack, axis=1).max()
         for low in range(0, len(asked), 256):
             dots = asked[low:low + 256] @ stack.T
-            pick = np.argsort(-dots, axis=1, kind="stable")[:, :NEAREST + 1]
-            for i, row in enumerate(pick):
+            last = np.partition(dots, -min(NEAREST + 1, len(stack)), axis=1)[:, -min(NEAREST + 1, len(stack))]
+            slack = 1e-12 * lengths * np.linalg.norm(asked[low:low + 256], axis=1)  # more than products can differ by rounding
+            for i, own in enumerate(dots):
+                row = np.flatnonzero(own >= last[i] - slack[i])
                 score = (stack[row] * asked[low + i]).sum(axis=1)  # the same for a pair in whatever list
-                out.append((np.full(len(row), left["rep"].iloc[low + i]), reps[row], score))
+                pick = np.argsort(-score, kind="stable")[:NEAREST + 1]
+                out.append((np.full(len(pick), left["rep"].iloc[low + i]), reps[row[pick]], firsts[row[pick]], score[pick]))
     if not out:
-        return pd.DataFrame({"query": np.zeros(0, dtype=np.int64), "rep": np.zeros(0, dtype=np.int64), "score": np.zeros(0)})
-    return pd.DataFrame({"query": np.concatenate([x[0] for x in out]), "rep": np.concatenate([x[1] for x in out]), "score": np.concatenate([x[2] for x in out])})
+        return pd.DataFrame({"query": [], "rep": [], "first": [], "score": []}).astype({"query": "int64", "rep": "int64", "first": "int64", "score": "float64"})
+    return pd.DataFrame({c: np.concatenate([x[i] for x in out]) for i, c in enumerate(("query", "rep", "first", "score"))})
 
 
 def neighbours(vectors: DataFrame, is_query, *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -202,28 +222,36 @@ def neighbours(vectors: DataFrame, is_query, *, key: str = "vec_id", vector: str
     one = rows.groupBy("h1", "h2").agg(F.min_by("v", "vec_id").alias("v"))
     distinct = settled(one.join(ids, ["h1", "h2"]).select(F.monotonically_increasing_id().alias("rep"), "h1", "h2", "v", "ids"), "distinct-vectors")
     squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    longest = distinct.agg(F.max(F.sqrt(squares))).first()[0]
+    longest, count = distinct.agg(F.max(F.sqrt(squares)), F.count(F.lit(1))).first()
     if longest is None:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
 
     import numpy as np
 
-    drawn = distinct.orderBy("h1", "h2").select("v").limit(SAMPLE).toPandas()
-    index = build(np.stack(drawn["v"].to_numpy()), float(longest))
+    lists = list_count(count)
+    drawn = distinct.orderBy("h1", "h2").select("v").limit(min(SAMPLE, SAMPLED * max(lists, LIST))).toPandas()
+    index = build(np.stack(drawn["v"].to_numpy()), float(longest), lists)
 
     asking = settled(keys.where(is_query(F.col("vec_id"))).join(distinct.select("h1", "h2", "rep"), ["h1", "h2"]).select(F.col("vec_id").alias("query_id"), "rep"), "queries")
     postings = settled(posted(distinct, index, queries=False), "postings")
-    shards = settled(postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / SHARD).alias("shards")), "list-sizes")
-    shards = F.broadcast(shards)  # one row per list, at most MOST_LISTS
-    held = postings.join(shards, "list").select("list", F.pmod(F.xxhash64("rep"), "shards").alias("shard"), "rep", "v")
-    asked = posted(distinct.join(asking.select("rep").distinct(), "rep", "left_semi"), index, queries=True)
-    asked = asked.join(shards, "list").select("list", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1)).alias("shard"), "rep", "v")
-    near = asked.groupBy("list", "shard").cogroup(held.groupBy("list", "shard")).applyInPandas(_best_of, "query bigint, rep bigint, score double")
+    questions = distinct.join(asking.select("rep").distinct(), "rep", "left_semi")
+    held_sizes = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / SHARD).alias("shards"))
+    asked_sizes = posted(questions, index, queries=True, counted=True).groupBy("list").agg(F.ceil(F.sum("n") / SHARD).alias("groups"))
+    sizes = F.broadcast(settled(held_sizes.join(asked_sizes, "list"), "list-sizes"))  # one row per list, at most MOST_LISTS
+
+    def spread(rows: DataFrame, own: str, other: str) -> DataFrame:
+        """Each row in one part of its own side, and in all parts of the other."""
+        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"{other}s") - 1)).alias(other)
+        return rows.join(sizes, "list").select("list", F.pmod(F.xxhash64("rep"), f"{own}s").alias(own), every, "rep", "first", "v")
+
+    meet = ["list", "shard", "group"]
+    asked, held = spread(posted(questions, index, queries=True), "group", "shard"), spread(postings, "shard", "group")
+    near = asked.groupBy(*meet).cogroup(held.groupBy(*meet)).applyInPandas(_best_of, "query bigint, rep bigint, first bigint, score double")
 
     # A vector's smallest id speaks for it: the first NEAREST + 1 vectors hold the first NEAREST + 1 ids.
-    found = near.groupBy("query", "rep").agg(F.max("score").alias("score")).join(distinct.select("rep", "ids"), "rep")
-    order = W.partitionBy("query").orderBy(F.desc("score"), F.element_at("ids", 1))
-    found = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= NEAREST + 1)
+    found = near.groupBy("query", "rep", "first").agg(F.max("score").alias("score"))
+    order = W.partitionBy("query").orderBy(F.desc("score"), "first", "rep")
+    found = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= NEAREST + 1).join(distinct.select("rep", "ids"), "rep")
     said = found.select("query", F.explode(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("minus"), i.alias("vec_id")))).alias("c"))
     best = settled(said.groupBy("query").agg(F.slice(F.array_sort(F.collect_list("c")), 1, NEAREST + 1).alias("best")), "nearest-of-vectors")
     own = asking.join(best, asking["rep"] == best["query"]).select("query_id", F.slice(F.filter("best", lambda c: c["vec_id"] != F.col("query_id")), 1, NEAREST).alias("best"))

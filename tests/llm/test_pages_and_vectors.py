@@ -202,6 +202,36 @@ def test_neighbours_recall_and_scores(spark):
     assert hits >= 0.9 * total
 
 
+def test_neighbours_with_many_lists(spark, monkeypatch):
+    """More than 100 lists, several shards and groups of queries: recall, and how much of the vectors a query reads."""
+    monkeypatch.setattr(neighbours, "LIST", 16)
+    monkeypatch.setattr(neighbours, "SHARD", 40)
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(200, 12))
+    vectors = np.repeat(centres, 20, axis=0) + 0.2 * rng.normal(size=(4000, 12))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    rows = neighbours.neighbours(frame, lambda i: i % 20 == 0).collect()
+    ids, hits = np.arange(4000), 0
+    for q in range(0, 4000, 20):
+        own = {r["vec_id"] for r in rows if r["query_id"] == q}
+        hits += len(own & {i for _, i in exact(vectors, ids, q)})
+    assert hits >= 0.95 * 20 * 200
+    index = neighbours.build(vectors, float(np.linalg.norm(vectors, axis=1).max()), neighbours.list_count(4000))
+    assert len(index.centroids) == 128
+    found, far = neighbours.nearest_lists(index, neighbours.lifted_queries(vectors[::20]), neighbours.PROBES)
+    read = [len(neighbours._within(i, f, neighbours.PROBE_RATIO, neighbours.LEAST_PROBES)) for i, f in zip(found, far)]
+    assert np.mean(read) < 0.7 * 128
+
+
+def test_neighbours_ties_go_to_the_smallest_ids(spark):
+    """199 vectors tie with the query, in many orders of their parts: the smallest ids win."""
+    rng = np.random.default_rng(6)
+    rows = [(0, [1.0, 0.0, 0.0, 0.0])] + [(int(i), [1.0, *(float(x) for x in rng.integers(-4, 5, 3))]) for i in rng.permutation(np.arange(1, 200))]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(7)
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in neighbours.neighbours(frame, lambda i: i == 0).collect())
+    assert got == [(k, k, 1.0) for k in range(1, 21)]
+
+
 def test_neighbours_of_odd_vectors(spark):
     schema = "vec_id bigint, embedding array<float>, rep string, h1 string"
     rows = [(i, [1.0, 0.0]) for i in range(60)] + [(60, [0.0, 2.0]), (61, [3.0, 0.0]), (62, None), (63, [0.0, 0.0]), (64, [1.0, None]), (65, [float("nan"), 1.0]), (66, [float("inf"), 0.0]),
