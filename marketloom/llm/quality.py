@@ -100,21 +100,22 @@ def ngram_counts(docs: DataFrame, target_ids: list[int], *, key: str = "doc_id",
 
     def count(batches: Iterator) -> Iterator:
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
         raw, target = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
-        wanted = np.array(sorted(target_ids), dtype=np.int64)
+        wanted = pa.array(sorted(target_ids), pa.int64())
         for batch in batches:
-            good = batch["key"].isin(wanted).to_numpy()
-            for first, chunk in chunks(batch["text"].tolist()):
+            good = pc.is_in(batch.column(0), value_set=wanted).to_numpy(zero_copy_only=False)
+            for first, chunk in chunks(batch.column(1).to_pylist()):
                 doc, bucket = hashed_ngrams(chunk)
                 raw += np.bincount(bucket, minlength=BUCKETS)
                 target += np.bincount(bucket[good[first:first + len(chunk)][doc]], minlength=BUCKETS)
         some = np.flatnonzero(raw)
-        yield pd.DataFrame({"bucket": some, "raw": raw[some], "target": target[some]})
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (some, raw[some], target[some])], names=["bucket", "raw", "target"])
 
     read = docs.select(F.col(key).cast("bigint").alias("key"), filled(text).alias("text"))
-    parts = read.mapInPandas(count, "bucket bigint, raw bigint, target bigint")
+    parts = read.mapInArrow(count, "bucket bigint, raw bigint, target bigint")
     return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
@@ -122,13 +123,13 @@ def scores(docs: DataFrame, ratios, *, key: str = "doc_id", text: str = "text")
     """``key, n_grams, log_weight``, one row per document."""
 
     def score(batches: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
 
         for batch in batches:
-            weights, sizes = log_weights(batch["text"].tolist(), ratios)
-            yield pd.DataFrame({"key": batch["key"], "n_grams": sizes, "log_weight": weights})
+            weights, sizes = log_weights(batch.column(1).to_pylist(), ratios)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(weights, pa.float64())], names=["key", "n_grams", "log_weight"])
 
-    return docs.select(F.col(key).cast("bigint").alias("key"), filled(text).alias("text")).mapInPandas(
+    return docs.select(F.col(key).cast("bigint").alias("key"), filled(text).alias("text")).mapInArrow(
         score, "key bigint, n_grams bigint, log_weight double")
 
 
@@ -183,14 +184,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
         raw[row["bucket"]], target[row["bucket"]] = row["raw"], row["target"]
     ratios = log_ratios(raw, target)
     scored = settled(scores(docs, ratios, key=key, text=text), "quality-scores")
-    ids = {k: 1 for k in good} | {k: 0 for k in bad}
-
-    def labelled(batches: Iterator) -> Iterator:
-        for batch in batches:
-            some = batch[batch["key"].isin(ids.keys())]
-            yield some.assign(quality=some["key"].map(ids))[["log_weight", "quality"]]
-
-    known = scored.mapInPandas(labelled, "log_weight double, quality bigint").toPandas()  # about 2 * LABELLED rows
+    ids = docs.sparkSession.createDataFrame([(k, q) for q, some in ((1, good), (0, bad)) for k in some], "key bigint, quality int")
+    # one row for each labelled key, however often it occurs: 2 * LABELLED rows at most
+    known = scored.join(F.broadcast(ids), "key").groupBy("key", "quality").agg(F.min("log_weight").alias("log_weight")).toPandas()
     cut = _best_cut(known.log_weight[known.quality == 1].to_numpy(), known.log_weight[known.quality == 0].to_numpy())
     return Model(ratios, cut), scored
 

@@ -1,7 +1,8 @@
 """WARC archives and an external merge of their index.
 
 Archives are written by Spark's text writer, one record per row; the record's closing blank lines are the row separator, so a
-file is a WARC file, compressed as a whole, wherever the shared folder is; offsets are those of its plain bytes. Equal payloads of some size are stored once: the smallest page
+file is a WARC file, compressed as a whole, wherever the shared folder is; offsets are those of its plain bytes. A task starts a new
+file after ARCHIVE_BYTES, so files are bounded by bytes, not by pages. Equal payloads of some size are stored once: the smallest page
 id of a digest is the response, found by a combinable minimum and a join, and the others are revisit records.
 
 Reading parses each archive in one pass and yields its index entries sorted by URL key and time: a sorted run per
@@ -20,8 +21,10 @@ from marketloom.llm.tables import filled, settled, table
 from marketloom.session import fresh_path
 
 LEAST_SHARED = 100  # bytes from which an equal payload is stored once
-RECORDS_PER_FILE = 5_000
-EPOCH = 1_704_067_200  # captures without a time: this second plus the page id
+ARCHIVE_BYTES = 64 << 20  # of records in a file, before compression; a larger record is a file of its own
+MERGED = 200_000  # index entries of a key range, about: one task merges them in memory
+EPOCH = 1_704_067_200  # captures without a time: this second plus the page id, within SPAN seconds
+SPAN = 1 << 30
 CRLF = "\r\n"
 ENTRY = ("url_key string, captured string, page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, "
          "refers_to bigint, archive string, offset bigint, record_bytes bigint")
@@ -43,7 +46,7 @@ def _header(name: str, value: Column) -> Column:
 
 def records(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", captured: str | None = None) -> DataFrame:
     """``record``: the text of one WARC record per row, without the two line breaks that close it."""
-    stamp = F.col(captured) if captured else F.timestamp_seconds(F.lit(EPOCH) + F.coalesce(F.col(key), F.lit(0)))
+    stamp = F.col(captured) if captured else F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce(F.col(key).cast("bigint"), F.lit(0)), F.lit(SPAN)))
     rows = pages.select(
         F.col(key).cast("bigint").alias("page_id"), F.col(url).alias("url"), filled(html).alias("html"),
         F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured"))
@@ -70,7 +73,25 @@ def records(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: s
 
 
 def write(pages: DataFrame, path: str, **columns) -> None:
-    records(pages, **columns).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
+    """Archives below ``path``, of at most ARCHIVE_BYTES plain bytes or one record each."""
+
+    def numbered(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        number, held = 0, 0
+        for batch in batches:
+            own = np.zeros(batch.num_rows, dtype=np.int64)
+            for i, size in enumerate(pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False)):
+                if held and held + size > ARCHIVE_BYTES:
+                    number, held = number + 1, 0
+                held += int(size) + 4
+                own[i] = number
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own)], names=["record", "file"])
+
+    cut = records(pages, **columns).mapInArrow(numbered, "record string, file bigint")
+    cut.write.partitionBy("file").option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
 
 
 def parsed(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
@@ -117,7 +138,7 @@ def index_runs(spark: SparkSession, path: str) -> DataFrame:
                 yield frame
 
     schema = ENTRY.replace("url_key string, ", "")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content")
     entries = files.mapInPandas(read, schema).withColumn("url_key", F.coalesce(url_key(F.col("url")), F.lit("")))
     return entries.select(*[c.split(" ")[0] for c in ENTRY.split(", ")]).sortWithinPartitions("archive", *ORDER)
 
@@ -171,7 +192,8 @@ def merged_order(runs: list[list[tuple]]) -> Iterator[tuple[int, int]]:
 
 
 def merged_history(runs: DataFrame) -> DataFrame:
-    """All index entries, in global order of URL key, time and page over the partitions."""
+    """All index entries, in global order of URL key, time and page over the partitions. Ranges are of the whole order, so one URL with very many
+    captures is cut as well."""
 
     def merge(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -195,7 +217,7 @@ def merged_history(runs: DataFrame) -> DataFrame:
             out = out.assign(**{column: out[column].astype("Int64")})
         yield out
 
-    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // MERGED))
     return runs.repartitionByRange(parts, *ORDER).mapInPandas(merge, ENTRY)
 
 

@@ -1,6 +1,7 @@
 """Operators on documents against brute force, and their defined results for nulls, empty and long texts, repeats and clashing names."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -144,6 +145,41 @@ def test_quality_on_held_out_labels(spark):
     assert share[1] > 0.9 and share[0] < 0.1
 
 
+def test_quality_against_brute_force(spark, docs):
+    """Every weight, key and verdict, with labelled ids that repeat; counts, ratios, cut and the k-th key by plain sums and sorts."""
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    rows += [(5, "another text under a labelled id"), (5, "and one more"), (1 << 60, "far id"), (None, "no id"), (None, None), *rows[:9]]
+    labelled = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").collect()} | {5: 1}
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, q) for k, q in labelled.items()] * 2, "doc_id bigint, quality int")
+    got = quality.judged(frame, labels).collect()
+
+    grams = [quality.hashed_ngrams([(t or "").encode()])[1].tolist() for _, t in rows]
+    raw, target = [0] * quality.BUCKETS, [0] * quality.BUCKETS
+    for (i, _), some in zip(rows, grams):
+        for b in some:
+            raw[b] += 1
+            target[b] += labelled.get(i) == 1
+    scale = sum(target) / sum(raw)
+    ratio = [math.log(t + quality.SMOOTHING) - math.log(r * scale + quality.SMOOTHING) for r, t in zip(raw, target)]
+    weight = [sum(ratio[b] for b in some) for some in grams]
+    least = {}
+    for (i, _), w in zip(rows, weight):
+        least[i] = min(w, least.get(i, math.inf))
+    known = sorted((w, labelled[i]) for i, w in least.items() if labelled.get(i) is not None)
+    wrong = [sum(q for _, q in known[:n]) + sum(1 - q for _, q in known[n:]) for n in range(len(known) + 1)]  # of keeping all but the n lowest
+    n = wrong.index(min(wrong))
+    cut = -math.inf if n == 0 else known[n - 1][0] + (known[min(n, len(known) - 1)][0] - known[n - 1][0]) / 2
+    noise = {r["k"]: r["h"] for r in spark.createDataFrame([(i,) for i, _ in rows], "k bigint").selectExpr("k", f"shiftrightunsigned(xxhash64(k, {quality.SEED}), 12) AS h").collect()}
+    keys = [w / quality.TEMPERATURE - math.log(-math.log((noise[i] + 0.5) / 2 ** 52)) for (i, _), w in zip(rows, weight)]
+    kth = sorted(keys, reverse=True)[sum(w >= cut for w in weight) - 1]
+    want = sorted((str(i), len(some), round(w, 6), round(k, 4), k >= kth) for (i, _), some, w, k in zip(rows, grams, weight, keys))
+    have = sorted((str(r["key"]), r["n_grams"], round(r["log_weight"], 6), round(r["sample_key"] / quality.KEY_SCALE, 4), r["kept"]) for r in got)
+    assert [x[:2] + x[4:] for x in have] == [x[:2] + x[4:] for x in want]
+    assert all(abs(a[2] - b[2]) < 1e-5 and abs(a[3] - b[3]) < 1e-3 for a, b in zip(have, want))
+    assert 0 < sum(x[4] for x in have) < len(have)
+
+
 def test_quality_weight_is_the_ratio_of_counts():
     texts = ["a b a b", "A b\tc!", "", "é é é"]
     doc, bucket = quality.hashed_ngrams([t.encode() for t in texts])

@@ -63,7 +63,8 @@ def test_entropy(spark):
 def test_warc_round_trip(spark, sf):
     big, small = "<p>" + "long payload é " * 20, "tiny"
     rows = [(5, "http://www.B.com/x", big), (3, "http://a.com/y?q", big), (9, None, big), (None, "http://a.com/", big), (1, "u\r\nX-Evil: 1", small), (2, "http://a.com/y?q", small),
-            (4, "", None), (6, "http://a.com", "\r\n\r\nWARC/1.1\r\n\r\n"), (3, "http://a.com/y?q", big), (7, "http://c.com", "h" * 300_000)]
+            (4, "", None), (10 ** 15, "http://far.com", "far"), (2 ** 63 - 1, "http://far.com", big), (-(2 ** 63), "http://far.com", small),
+            (6, "http://a.com", "\r\n\r\nWARC/1.1\r\n\r\n"), (3, "http://a.com/y?q", big), (7, "http://c.com", "h" * 300_000)]
     odd = spark.createDataFrame(rows, PAGES).selectExpr("*", "'x' AS digest", "'x' AS bytes", "'x' AS first", "'x' AS block")
     given = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
     for frame in (odd, given, given.limit(0)):
@@ -88,6 +89,20 @@ def test_warc_round_trip(spark, sf):
             assert record.startswith(b"WARC/1.1\r\nWARC-Type: " + r["record_type"].encode()) and record.endswith(b"\r\n\r\n")
 
 
+def test_warc_files_are_bounded_by_bytes(spark, monkeypatch):
+    import os
+
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 5000)
+    pages = spark.createDataFrame([(i, "http://a.com/", chr(97 + i % 26) * (9000 if i % 7 == 0 else 700)) for i in range(40)], PAGES).repartition(3)
+    path = warc.fresh_path(spark, "warc-test")
+    assert warc.captured(pages, path).count() == 40
+    files = [os.path.join(top, f) for top, _, names in os.walk(path) for f in names if f.startswith("part-")]
+    for name in files:
+        plain = gzip.open(name).read()
+        assert len(plain) <= 5004 or len(list(warc.parsed(plain))) == 1
+    assert 10 < len(files) < 30
+
+
 def test_loser_tree_merges():
     rng = random.Random(1)
     for runs in range(9):
