@@ -159,14 +159,11 @@ def formatted(turns: DataFrame, **columns) -> DataFrame:
             return (held["conv"], held["part"], held["start"], "".join(held["text"]), held["turn"] - held["first"], held["spans"], held["attached"], tokens, last)
 
         def frame(rows):
-            out = pd.DataFrame(rows, columns=names)
-            return out.assign(conv_id=pd.array(out["conv_id"].tolist(), "Int64"))
+            return pd.DataFrame(rows, columns=names)
 
         for batch in batches:
             done = []
-            convs = batch["conv_id"].astype("Int64")
-            for conv, missing, segment, low, size, attached in zip(convs, convs.isna(), batch["segment"], batch["loss_start"], batch["loss_chars"], batch["attachments"]):
-                conv = None if missing else int(conv)
+            for conv, segment, low, size, attached in zip(batch["conv_id"], batch["segment"], batch["loss_start"], batch["loss_chars"], batch["attachments"]):
                 if held and held["conv"] != conv:
                     done.append(row(True))
                     held = {}
@@ -190,8 +187,9 @@ def formatted(turns: DataFrame, **columns) -> DataFrame:
             yield frame([row(True)])
 
     rows = rendered(turns, **columns)
-    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "segment")
-    return ordered.mapInPandas(assemble, FORMATTED)
+    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "segment").withColumn("conv_id", F.col("conv_id").cast("string"))
+    formats = ordered.mapInPandas(assemble, FORMATTED.replace("conv_id bigint", "conv_id string"))  # as text: pandas has no long with nulls
+    return formats.withColumn("conv_id", F.col("conv_id").cast("bigint"))
 
 
 def turns_in(text: str, template: Template = PLAIN) -> Iterator[tuple[str, list[tuple[str, str]]]]:
@@ -221,8 +219,7 @@ def read_back(formats: DataFrame, template: Template = PLAIN) -> DataFrame:
         state = None
         for batch in batches:
             rows = []
-            for conv, missing, text, spans, tokens, last in zip(
-                    batch["conv_id"], batch["conv_id"].isna(), batch["formatted"], batch["loss_spans"], batch["expanded_tokens"], batch["last"]):
+            for conv, text, spans, tokens, last in zip(batch["conv_id"], batch["formatted"], batch["loss_spans"], batch["expanded_tokens"], batch["last"]):
                 if state is None:
                     state = [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
                 for role, parts in turns_in(text, template):
@@ -236,13 +233,14 @@ def read_back(formats: DataFrame, template: Template = PLAIN) -> DataFrame:
                 state[4] += len(text)
                 state[5] += int(tokens)
                 if last:
-                    rows.append((None if missing else int(conv), state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4], state[5]))
+                    rows.append((conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4], state[5]))
                     state = None
             if rows:
-                frame = pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "expanded_tokens"])
-                yield frame.assign(conv_id=pd.array([r[0] for r in rows], "Int64"))
+                yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "expanded_tokens"])
 
-    return formats.mapInPandas(read, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, expanded_tokens bigint")
+    told = formats.withColumn("conv_id", F.col("conv_id").cast("string")).mapInPandas(
+        read, "conv_id string, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, expanded_tokens bigint")
+    return told.withColumn("conv_id", F.col("conv_id").cast("bigint"))
 
 
 GUARD = -7  # a conversation of control strings beside the given ones

@@ -196,29 +196,26 @@ def merged_history(runs: DataFrame) -> DataFrame:
     captures is cut as well."""
 
     def merge(batches: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
 
         held = list(batches)
         if not held:
             return
-        frame = pd.concat(held, ignore_index=True)
-        page = frame["page_id"].astype("Int64")
-        keys = list(zip(frame["url_key"].str.encode("utf-8"), frame["captured"].fillna(""), page.isna().map(int) * -1, page.fillna(0), frame["offset"]))
+        entries = pa.Table.from_batches(held)
+        column = {name: entries.column(name).to_pylist() for name in (*ORDER, "archive")}
+        keys = [(key.encode(), time or "", page is not None, page or 0, offset) for key, time, page, offset in zip(*(column[name] for name in ORDER))]
         segments: dict[str, list[list[int]]] = {}
-        for i, archive in enumerate(frame["archive"]):  # a run comes in one or a few blocks, each in order
+        for i, archive in enumerate(column["archive"]):  # a run comes in one or a few blocks, each in order
             blocks = segments.setdefault(archive, [[]])
             if blocks[-1] and keys[i] < keys[blocks[-1][-1]]:
                 blocks.append([])
             blocks[-1].append(i)
         order = [block for name in sorted(segments) for block in segments[name]]
         ranked = [order[run][place] for run, place in merged_order([[keys[i] for i in segment] for segment in order])]
-        out = frame.iloc[ranked]
-        for column in ("page_id", "refers_to"):
-            out = out.assign(**{column: out[column].astype("Int64")})
-        yield out
+        yield from entries.take(ranked).combine_chunks().to_batches()
 
     parts = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // MERGED))
-    return runs.repartitionByRange(parts, *ORDER).mapInPandas(merge, ENTRY)
+    return runs.repartitionByRange(parts, *ORDER).mapInArrow(merge, ENTRY)
 
 
 def captured(pages: DataFrame, path: str, **columns) -> DataFrame:

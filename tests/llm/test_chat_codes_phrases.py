@@ -34,7 +34,7 @@ def test_chat_of_odd_texts(spark):
     rng = random.Random(5)
     bits = ["\\", "<", "|", ">", "<turn>", "</turn>", "\n", "<text>", "### Assistant:", "### ", "é", "😀", "a", "</", "<|image_1|>", "|>", "", "$0", "\0"]
     rows = [(c, t, rng.choice(["user", "assistant", "system", "<turn>", "a\nb\\", None]), "".join(rng.choices(bits, k=rng.randrange(9)))) for c in range(60) for t in range(1 + c % 7)]
-    rows += [(1000, 0, "user", None), (1000, 1, "assistant", None), (1001, 3, None, "late"), (1001, None, "assistant", "first"), (None, 0, "user", "x"), (None, 1, "assistant", "y")]
+    rows += [(1000, 0, "user", None), (1000, 1, "assistant", None), (1001, 3, None, "late"), (1001, None, "assistant", "first"), (None, 0, "user", "x"), (None, 1, "assistant", "y"), (2 ** 63 - 2, 0, "user", "far"), (2 ** 63 - 1, 0, "user", "farther")]
     rows += [(1002, t, "assistant", "long é " * 100_000) for t in range(5)]
     frame = spark.createDataFrame(rows, TURNS).selectExpr("*", "'x' AS segment", "'x' AS flat", "'x' AS formatted", "1 AS part")
     assert digests(frame) == by_hand(rows)
