@@ -157,6 +157,74 @@ def test_html_keeps_what_the_sample_did_not_show(spark):
     assert texts_by_id(spark, ["<body><div class=a>70 percent of it</div><div class=b>the rest</div>"]) == ["70 percent of it the rest"]
 
 
+def test_html_keeps_sentences_that_all_pages_share(spark):
+    pages = [f"<body><div class=top>Our site</div><div class=a>Shared first part of the story.</div><div class=b>Part {i}</div><div class=end>All rights</div>" for i in range(12)]
+    assert texts_by_id(spark, pages) == [f"Shared first part of the story. Part {i}" for i in range(12)]
+
+
+def test_html_sample_is_of_different_pages(spark):
+    page = "<body><div class=top>Our site</div><ul class=links><li>Home</li></ul><div class=b>Text {0}</div><div class=end>All rights</div>"
+    pages = [page.format(5)] * 400 + [page.format(i) for i in range(6, 9)]
+    assert texts_by_id(spark, pages) == ["Text 5"] * 400 + [f"Text {i}" for i in range(6, 9)]
+
+
+def test_html_names_inside_an_article_do_not_cut_text(spark):
+    page = "<body><nav>m</nav><article><h1>T{0}</h1><div class='search tips'>Tip {0}</div><p class=reply>Reply {0}</p><div class=ad>BUY</div><section id=comments><p>mine!</p></section></article>"
+    assert texts_by_id(spark, [page.format(i) for i in range(9)]) == [f"T{i} Tip {i} Reply {i}" for i in range(9)]
+
+
+def test_html_groups_of_several_parts():
+    assert markup.expression(markup.wrapper(["<h2>a</h2><p>x</p><h2>b</h2><p>y</p>"])) == "(<h2>#</h2><p>#</p>)+"
+    pages = ["<h1>t</h1><h2>a</h2><p>x</p><h2>b</h2><p>y</p><h2>c</h2><p>z</p><hr>", "<h1>u</h1><h2>d</h2><p>w</p><hr>", "<h1>v</h1><hr>"]
+    assert markup.expression(markup.wrapper(pages)) == "<h1>#</h1>((<h2>#</h2><p>#</p>))*<hr></hr>".replace("((", "(").replace("))", ")")
+
+
+def test_html_of_menus_that_repeat(spark):
+    """A repeated group keeps the texts that all pages share apart from those that vary."""
+    page = "<body><ul class=links><li>Home</li><li>News</li><li>About</li></ul><div class=list><p>First {0}</p><p>Then {0}</p>{1}</div>"
+    pages = [page.format(i, "<p>More</p>" if i % 3 == 0 else "") for i in range(24)]
+    assert texts_by_id(spark, pages) == [f"First {i} Then {i}" + (" More" if i % 3 == 0 else "") for i in range(24)]
+
+
+def test_html_of_long_pages_in_seconds():
+    import random
+    import time
+
+    rng = random.Random(1)
+    start = time.time()
+    pairs = ["".join(f"<h2>a{k}{i}</h2><p>text {i} of {k}</p>" for i in range(20_000)) for k in range(2)]
+    disorder = ["".join(f"<{t}>x{i}{k}</{t}>" for i, t in enumerate(rng.choices(["p", "h2", "ul", "pre", "div"], k=30_000))) for k in range(2)]
+    for pages in (pairs, disorder):
+        wrap = markup.wrapper(pages)
+        fixed = markup.template_texts(markup.tree(pages[0]), markup.unpacked(markup.packed(wrap)))
+        assert not fixed
+    assert len(markup.tree("<b></i>" * 200_000).children) == 1
+    markup.tree("<p>" + "<font>" * 100_000 + "<p>x" * 50_000)
+    markup.tree("<article>" + "<b>" * 100_000 + "</article>" * 2 + "</main></p>" * 100_000)
+    assert time.time() - start < 60
+
+
+# Pages of several templates, and their text as a person reads it.
+LABELLED = [
+    ("<html><body><header><a href=/>Daily</a></header><div id=menu><a href=/a>A</a><a href=/b>B</a></div><div class=story><h1>Rain {0}</h1><p>It rained on day {0}.</p>"
+     "<ul><li>wet</li><li>cold {0}</li></ul></div><div class=sidebar><p>Read more {0}</p></div><footer>Daily Inc</footer></body></html>",
+     "Rain {0} It rained on day {0}. wet cold {0}"),
+    ("<body><div class=head>Shop</div><div class=prod><h2>Lamp {0}</h2><table><tr><td>Price<td>{0} EUR<tr><td>Size<td>M</table></div><form><p>Mail {0}</p></form><div class=foot>Imprint</div>",
+     "Lamp {0} Price {0} EUR Size M"),
+    ("<body><div class=logo>Blog</div><article><header><h1>Post {0}</h1></header><p>Body {0} &amp; more</p><aside>Buy {0}</aside></article><div class=comments><p>Nice {0}</p></div>",
+     "Post {0} Body {0} & more"),
+    ("<body><div class=logo>Wiki</div><div class=c><p>Intro {0}</p><h2>Part</h2><p>One {0}</p><h2>Rest</h2><p>Two {0}</p></div><script>x({0})</script><div class=cookie-notice>Cookies {0}!</div>",
+     "Intro {0} Part One {0} Rest Two {0}"),
+    ("<body><main><h1>Talk {0}</h1><blockquote>Quote {0}</blockquote><nav>next {0}</nav></main><div role=contentinfo>Owner {0}</div>", "Talk {0} Quote {0}"),
+]
+
+
+def test_html_of_labelled_templates(spark):
+    rows = [(100 * t + i, f"http://site{t}.org/{i}", page.format(i)) for t, (page, _) in enumerate(LABELLED) for i in range(25)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_texts(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {100 * t + i: text.format(i) for t, (_, text) in enumerate(LABELLED) for i in range(25)}
+
+
 def test_html_of_templates_that_the_sample_did_not_show(spark):
     first = "<body><div class=top>Our site</div><article><p>Text {0}</p></article>"
     other = "<body><div class=top>Our site</div><div class=lead><h2>Head {0}</h2></div><div class=box><p>Other {0}</p></div><div class=end>All rights</div>"
@@ -182,7 +250,7 @@ def test_html_rows(spark, sf):
     import html
 
     given = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
-    odd = spark.createDataFrame([(None, None, None), (10_001, None, ""), (10_002, "http://a.com", "plain &lt;text"), (10_003, "x", "<p>" + "w " * 100_000), (10_003, "x", "<div<<>>&#x;")], PAGES)
+    odd = spark.createDataFrame([(None, None, None), (10_001, None, ""), (10_002, "http://a.com", "plain &lt;text"), (10_003, "x", "<p>" + "w " * 100_000), (10_003, "x", "<div<<>>&#x;"), (2 ** 63 - 1, "x", "far"), (2 ** 63 - 2, "x", "far")], PAGES)
     frame = given.unionByName(odd).selectExpr("*", "'x' AS host", "'x' AS path", "'x' AS text")
     got = html_text.main_texts(frame).collect()
     assert len(got) == frame.count() and all(r["n_chars"] == len(r["text"]) for r in got)
