@@ -23,6 +23,7 @@ import heapq
 import json
 from bisect import bisect_left
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -84,7 +85,8 @@ def mixed(docs: DataFrame, *, key: str = "doc_id", source: str = "source", carry
     ``position`` orders the mix: slot times the block size plus the place in the block; only a source's last, shorter block leaves
     a gap. Null is a source like any other. ``weights`` names targets by source (missing ones count as the smallest
     given; sources of weight 0 come last). Texts are not read. Rows that repeat are placed one by one; rows with a null key too.
-    Within a source the order is a hash of the key, ties (equal keys) in any order. No rows give no rows.
+    Within a source the order is a hash of the key and the row's place in its file, so that rows without a key, or of one key, are spread like
+    others; rows that do not come straight from files are hashed with all they carry. No rows give no rows.
     """
     spark = docs.sparkSession
     sizes = docs.groupBy(F.col(source).cast("string").alias("name")).count()
@@ -103,8 +105,11 @@ def mixed(docs: DataFrame, *, key: str = "doc_id", source: str = "source", carry
     by_name = F.create_map(*known)[F.col("name")] if known else F.lit(None).cast("int")
     number = F.when(F.col("name").isNull(), F.lit(numbers.get(None, POOL))).otherwise(F.coalesce(by_name, F.lit(POOL)))
     buckets = max(1, round((total["largest"] or 1) ** 0.5))
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(source).cast("string").alias("name"), F.xxhash64(F.col(key), F.lit(SEED)).alias("h"))
+    columns = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(source).cast("string").alias("name")]
+    try:  # rows of one key, or of none, are told apart by their place in the files, so that they are not one bucket
+        rows = docs.select(*columns, F.xxhash64(F.col(key), F.lit(SEED), F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias("h"))
+    except AnalysisException:  # not straight from files: by all that they carry
+        rows = docs.select(*columns, F.xxhash64(F.col(key), F.lit(SEED), *[F.col(f"`{c}`") for c in carry]).alias("h"))
     each = ["source_number", "own"] if pooled else ["source_number"]
     rows = rows.select(
         "row", number.alias("source_number"), *([_own("name").alias("own")] if pooled else []), "h", F.pmod(F.shiftrightunsigned("h", 7), F.lit(buckets)).alias("bucket"))

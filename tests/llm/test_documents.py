@@ -284,6 +284,14 @@ def test_mix_keeps_small_and_late_weights(spark, monkeypatch):
     assert [abs(after.count(s) - 2000 * weights[s] / 22.501) < 5 for s in ("a", "c", None)] == [True] * 3
 
 
+def test_mix_spreads_rows_without_a_key(spark):
+    path = mixing.settled(spark.range(4000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "concat('s', id % 2) AS source", "'t' AS text"), "mix-test")
+    rows = mixing.mixed(path, carry=["doc_id", "source"], block=4)
+    assert rows.select("position").distinct().count() == 4000
+    plan = rows._jdf.queryExecution().toString()
+    assert "row_index" in plan and "ArrowEvalPython" not in plan
+
+
 def test_mixed_rows_are_laid_out_in_order(spark, odd, none):
     assert mixing.mixed_rows(odd).columns == odd.columns and mixing.mixed_rows(odd).count() == odd.count()
     assert mixing.mixed_rows(none).count() == 0
