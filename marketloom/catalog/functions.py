@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from marketloom import spec
 from marketloom.catalog import query
-from marketloom.catalog.momentum import day_text
+from marketloom.catalog.momentum import DAY, INDEX_FOLD, day_text
 from marketloom.catalog.views import add_view, sql_round, sql_scaled
 from marketloom.functions import numeric as N
 from marketloom.functions import periods as P
@@ -470,7 +470,7 @@ def arr_07(spark, d):
     return S.table(spark, d, "events").select("event_id", parsed["k"].alias("k"), F.to_json(parsed).alias("packed"))
 
 
-@query("arr_08_rounded_fold")
+@query("arr_08_rounded_fold", f"{INDEX_FOLD} SELECT industry_level_2_code, industry_level_2_name, {DAY}, open, high, low, close, volume FROM index_bars")
 def arr_08(spark, d):
     from marketloom.plans import industry as I
 

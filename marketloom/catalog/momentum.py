@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from marketloom import spec
 from marketloom.catalog import query
-from marketloom.catalog.views import add_view, sql_round
+from marketloom.catalog.views import add_view, sql_round, sql_round_wide
 from marketloom.operators import rolling as L
 from marketloom.plans import industry as I
 from marketloom.plans import momentum as M
@@ -67,17 +67,18 @@ def mom_02(spark, d):
     return M.search_rankings(rps(spark, d), S.securities(spark, d), "Supplier#0000000", window=50, limit=20)
 
 
-@query("mom_03_pool_filter", """SELECT market, symbol, stock_name, rps_20, rps_50, rps_120, rps_250, return_20_pct, return_50_pct,
+POOL_LEVELS = ["ASIA", "EUROPE", "AMERICA"]
+POOL_CONCEPTS = [f"{brand} {size}" for brand in ("Brand#1 ECONOMY", "Brand#2 STANDARD") for size in range(1, 51)]
+
+
+@query("mom_03_pool_filter", f"""SELECT *, count(*) OVER () AS pool_size FROM (SELECT market, symbol, stock_name, rps_20, rps_50, rps_120, rps_250, return_20_pct, return_50_pct,
 return_120_pct, return_250_pct, coalesce(rps_20, rps_50, -1.0::DOUBLE) AS sort_key
 FROM securities LEFT JOIN rps USING (market, symbol)
-WHERE (market, symbol) IN (SELECT (market, symbol) FROM industry WHERE industry_level_1_name IN ('ASIA', 'EUROPE', 'AMERICA'))
-AND (market, symbol) IN (SELECT (market, symbol) FROM concepts WHERE concept_name LIKE 'Brand#1 ECONOMY%' OR concept_name LIKE 'Brand#2 STANDARD%')
+WHERE (market, symbol) IN (SELECT (market, symbol) FROM industry WHERE industry_level_1_name IN ({', '.join(f"'{x}'" for x in POOL_LEVELS)}))
+AND (market, symbol) IN (SELECT (market, symbol) FROM concepts WHERE concept_name IN ({', '.join(f"'{x}'" for x in POOL_CONCEPTS)})))
 ORDER BY sort_key DESC, market, symbol LIMIT 100""")
 def mom_03(spark, d):
-    names = F.col("concept_name").startswith("Brand#1 ECONOMY") | F.col("concept_name").startswith("Brand#2 STANDARD")
-    picked = S.concepts(spark, d).where(names)
-    pool = S.securities(spark, d).join(picked, ["market", "symbol"], "left_semi")
-    return M.pool_filter(pool, S.industry(spark, d), picked, rps(spark, d), level1=["ASIA", "EUROPE", "AMERICA"])
+    return M.pool_filter(S.securities(spark, d), S.industry(spark, d), S.concepts(spark, d), rps(spark, d), level1=POOL_LEVELS, concept_names=POOL_CONCEPTS)
 
 
 @query("mom_04_industry_rps", """SELECT industry_level_1_name, industry_level_2_name, count(*) AS member_count,
@@ -104,7 +105,28 @@ def mom_05(spark, d):
     return day_text(M.self_rps_history(S.bars(spark, d)))
 
 
-@query("mom_06_industry_self_rps")
+def _index_rps(n):
+    pct = sql_round(f"len(list_filter(list(raw_{n}) OVER f, lambda x: x < raw_{n})) / len(list_filter(list(raw_{n}) OVER f, lambda x: x IS NOT NULL))::DOUBLE * 100.0", 2)
+    return f"CASE WHEN raw_{n} IS NOT NULL THEN {pct} END AS rps_{n}"
+
+
+# The rounded index: each day's close feeds the next, day by day.
+INDEX_KEY = "industry_level_2_code, industry_level_2_name"
+INDEX_FOLD = f"""WITH RECURSIVE numbered AS (SELECT *, row_number() OVER (PARTITION BY {INDEX_KEY} ORDER BY trading_day) AS i FROM heat_cells),
+fold AS (SELECT {INDEX_KEY}, 1::BIGINT AS i, 100.0::DOUBLE AS before FROM numbered WHERE i = 1
+  UNION ALL SELECT f.industry_level_2_code, f.industry_level_2_name, f.i + 1, {sql_round_wide('f.before * (1.0 + coalesce(n.pct_change, 0) / 100.0::DOUBLE)', 4)}
+  FROM fold f JOIN numbered n ON n.industry_level_2_code = f.industry_level_2_code AND n.industry_level_2_name = f.industry_level_2_name AND n.i = f.i),
+steps AS (SELECT {INDEX_KEY}, trading_day, i, f.before AS open, f.before * (1.0 + coalesce(n.pct_change, 0) / 100.0::DOUBLE) AS close, coalesce(pct_change, 0) AS pct, stock_count AS n, daily_volume AS volume
+  FROM numbered n JOIN fold f USING ({INDEX_KEY}, i)),
+padded AS (SELECT *, greatest(greatest(open, close) * 0.002::DOUBLE, abs(close - open) * 0.25::DOUBLE) AS pad FROM steps),
+index_bars AS (SELECT {INDEX_KEY}, trading_day, i, {sql_round_wide('open', 4)} AS open, {sql_round_wide('greatest(open, close) + pad', 4)} AS high, {sql_round_wide('greatest(0.0001::DOUBLE, least(open, close) - pad)', 4)} AS low,
+  {sql_round_wide('close', 4)} AS close, coalesce(nullif(volume, 0), round(abs(pct) * greatest(n, 1) * 1000)) AS volume FROM padded)"""
+
+
+@query("mom_06_industry_self_rps", f"""{INDEX_FOLD}, raw AS (SELECT *, {', '.join(
+    f"CASE WHEN i > 1 THEN (close - first_value(close) OVER w{n}) / nullif(first_value(close) OVER w{n}, 0) * 100.0 END AS raw_{n}" for n in WINDOWS)} FROM index_bars
+WINDOW {', '.join(f'w{n} AS (PARTITION BY {INDEX_KEY} ORDER BY trading_day ROWS BETWEEN {n} PRECEDING AND CURRENT ROW)' for n in WINDOWS)})
+SELECT {INDEX_KEY}, {DAY}, {', '.join(_index_rps(n) for n in WINDOWS)} FROM raw WINDOW f AS (PARTITION BY {INDEX_KEY} ORDER BY trading_day ROWS BETWEEN 119 PRECEDING AND CURRENT ROW)""")
 def mom_06(spark, d):
     cells = I.heat_cells(S.industry(spark, d), S.bars(spark, d))
     return day_text(I.industry_index_rps(I.synthetic_index(cells)))
@@ -201,9 +223,14 @@ def sig_04(spark, d):
     return M.merge_strategy(stored, spec.ATTACK.strategy, attack)
 
 
-@query("sig_05_staleness", """SELECT event_type AS strategy, max(ts) < (SELECT max(ts) FROM events) AS is_stale FROM events GROUP BY 1""")
+SIG_05_WANTED = ["click", "view", "purchase", "refund", "never_built"]
+
+
+@query("sig_05_staleness", f"""SELECT w.strategy, b.built_at, (SELECT max(ts) FROM events) AS source_at, b.built_at IS NULL OR b.built_at < (SELECT max(ts) FROM events) AS is_stale
+FROM (SELECT unnest([{', '.join(f"'{x}'" for x in SIG_05_WANTED)}]) AS strategy UNION SELECT event_type FROM events) w LEFT JOIN (SELECT event_type AS strategy, max(ts) AS built_at FROM events GROUP BY 1) b USING (strategy)""")
 def sig_05(spark, d):
-    """Every event type stands for a strategy table, the whole stream for its source table."""
-    ev = S.table(spark, d, "events")
-    newest = ev.agg(F.max("ts")).scalar()
-    return ev.groupBy(F.col("event_type").alias("strategy")).agg((F.max("ts") < newest).alias("is_stale"))
+    """Every event type stands for a strategy table, the whole stream for its source table; some of the wanted tables are absent."""
+    ev = S.table(spark, d, "events").select(F.col("event_type").alias("strategy"), F.col("ts").alias("generated_at"))
+    built = M.strategy_is_stale(ev, ev)
+    wanted = M.strategy_is_stale(ev, ev, SIG_05_WANTED)
+    return built.unionByName(wanted).distinct().select("strategy", "built_at", "source_at", "is_stale")

@@ -39,7 +39,7 @@ def pro_02(spark, d):
 
 EPS = "(SELECT market, symbol, eps, ttm_eps, total_shares, free_float_shares FROM trailing_rows QUALIFY row_number() OVER (PARTITION BY market, symbol ORDER BY period_ord DESC) = 1)"
 add_view("live_quotes", f"""SELECT CASE user_id % 3 WHEN 0 THEN 'sz' WHEN 1 THEN 'sh' ELSE 'bj' END AS market, {sql_symbol('user_id')} AS symbol, arg_max(price, (ts, event_id)) AS q_price, arg_max(volume, (ts, event_id)) AS q_volume
-  FROM ticks WHERE user_id % 2 = 0 GROUP BY 1, 2""")
+  FROM ticks GROUP BY 1, 2""")
 add_view("basic_info", f"""SELECT market, symbol, coalesce(q_price, close) AS current_price, (coalesce(q_price, close) - previous_close) / nullif(previous_close, 0) * 100.0 AS change_pct,
   CASE WHEN coalesce(q_volume, volume) <> 0 THEN coalesce(q_volume, volume) / nullif(avg_volume_5, 0) END AS volume_ratio,
   total_shares / 1e8 AS total_shares, free_float_shares / 1e8 AS float_shares, close * total_shares / 1e8 AS a_share_market_cap, eps, CASE WHEN ttm_eps > 0 THEN close / ttm_eps END AS dynamic_pe
@@ -48,9 +48,9 @@ add_view("basic_info", f"""SELECT market, symbol, coalesce(q_price, close) AS cu
 
 @query("pro_03_basic_info", "SELECT * FROM basic_info")
 def pro_03(spark, d):
-    """Every second user's newest tick is the quote of the security it stands for; the others have none."""
+    """A user's newest tick is the quote of the security it stands for; a security without ticks has none."""
     order = F.struct("ts", "event_id")
-    ticks = S.ticks(spark, d).where(col("user_id") % 2 == 0).withColumn("market", S.market_of(col("user_id"))).withColumn("symbol", S.symbol_of(col("user_id")))
+    ticks = S.ticks(spark, d).withColumn("market", S.market_of(col("user_id"))).withColumn("symbol", S.symbol_of(col("user_id")))
     quotes = ticks.groupBy("market", "symbol").agg(F.max_by("price", order).alias("price"), F.max_by("volume", order).alias("volume"))
     return R.basic_info(S.bars(spark, d), S.statements(spark, d), quotes.withColumn("last_close", F.lit(None).cast("double")))
 

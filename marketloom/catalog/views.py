@@ -12,6 +12,12 @@ def sql_round(expr: str, digits: int) -> str:
     return f"(CAST(({expr}) * {10**digits}.0::DOUBLE AS BIGINT) / {10**digits}.0::DOUBLE)"
 
 
+def sql_round_wide(expr: str, digits: int) -> str:
+    """The same for values that may not fit a BIGINT once scaled: doubles of that size are whole numbers already."""
+    scaled = f"(({expr}) * {10**digits}.0::DOUBLE)"
+    return f"((CASE WHEN abs({scaled}) < 9007199254740992.0 THEN CAST(CAST({scaled} AS BIGINT) AS DOUBLE) ELSE {scaled} END) / {10**digits}.0::DOUBLE)"
+
+
 def sql_scaled(expr: str, digits: int) -> str:
     return f"CAST(({expr}) * {10**digits}.0::DOUBLE AS BIGINT)"
 
@@ -122,6 +128,8 @@ def with_views(body: str) -> str:
         return body
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in ordered)
     inner = body.strip()
+    if inner.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{inner[15:]}"
     if inner.upper().startswith("WITH "):
         return f"WITH {ctes},\n{inner[5:]}"
     return f"WITH {ctes}\n{inner}"

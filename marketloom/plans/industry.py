@@ -91,18 +91,26 @@ def index_levels(cells: DataFrame, start: float = 100.0) -> DataFrame:
 def synthetic_index(cells: DataFrame, start: float = 100.0) -> DataFrame:
     """Index bars with the close rounded to four decimals at every step, each step feeding the next.
 
-    The fold needs an industry's days in order; that array holds one small struct per calendar day, a bound that
-    does not depend on how many trades an industry has.
+    The fold runs year by year: a year's closes (at most 366) continue from the last close of the year before, so its cost is linear in
+    days. Arrays hold one small struct per calendar day, a bound that does not depend on how many trades an industry has.
     """
     day = F.struct(
         "trading_day", F.coalesce("pct_change", F.lit(0.0)).alias("pct"),
         F.coalesce("stock_count", F.lit(0)).alias("n"), F.col("daily_volume").alias("volume"))
-    series = cells.groupBy(*INDUSTRY).agg(F.array_sort(F.collect_list(day)).alias("days"))
-    # closes[i] is the rounded close before day i.
-    closes = F.aggregate(
-        "days", F.array(F.lit(start)),
-        lambda acc, x: F.concat(acc, F.array(N.rounded(F.element_at(acc, -1) * (1.0 + x["pct"] / 100.0), 4))))
-    rows = series.select(*INDUSTRY, F.inline(F.arrays_zip("days", closes.alias("before")))).where(F.col("days").isNotNull())
+    years = cells.groupBy(*INDUSTRY, F.year("trading_day").alias("y")).agg(F.array_sort(F.collect_list(day)).alias("days"))
+    series = years.groupBy(*INDUSTRY).agg(F.array_sort(F.collect_list(F.struct("y", "days"))).alias("years"))
+
+    def step(closes: Column, x: Column) -> Column:
+        return F.concat(closes, F.array(N.rounded(F.element_at(closes, -1) * (1.0 + x["pct"] / 100.0), 4)))
+
+    def year(done: Column, y: Column) -> Column:
+        before = F.element_at(F.element_at(done, -1), -1)
+        return F.concat(done, F.array(F.aggregate(y["days"], F.array(before), step)))
+
+    # one array per year: the close before its first day, then the close of each day
+    closes = F.slice(F.aggregate("years", F.array(F.array(F.lit(start))), year), 2, F.size("years"))
+    each = series.select(*INDUSTRY, F.inline(F.arrays_zip(F.col("years.days").alias("days"), closes.alias("closes"))))
+    rows = each.select(*INDUSTRY, F.inline(F.arrays_zip("days", F.slice("closes", 1, F.size("days")).alias("before"))))
     rows = rows.select(*INDUSTRY, "days.*", F.col("before").alias("open"))
     rows = rows.withColumn("close", F.col("open") * (1.0 + F.col("pct") / 100.0))
     high, low = F.greatest("open", "close"), F.least("open", "close")

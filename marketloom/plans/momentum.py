@@ -191,7 +191,7 @@ def pool_filter(
     securities: DataFrame, industry: DataFrame, concepts: DataFrame, rps: DataFrame, *,
     level1: list[str] = (), level2: list[str] = (), concept_names: list[str] = (), limit: int = 100,
 ) -> DataFrame:
-    """Securities in any of the chosen industries and concepts, ordered by their RPS."""
+    """Securities in any of the chosen industries and concepts, ordered by their RPS, with the size of the pool before ``limit``."""
     keys = ["market", "symbol"]
     pool = securities.select(*keys, "stock_name")
     if level1:
@@ -202,9 +202,10 @@ def pool_filter(
         pool = pool.join(concepts.where(F.col("concept_name").isin(*concept_names)), keys, "left_semi")
     sort_key = F.coalesce(F.col("rps_20"), F.col("rps_50"), F.lit(-1.0))
     cols = [f"rps_{n}" for n in spec.RPS_WINDOWS] + [f"return_{n}_pct" for n in spec.RPS_WINDOWS]
+    size = pool.agg(F.count(F.lit(1))).scalar()
     return (
         pool.join(rps.select(*keys, *cols), keys, "left")
-        .select("market", "symbol", "stock_name", *cols, sort_key.alias("sort_key"))
+        .select("market", "symbol", "stock_name", *cols, sort_key.alias("sort_key"), size.alias("pool_size"))
         .orderBy(F.col("sort_key").desc(), "market", "symbol")
         .limit(limit)
     )
@@ -215,9 +216,14 @@ def merge_strategy(existing: DataFrame, strategy: str, rows: DataFrame) -> DataF
     return existing.where(F.trim("strategy") != strategy).unionByName(rows)
 
 
-def strategy_is_stale(strategy_rows: DataFrame, rps: DataFrame, strategy: str) -> DataFrame:
-    """One row: must the strategy table be rebuilt?"""
-    built = strategy_rows.where(F.col("strategy") == strategy).agg(F.max("generated_at").alias("built_at")).scalar()
-    return rps.agg(F.max("generated_at").alias("source_at")).select(
-        F.lit(strategy).alias("strategy"), "source_at", built.alias("built_at"),
-        (built.isNull() | (built < F.col("source_at"))).alias("is_stale"))
+def strategy_is_stale(strategies: DataFrame, source: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """Per strategy: must its table be rebuilt? It must if it was built before the newest source row, or if it is not there at all.
+
+    ``strategies`` has ``strategy, generated_at``, ``source`` has ``generated_at``; ``wanted`` names strategies that must exist.
+    """
+    built = strategies.groupBy("strategy").agg(F.max("generated_at").alias("built_at"))
+    if wanted is not None:
+        names = strategies.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in wanted])).alias("strategy"))
+        built = names.join(built, "strategy", "left")
+    newest = source.agg(F.max("generated_at")).scalar()
+    return built.withColumn("source_at", newest).withColumn("is_stale", F.col("built_at").isNull() | F.coalesce(F.col("built_at") < F.col("source_at"), F.lit(False)))

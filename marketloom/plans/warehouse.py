@@ -23,7 +23,13 @@ def clean_package(rows: DataFrame) -> DataFrame:
         base.setdefault(name.rsplit(".", 1)[0], name)
     out = rows.select(*[F.col(f"`{name}`").alias(short) for short, name in base.items()])
     out = out.withColumn("code", T.canonical_code(F.col("code")))
-    return keep_first(out, ["code"], [F.col("report_date").desc_nulls_last()])
+    return keep_first(out, ["code"], newest_first(out))
+
+
+def newest_first(rows: DataFrame) -> list[Column]:
+    """Newest report first, then newest announcement, then a hash of the whole row, so that the pick is the same on every run."""
+    announced = [F.col("announce_date").desc_nulls_last()] if "announce_date" in rows.columns else []
+    return [F.col("report_date").desc_nulls_last(), *announced, F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])]
 
 
 def with_period(rows: DataFrame) -> DataFrame:
@@ -34,7 +40,7 @@ def with_period(rows: DataFrame) -> DataFrame:
 
 def newest_of_package(packages: DataFrame) -> DataFrame:
     """Each package holds one report per code, its newest; a full order makes the pick the same on every run."""
-    return keep_first(packages, ["package", "code"], [F.col("report_date").desc_nulls_last(), F.col("announce_date").desc_nulls_last(), F.xxhash64(*packages.columns)])
+    return keep_first(packages, ["package", "code"], newest_first(packages))
 
 
 def build(packages: DataFrame) -> DataFrame:

@@ -37,26 +37,30 @@ def newest_value(df: DataFrame, column: str) -> DataFrame:
 
 
 @F.pandas_udf(T.StringType())
-def decode_text(content: pd.Series) -> pd.Series:
-    """Bytes to text: UTF-8, then GBK, then UTF-8 with replacement. Python because the JVM decoder never fails over."""
+def _decode_other(content: pd.Series) -> pd.Series:
+    """Bytes that are not UTF-8: GBK, else UTF-8 with replacement. Python because the JVM decoder never fails over."""
 
     def one(raw: bytes | None) -> str | None:
         if raw is None:
             return None
-        raw = bytes(raw)
-        for encoding in ("utf-8", "gbk", "utf-8-sig"):
-            try:
-                return raw.decode(encoding)
-            except UnicodeDecodeError:
-                continue
-        return raw.decode("utf-8", errors="replace")
+        try:
+            return bytes(raw).decode("gbk")
+        except UnicodeDecodeError:
+            return bytes(raw).decode("utf-8", errors="replace")
 
     return content.map(one)
 
 
+def decode_text(content: str | Column) -> Column:
+    """Bytes to text: UTF-8, then GBK, then UTF-8 with replacement. Only bytes that are not UTF-8 leave the JVM."""
+    raw = F.col(content) if isinstance(content, str) else content
+    plain = F.is_valid_utf8(raw.cast("string"))
+    return F.when(plain, raw.cast("string")).otherwise(_decode_other(F.when(~plain, raw)))
+
+
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of small configuration files in unknown encoding, with their position."""
-    raw = spark.read.format("binaryFile").load(path).select("path", decode_text(F.col("content")).alias("text"))
+    raw = spark.read.format("binaryFile").load(path).select("path", decode_text("content").alias("text"))
     return raw.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line")).where(F.trim("line") != "")
 
 

@@ -70,7 +70,7 @@ def region_industry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars: one row per symbol and day with trades."""
-    unit = F.col("l_extendedprice") / F.col("l_quantity")
+    unit = F.try_divide("l_extendedprice", "l_quantity")  # a line without quantity has no price
     trades = table(spark, sf_dir, "lineitem").select(
         "l_suppkey", F.to_date("l_shipdate").alias("trading_day"), "l_orderkey", "l_linenumber", "l_partkey",
         unit.alias("unit"),
@@ -88,7 +88,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         market_of(F.col("l_suppkey")).alias("market"),
         symbol_of(F.col("l_suppkey")).alias("symbol"),
         "trading_day", "open", "high", "low",
-        (amount / F.col("qty").cast("double")).alias("close"),
+        F.try_divide(amount, F.col("qty").cast("double")).alias("close"),
         F.col("qty").alias("volume"),
         amount.alias("amount"),
     )
