@@ -71,13 +71,12 @@ def whs_02(spark, d):
 
 @query("whs_03_upsert_periods", f"SELECT {COLS} FROM old_warehouse WHERE (code, period) NOT IN (SELECT (code, period) FROM updates) UNION ALL SELECT {COLS} FROM updates")
 def whs_03(spark, d):
-    path = fresh_path(spark, "statements")
+    store = H.VersionedPeriods(spark, fresh_path(spark, "statements"))
     delivered = packages(spark, d)
-    old = old_warehouse(delivered)
-    H.write_periods(old, path)
-    new = H.detect_updates(delivered, H.meta(spark.read.parquet(path)))
-    H.upsert_table(spark, path, settle(new), ["code", "period"], fresh_path(spark, "staging"))
-    return spark.read.parquet(path).select(*PACKAGE)
+    store.replace(old_warehouse(delivered))
+    new = H.detect_updates(delivered, H.meta(store.read()))
+    store.upsert(settle(new), ["code", "period"])
+    return store.read().select(*PACKAGE)
 
 
 @query("whs_04_stale_codes", "SELECT code, '2000Q2' AS latest_period FROM old_meta WHERE latest_ord = 20002")
@@ -125,23 +124,44 @@ def archived(spark, d):
     return spark.read.parquet(f"{day}/catalog"), A.artifact_exists(spark, f"{day}/audit")
 
 
-@query("arc_01_daily_archive")
+# What a day's archive holds, counted from the tables: a dataset is there if its source has rows or not, a check looks at all of them.
+DATASET_SQL = {
+    "bars_15m": ("bars", "stock", "SELECT count(*) FROM events"), "features_intraday_volume_windows": ("features", "stock", "SELECT count(*) FROM events"),
+    "dataset_stock_industry_current": ("dataset", "stock", "SELECT count(*) FROM industry"), "dataset_stock_rps_current": ("dataset", "stock", "SELECT count(*) FROM rps"),
+    "dataset_concept_dictionary": ("dataset", "market", "SELECT count(DISTINCT concept_name) FROM concepts"), "dataset_stock_concept_current": ("dataset", "stock", "SELECT count(*) FROM concepts"),
+    "snapshot_stock_industry_membership": ("snapshot", "stock", "SELECT count(*) FROM industry"), "snapshot_stock_rps_current": ("snapshot", "stock", "SELECT count(*) FROM rps"),
+    "snapshot_stock_concept_membership": ("snapshot", "stock", "SELECT count(*) FROM concepts")}
+add_view("day_datasets", " UNION ALL ".join(
+    f"SELECT '{n}' AS dataset_name, '{c}' AS dataset_category, '{s}' AS dataset_scope, ({q}) AS row_count" for n, (c, s, q) in DATASET_SQL.items()))
+add_view("wanted_datasets", "SELECT unnest([" + ", ".join(f"'{n}'" for n in sorted(spec.REQUIRED_DATASETS)) + "]) AS dataset_name")
+add_view("missing_datasets", "SELECT string_agg(dataset_name, ', ' ORDER BY dataset_name) AS missing, count(*) AS n FROM (SELECT dataset_name FROM wanted_datasets EXCEPT SELECT dataset_name FROM day_datasets)")
+add_view("day_checks", """SELECT name AS check_name, CASE WHEN ok THEN 'passed' ELSE 'failed' END AS status, CASE WHEN NOT ok AND name = 'dataset_presence_check' THEN 'missing datasets: ' || missing END AS details FROM (
+  SELECT unnest([{'name': 'final_data_status_check', 'ok': true}, {'name': 'dataset_presence_check', 'ok': m.n = 0}, {'name': 'version_presence_check', 'ok': true},
+    {'name': 'archive_partition_check', 'ok': d.datasets > 0}, {'name': 'row_count_sanity_check', 'ok': d.least >= 0}, {'name': 'timestamp_consistency_check', 'ok': d.datasets > 0},
+    {'name': 'artifact_existence_check', 'ok': d.datasets > 0}, {'name': 'snapshot_presence_check', 'ok': d.snapshots > 0}, {'name': 'audit_log_presence_check', 'ok': d.datasets > 0}], recursive := true), missing
+  FROM missing_datasets m, (SELECT count(*) AS datasets, min(row_count) AS least, count(*) FILTER (dataset_category = 'snapshot') AS snapshots FROM day_datasets) d)""")
+add_view("day_facts", """SELECT (SELECT count(*) FROM day_datasets) AS dataset_count, (SELECT bool_and(status = 'passed') FROM day_checks) AS ok,
+  (SELECT bool_or(dataset_category = 'snapshot' AND dataset_scope = 'market') FROM day_datasets) AS market, (SELECT bool_or(dataset_category = 'snapshot' AND dataset_scope = 'stock') FROM day_datasets) AS stock""")
+RUN_ID = f"'archive_{TRADING_DAY.replace('-', '')}_' || lpad(CAST(r AS VARCHAR), 2, '0')"
+RUN_SQL = f"""SELECT '{TRADING_DAY}' AS trading_day, r AS archive_revision, {RUN_ID} AS run_id, 'success' AS archive_status, dataset_count, ok AS validation_passed,
+NULL::VARCHAR AS failed_stage, NULL::VARCHAR AS error FROM day_facts, (SELECT unnest(range(1, {{0}})) AS r)"""
+
+
+@query("arc_01_daily_archive", RUN_SQL.format(2))
 def arc_01(spark, d):
     ctx = A.ArchiveContext(TRADING_DAY, fresh_path(spark, "archive"))
     return A.run(spark, ctx, datasets(spark, d))
 
 
-MISSING = "missing datasets: dataset_stock_candidate_pool, snapshot_market_overview"
-
-
-@query("arc_02_dataset_checks", f"""SELECT check_name, CASE WHEN ok THEN 'passed' ELSE 'failed' END AS status, details FROM (VALUES ('final_data_status_check', true, NULL), ('dataset_presence_check', false, '{MISSING}'), ('version_presence_check', true, NULL),
-('archive_partition_check', true, NULL), ('row_count_sanity_check', true, NULL), ('timestamp_consistency_check', true, NULL), ('artifact_existence_check', true, NULL), ('snapshot_presence_check', true, NULL), ('audit_log_presence_check', true, NULL)) t(check_name, ok, details)""")
+@query("arc_02_dataset_checks", "SELECT * FROM day_checks")
 def arc_02(spark, d):
     catalog, audited = archived(spark, d)
     return A.validations(catalog, trading_day=TRADING_DAY, cutoff=f"{TRADING_DAY} 15:00:00", audit_present=audited)
 
 
-@query("arc_03_manifest")
+@query("arc_03_manifest", f"""SELECT '{TRADING_DAY}' AS trading_day, r AS archive_revision, dataset_count, CASE WHEN market THEN 'available' ELSE 'not_enabled' END AS market_snapshot,
+CASE WHEN stock THEN 'available' ELSE 'not_enabled' END AS stock_snapshot, CASE WHEN ok THEN 'passed' ELSE 'failed' END AS validation_status, {RUN_ID} AS run_id, r > 1 AS is_rerun,
+CASE WHEN r > 1 THEN r - 1 END AS rerun_of, CASE WHEN r > 1 THEN 'late statements' END AS rerun_reason FROM day_facts, (SELECT unnest(range(1, 3)) AS r)""")
 def arc_03(spark, d):
     """Second revision of a day that has one."""
     catalog, audited = archived(spark, d)
@@ -151,7 +171,7 @@ def arc_03(spark, d):
     return first.unionByName(A.next_manifest(first, catalog, checks, TRADING_DAY, "late statements"))
 
 
-@query("arc_04_run_record")
+@query("arc_04_run_record", RUN_SQL.format(3))
 def arc_04(spark, d):
     """A first run and a forced rerun of the same day."""
     root = fresh_path(spark, "archive")
@@ -160,10 +180,13 @@ def arc_04(spark, d):
     return A.run(spark, A.ArchiveContext(TRADING_DAY, root, force_rerun=True, rerun_reason="check"), some)
 
 
-@query("arc_05_update_status", "SELECT count(*) AS industry_count, sum(member_valuation_row_count)::BIGINT AS member_valuation_row_count, count(*) FILTER (is_complete) AS complete_industry_count, (SELECT arg_max(period, period_ord) FROM statements) AS latest_period FROM val_complete")
+@query("arc_05_update_status", """SELECT count(*) AS industry_count, sum(member_valuation_row_count)::BIGINT AS member_valuation_row_count, count(*) FILTER (is_complete) AS complete_industry_count, (SELECT arg_max(period, period_ord) FROM statements) AS latest_period,
+(SELECT CAST(max(announce_date) AS BIGINT) FROM statements) AS financial_updated, (SELECT strftime(max(trading_day), '%Y-%m-%d') FROM bars) AS valuation_updated, (SELECT strftime(max(trading_day), '%Y-%m-%d') FROM rps) AS rps_updated, (SELECT max(ts) FROM events) AS quotes_updated FROM val_complete""")
 def arc_05(spark, d):
     rows = cv.classified(spark, d)
-    return A.update_status(S.statements(spark, d), V.completeness(rows, V.percentile_samples(rows)))
+    newest = {"valuation_updated": S.table(spark, d, "lineitem").agg(F.date_format(F.max("l_shipdate"), "yyyy-MM-dd")).scalar(),
+              "rps_updated": rps(spark, d).agg(F.date_format(F.max("trading_day"), "yyyy-MM-dd")).scalar(), "quotes_updated": S.table(spark, d, "events").agg(F.max("ts")).scalar()}
+    return A.update_status(S.statements(spark, d), V.completeness(rows, V.percentile_samples(rows)), newest)
 
 
 # ---- data quality -------------------------------------------------------------------------------------------

@@ -119,7 +119,7 @@ def set_05(spark, d):
     from marketloom.session import fresh_path
 
     existing, incoming = (x.withColumn("code", col("symbol")) for x in upsert_sides(spark, d))
-    path = fresh_path(spark, "upsert")
-    H.write_periods(existing, path)
-    H.upsert_table(spark, path, incoming, ["market", "symbol", "period"], fresh_path(spark, "staging"))
-    return spark.read.parquet(path).select("market", "symbol", "period", "revenue")
+    store = H.VersionedPeriods(spark, fresh_path(spark, "upsert"))
+    store.replace(existing)
+    store.upsert(incoming, ["market", "symbol", "period"])
+    return store.read().select("market", "symbol", "period", "revenue")

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marketloom import spec
 from marketloom.catalog import query
+from marketloom.catalog.functions import sql_concept_rule
 from marketloom.catalog.momentum import DAY, RPS_COLUMNS, day_text, rps
 from marketloom.catalog.views import add_view
 from marketloom.functions import periods as P
@@ -184,11 +186,14 @@ def src_18(spark, d):
     root = fresh_path(spark, "cache")
     key = {"day": "2001-11-02", "limit": "all", "lookback": 40}
     build = lambda: rps(spark, d).select("market", "symbol", "rps_20")
-    R.cached_result(spark, root, key, build)
-    return R.cached_result(spark, root, key, build)
+    tables = [f"{d}/lineitem.parquet", f"{d}/supplier.parquet"]
+    R.cached_result(spark, root, key, build, tables)
+    return R.cached_result(spark, root, key, build, tables)
 
 
-@query("src_19_rule_config")
+@query("src_19_rule_config", f"""SELECT r.id, r.priority::INTEGER AS priority, r.bucket, coalesce(h.concepts, 0) AS concepts
+FROM (VALUES {', '.join(f"('{i}', {p}, '{b}')" for i, p, b, _, _ in spec.CONCEPT_RULES)}) r(id, priority, bucket)
+LEFT JOIN (SELECT {sql_concept_rule('concept_name', 'rule_id')} AS id, count(*) AS concepts FROM (SELECT DISTINCT concept_name FROM labelled_concepts) GROUP BY 1) h USING (id)""")
 def src_19(spark, d):
     """Rules read back from a configuration file, with the number of concepts each rule covers."""
     from marketloom.catalog.screeners import labelled

@@ -151,9 +151,11 @@ def run(spark: SparkSession, ctx: ArchiveContext, datasets: list[tuple[str, str,
     return runs_table(spark, ctx.root)
 
 
-def update_status(snapshots: DataFrame, valuation: DataFrame) -> DataFrame:
-    """One row: newest statement period and valuation completeness counts."""
-    newest = snapshots.agg(F.max_by("period", "period_ord")).scalar()
-    return valuation.agg(
+def update_status(snapshots: DataFrame, valuation: DataFrame, newest: dict[str, Column] | None = None) -> DataFrame:
+    """One row: newest statement period and announcement, valuation completeness counts, and the newest time of each source in ``newest``."""
+    report = snapshots.agg(F.max_by("period", "period_ord").alias("period"), F.max("announce_date").cast("bigint").alias("announced"))
+    counts = valuation.agg(
         F.count(F.lit(1)).alias("industry_count"), F.sum("member_valuation_row_count").alias("member_valuation_row_count"),
-        F.count_if("is_complete").alias("complete_industry_count")).withColumn("latest_period", newest)
+        F.count_if("is_complete").alias("complete_industry_count"))
+    return counts.withColumns({
+        "latest_period": report.select("period").scalar(), "financial_updated": report.select("announced").scalar(), **(newest or {})})

@@ -94,20 +94,94 @@ def available_periods(warehouse: DataFrame) -> DataFrame:
 
 
 def write_periods(rows: DataFrame, path: str) -> None:
-    """Write by period; only the periods present in ``rows`` are replaced, so unrelated periods are never rewritten."""
-    (
-        rows.hint("rebalance", "period")  # files of the advised size: small periods one file, large ones several
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(path)
-    )
+    """Write by period below ``path``: small periods one file, large ones several, of the advised size."""
+    rows.hint("rebalance", "period").write.mode("errorifexists").partitionBy("period").parquet(path)
 
 
-def upsert_table(spark, path: str, incoming: DataFrame, key: list[str], staging: str) -> None:
-    """Upsert into the stored table: touched periods are merged into a staging table, then replaced.
+class VersionedPeriods:
+    """A table of periods that changes from one whole version to the next.
 
-    The merge is materialised first because a job must not overwrite the files it reads.
+    ``data/<version>/period=...`` holds what a change wrote; ``versions/<number>`` says in which folder each period is. A change writes new
+    folders first and its version file last, under a name that can only be made once: a reader sees the old version or the new one
+    whole, wherever a writer fails, and of two writers at once one gets an error. Periods that a change does not touch are neither
+    read nor written.
     """
-    stored = spark.read.parquet(path)
-    touched = incoming.select("period").distinct()
-    merged = upsert(stored.join(touched, "period", "left_semi"), incoming, key)
-    merged.write.mode("overwrite").partitionBy("period").parquet(staging)
-    write_periods(spark.read.parquet(staging), path)
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _hadoop(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
+
+    def version(self) -> int:
+        """Number of the newest version, 0 if there is none."""
+        folder = self._hadoop("versions")
+        if not self._fs.exists(folder):
+            return 0
+        names = [status.getPath().getName() for status in self._fs.listStatus(folder)]
+        return max((int(name) for name in names if name.isdigit()), default=0)
+
+    def folders(self, version: int | None = None) -> dict[str, str]:
+        """Period -> folder below ``data`` that holds it: one entry per reporting period."""
+        import json
+
+        number = self.version() if version is None else version
+        if not number:
+            return {}
+        text = self.spark.read.option("wholetext", True).text(str(self._hadoop("versions", str(number)))).first()
+        return json.loads(text["value"]) if text else {}
+
+    def read(self, periods: list[str] | None = None, version: int | None = None) -> DataFrame:
+        """The table, or some of its periods, as of the newest or a given version."""
+        held = {p: f for p, f in self.folders(version).items() if periods is None or p in periods}
+        if not held:
+            raise LookupError(f"no such period in {self.path}")
+        by_folder: dict[str, list[str]] = {}
+        for p, folder in held.items():
+            by_folder.setdefault(folder, []).append(p)
+        out: DataFrame | None = None
+        for folder, some in sorted(by_folder.items()):
+            rows = self.spark.read.option("basePath", f"{self.path}/data/{folder}").parquet(*[f"{self.path}/data/{folder}/period={p}" for p in some])
+            rows = rows.withColumn("period", F.col("period").cast("string"))
+            out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+        return out
+
+    def _publish(self, rows: DataFrame, keep: dict[str, str], base: int) -> int:
+        import json
+        import uuid
+
+        folder = uuid.uuid4().hex
+        write_periods(rows, f"{self.path}/data/{folder}")
+        written = [s.getPath().getName().removeprefix("period=") for s in self._fs.listStatus(self._hadoop("data", folder)) if s.isDirectory()]
+        text = json.dumps(keep | {p: folder for p in written}, sort_keys=True)
+        file = self._fs.create(self._hadoop("versions", str(base + 1)), False)  # fails if it is there
+        try:
+            file.write(bytearray(text.encode()))
+        finally:
+            file.close()
+        return base + 1
+
+    def replace(self, rows: DataFrame) -> int:
+        """A version that holds ``rows`` and nothing else."""
+        return self._publish(rows, {}, self.version())
+
+    def upsert(self, incoming: DataFrame, key: list[str], **options) -> int:
+        """A version in which incoming rows replace those of the same key; only touched periods are read."""
+        base = self.version()
+        held = self.folders(base)
+        touched = {r["period"] for r in incoming.select("period").distinct().collect()}  # reporting periods: four a year
+        if not touched:
+            return base
+        known = sorted(touched & held.keys())
+        merged = upsert(self.read(known, base), incoming, key, **options) if known else incoming
+        return self._publish(merged, {p: f for p, f in held.items() if p not in touched}, base)
+
+    def drop_old(self, keep: int = 2) -> None:
+        """Remove folders that none of the newest ``keep`` versions names; readers of older versions must be done."""
+        newest = self.version()
+        used = {f for v in range(max(1, newest - keep + 1), newest + 1) for f in self.folders(v).values()}
+        for status in self._fs.listStatus(self._hadoop("data")):
+            if status.getPath().getName() not in used:
+                self._fs.delete(status.getPath(), True)

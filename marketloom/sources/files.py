@@ -157,13 +157,42 @@ def write_current_and_archive(rows: DataFrame, current: str, archive: str, tradi
     copy.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("trading_day").parquet(archive)
 
 
-def cached_result(spark: SparkSession, root: str, key: dict[str, object], build) -> DataFrame:
-    """Result table keyed by its inputs: read it when that key was built before, else build and store it."""
-    name = "/".join(f"{k}={v}" for k, v in sorted(key.items()))
-    path = f"{root}/{name}"
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
-        build().write.mode("overwrite").parquet(path)
+def content_signature(spark: SparkSession, paths: list[str]) -> str:
+    """A digest of what lies below ``paths``: every file's path, size and time of change, from listings alone."""
+    import hashlib
+
+    seen = []
+    for name in paths:
+        for root in spark._jvm.org.apache.hadoop.fs.Path(name).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(name)) or []:
+            files = root.getPath().getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root.getPath(), True)
+            while files.hasNext():
+                file = files.next()
+                seen.append((str(file.getPath()), file.getLen(), file.getModificationTime()))
+    return hashlib.sha256(repr(sorted(seen)).encode()).hexdigest()
+
+
+def cached_result(spark: SparkSession, root: str, key: dict[str, object], build, inputs: list[str] = ()) -> DataFrame:
+    """Result table keyed by its parameters and the content of its ``inputs``: read it when it is there, else build and publish it.
+
+    A result is written aside and renamed, so it is there whole or not at all; if another builder was first, its result stays and
+    this one is dropped.
+    """
+    import uuid
+
+    parts = {**key, "content": content_signature(spark, list(inputs))[:32]} if inputs else key
+    path = root + "/" + "/".join(f"{k}={v}" for k, v in sorted(parts.items()))
+    place = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = place(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place(f"{path}/_SUCCESS")):
+        aside = f"{root}/_building/{uuid.uuid4().hex}"
+        build().write.parquet(aside)
+        fs.mkdirs(place(path).getParent())
+        if fs.exists(place(path)) or not fs.rename(place(aside), place(path)):
+            fs.delete(place(aside), True)
+        else:
+            late = place(f"{path}/{place(aside).getName()}")  # a rename into a folder that has just appeared
+            if fs.exists(late):
+                fs.delete(late, True)
     return spark.read.parquet(path)
 
 
