@@ -149,11 +149,7 @@ def sample_percentiles(
         so_far = W.partitionBy(*group).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
         points = points.withColumn("_cum", F.sum("_w").over(so_far))
     else:
-        spark = probe.sparkSession
-        ensure_checkpoint_dir(spark)
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        ranges = points.repartitionByRange(parts, *group, "_v").withColumn("_range", F.spark_partition_id()).checkpoint()
-        points = running_totals(ranges, group, F.col("_range"), ["_v"], {"_cum": F.col("_w")})
+        points = running_totals(points, group, ["_v"], {"_cum": F.col("_w")})
     points = with_group_stats(points, group, {"_size": F.sum("_w")}, max_group_rows=max_group_rows)
     percentile = N.empirical_percentile(F.col("_cum") - F.col("_w"), F.col("_w"), F.col("_size"))
     counted = points.select(*group, F.col("_v").alias(value), percentile.alias(out))

@@ -90,23 +90,35 @@ def derive_bars(five: DataFrame, one: DataFrame, minutes: int) -> DataFrame:
         F.when(F.col("main").isNotNull(), "5m").otherwise("1m").alias("base_interval"))
 
 
-def cumulative_vwap(ticks: DataFrame) -> DataFrame:
-    """Each usable point with the VWAP of the day so far. Totals are scaled integers, exact in any order."""
+def cumulative_vwap(ticks: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """Each usable point with the VWAP of the day so far. Totals are scaled integers, exact in any order.
+
+    ``base`` (``CELL``, ``base_cents``, ``base_volume``) holds what a cell had before these points.
+    """
     points = usable_points(ticks)
-    totals = {"cum_cents": F.col("amount_cents"), "cum_volume": F.col("volume")}
-    minute = F.date_format("ts", "HHmm")
-    out = running_totals(points, list(CELL), minute, ["ts", "event_id"], totals)
+    out = running_totals(points, list(CELL), ["ts", "event_id"], {"cum_cents": F.col("amount_cents"), "cum_volume": F.col("volume")})
+    if base is not None:
+        more = lambda total, before: F.col(total) + F.coalesce(F.col(before), F.lit(0))
+        out = out.join(base, list(CELL), "left").withColumns({"cum_cents": more("cum_cents", "base_cents"), "cum_volume": more("cum_volume", "base_volume")}).drop(
+            "base_cents", "base_volume")
     return out.where(F.col("cum_volume") > 0).withColumn("vwap", (F.col("cum_cents") / 100.0) / (F.col("cum_volume") * 100.0))
 
 
 def vwap_strength(points: DataFrame, *, min_ratio_pct: float = 80.0, max_breach_pct: float = 0.3) -> DataFrame:
     """Per symbol and day: how many points hold the VWAP and whether the day passes the strength test."""
+    return with_verdict(point_counts(points, max_breach_pct), min_ratio_pct)
+
+
+def point_counts(points: DataFrame, max_breach_pct: float = 0.3) -> DataFrame:
+    """Per symbol and day: points, points at or above the VWAP, and whether any falls too far below."""
     floor = F.col("vwap") * (1.0 - max_breach_pct / 100.0)
     above = F.col("price") >= F.col("vwap")
     return points.groupBy(*CELL).agg(
-        F.count(F.lit(1)).alias("valid_points"), F.count_if(above).alias("above_count"),
-        F.max(~above & (F.col("price") < floor)).alias("breached"),
-    ).withColumn("passes", ~F.col("breached") & (F.col("above_count") / F.col("valid_points") * 100.0 >= min_ratio_pct))
+        F.count(F.lit(1)).alias("valid_points"), F.count_if(above).alias("above_count"), F.max(~above & (F.col("price") < floor)).alias("breached"))
+
+
+def with_verdict(counts: DataFrame, min_ratio_pct: float = 80.0) -> DataFrame:
+    return counts.withColumn("passes", ~F.col("breached") & (F.col("above_count") / F.col("valid_points") * 100.0 >= min_ratio_pct))
 
 
 def quote_vwap_passes(amount: Column, volume: Column, low: Column, max_breach_pct: float = 0.3) -> Column:

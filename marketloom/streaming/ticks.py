@@ -16,6 +16,7 @@ from marketloom import spec
 from marketloom.functions import numeric as N
 from marketloom.plans import intraday as D
 from marketloom.plans import screener as X
+from marketloom.session import settle
 
 TIERS = {"realtime": "30 seconds", "short": "5 minutes", "daily": "1 day", "weekly": "7 days"}
 
@@ -66,25 +67,77 @@ def screener_result(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("market", "symbol").agg(F.max_by(F.struct(*fields), F.struct("quote_time", "event_id")).alias("q")).select("market", "symbol", "q.*")
 
 
-def vwap_state(ticks: DataFrame, path: str, *, interval: str | None = None, min_ratio_pct: float = 80.0, max_breach_pct: float = 0.3) -> StreamingQuery:
+KEPT_DAYS = 30
+
+
+def vwap_state(
+    ticks: DataFrame, path: str, *, interval: str | None = None, min_ratio_pct: float = 80.0, max_breach_pct: float = 0.3, kept_days: int = KEPT_DAYS,
+) -> StreamingQuery:
     """Cumulative VWAP strength per symbol and day, right for late ticks and ticks out of order.
 
-    Usable points are kept by day and batch. A batch recomputes the (symbol, day) cells that it touches from their kept points, by
-    the same two-level running totals as the batch job; other days are pruned. The newest batch of a cell holds its result.
+    The state of a (symbol, day) cell is one row: totals, counts and its newest tick. A batch whose ticks follow a cell's newest one adds to
+    that row, so it costs what the batch holds; a cell that gets an earlier tick is worked out again from its kept points. State and points of days
+    more than ``kept_days`` before the newest day seen are dropped; their results stay, later ticks for them are not counted.
+    Everything is addressed by batch: a batch that runs again starts from the state before it.
     """
     cell = list(D.CELL)
+    newest = F.max(F.struct("ts", "event_id"))
+
+    def folders(spark: SparkSession, name: str) -> dict[str, object]:
+        root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        return {s.getPath().getName(): s.getPath() for s in fs.listStatus(root)} if fs.exists(root) else {}
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         points = D.usable_points(batch).withColumn("batch", F.lit(batch_id))
+        before = [int(n.split("=")[1]) for n in folders(spark, "state") if n.startswith("batch=") and int(n.split("=")[1]) < batch_id]
+        shape = "market string, symbol string, trading_day date, valid_points bigint, above_count bigint, breached boolean, cents bigint, volume bigint, last struct<ts: timestamp, event_id: bigint>"
+        state = spark.read.schema(shape).parquet(f"{path}/state/batch={max(before)}") if before else spark.createDataFrame([], shape)
         points.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("trading_day", "batch").parquet(f"{path}/points")
-        if spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(f"{path}/points").isEmpty():
+        days = sorted(n.split("=")[1] for n in folders(spark, "points") if n.startswith("trading_day="))
+        if not days:
             return
-        stored = spark.read.schema(points.schema).parquet(f"{path}/points")
-        touched = stored.where(F.col("batch") == batch_id).select(*cell).distinct()
-        again = stored.where(F.col("batch") <= batch_id).join(touched, cell, "left_semi")
-        strength = D.vwap_strength(D.cumulative_vwap(again), min_ratio_pct=min_ratio_pct, max_breach_pct=max_breach_pct)
-        strength.write.mode("overwrite").parquet(f"{path}/cells/batch={batch_id}")
+        stored = spark.read.schema(points.schema).parquet(f"{path}/points").where(F.col("batch") <= batch_id)
+        horizon = F.date_sub(F.lit(days[-1]).cast("date"), kept_days)
+        fresh = stored.where((F.col("batch") == batch_id) & (F.col("trading_day") >= horizon))
+        live = state.where(F.col("trading_day") >= horizon)
+        touched = fresh.groupBy(*cell).agg(F.min(F.struct("ts", "event_id")).alias("first")).join(live, cell, "left")
+        touched = settle(touched.withColumn("late", F.col("last").isNotNull() & (F.col("first") <= F.col("last"))))
+        late = touched.where("late").select(*cell)
+        totals = [F.sum("amount_cents").alias("cents"), F.sum("volume").alias("volume"), newest.alias("last")]
+
+        def counted(some: DataFrame, base: DataFrame | None = None) -> DataFrame:
+            counts = D.point_counts(D.cumulative_vwap(some, base), max_breach_pct)
+            return some.groupBy(*cell).agg(*totals).join(counts, cell, "left")
+
+        ahead = touched.where("NOT late")
+        base = ahead.select(*cell, F.coalesce("cents", F.lit(0)).alias("base_cents"), F.coalesce("volume", F.lit(0)).alias("base_volume"))
+        add = counted(fresh.join(ahead.select(*cell), cell, "left_semi"), base).alias("n").join(ahead.select(*cell, *[
+            F.col(c).alias(f"_{c}") for c in ("valid_points", "above_count", "breached", "cents", "volume")]), cell)
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+        no = lambda c: F.coalesce(F.col(c), F.lit(False))
+        added = add.select(
+            *cell, *[(zero(c) + zero(f"_{c}")).cast("bigint").alias(c) for c in ("valid_points", "above_count")], (no("breached") | no("_breached")).alias("breached"),
+            *[(zero(c) + zero(f"_{c}")).cast("bigint").alias(c) for c in ("cents", "volume")], "last")
+        changed = added
+        if not late.isEmpty():
+            again = counted(stored.where(F.col("trading_day") >= horizon).join(late, cell, "left_semi"))
+            changed = added.unionByName(again.select(*cell, zero("valid_points").alias("valid_points"), zero("above_count").alias("above_count"), no("breached").alias("breached"), "cents", "volume", "last"))
+        changed = settle(changed)
+        D.with_verdict(changed.where("valid_points > 0"), min_ratio_pct).drop("cents", "volume", "last").write.mode("overwrite").parquet(f"{path}/cells/batch={batch_id}")
+        live.join(touched.select(*cell), cell, "left_anti").unionByName(changed).write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
+        drop_before(spark, days[-1], batch_id)
+
+    def drop_before(spark: SparkSession, last_day: str, batch_id: int) -> None:
+        """Points of ended days, and states that no rerun can need."""
+        import datetime
+
+        ended = str(datetime.date.fromisoformat(last_day) - datetime.timedelta(days=kept_days))
+        gone = [p for n, p in folders(spark, "points").items() if n.startswith("trading_day=") and n.split("=")[1] < ended]
+        gone += [p for n, p in folders(spark, "state").items() if n.startswith("batch=") and int(n.split("=")[1]) < batch_id - 1]
+        for place in gone:
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
     return start(ticks, path, fold, interval)
 

@@ -16,13 +16,46 @@ from marketloom.streaming import ticks as T
 
 def test_running_totals_on_a_hot_group(spark):
     df = spark.range(5000).select(F.when(F.col("id") < 4800, "hot").otherwise("cold").alias("g"), "id", (F.col("id") % 17).alias("x"))
-    got = running_totals(df, ["g"], F.floor(F.col("id") / 100), ["id"], {"cum": F.col("x")}).orderBy("id").collect()
+    got = running_totals(df, ["g"], ["id"], {"cum": F.col("x")}).orderBy("id").collect()
     total = {"hot": 0, "cold": 0}
     for row in got:
         total[row["g"]] += row["x"]
         assert row["cum"] == total[row["g"]]
 
 
+def test_running_totals_when_all_ticks_are_in_one_minute(spark):
+    """One symbol, one minute, 16 partitions: the largest range holds a small part."""
+    from marketloom.operators.prefix import ranged
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        ticks = spark.range(40_000).select(
+            F.lit("sh").alias("market"), F.lit("A").alias("symbol"), F.lit("2024-01-02").cast("date").alias("trading_day"),
+            F.timestamp_millis(F.lit(1_704_187_860_000) + F.col("id") % 60_000).alias("ts"), F.col("id").alias("event_id"), (F.col("id") % 7 + 10.0).alias("price"),
+            F.lit(1).cast("bigint").alias("volume"), ((F.col("id") % 7 + 10) * 10_000).alias("amount_cents"))
+        sizes = [r["count"] for r in ranged(ticks, ["symbol", "ts", "event_id"]).groupBy("_range").count().collect()]
+        assert len(sizes) == 16 and max(sizes) < 40_000 / 8
+        got = [(r["event_id"], r["cum_volume"]) for r in D.cumulative_vwap(ticks).orderBy("ts", "event_id").collect()]
+        assert [n for _, n in got] == list(range(1, 40_001))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_vwap_state_adds_what_follows_and_drops_ended_days(spark, tmp_path):
+    tick = lambda i, day, minute, price: (i, dt.datetime(2024, 1, day, 9, minute), 1, "A", price, '{"k": 2}')
+    batches = [[tick(1, 1, 31, 10.0)], [tick(2, 1, 32, 9.0), tick(3, 1, 33, 12.0)], [tick(4, 9, 31, 10.0)], [tick(5, 9, 32, 11.0), tick(6, 1, 50, 99.0)], [tick(7, 9, 30, 50.0)]]
+    write_ticks(tmp_path, batches)
+    path = fresh_path(spark, "vwap")
+    T.drain(T.vwap_state(T.tick_stream(spark, str(tmp_path), "events-*.parquet", files_per_batch=1), path, kept_days=2))
+    got = {str(r["trading_day"]): (r["valid_points"], r["above_count"], r["breached"]) for r in T.vwap_result(spark, path).collect()}
+    whole = D.vwap_strength(D.cumulative_vwap(T_batch(spark, tmp_path).where("event_id <> 6")))  # tick 6 comes after its day has ended
+    assert got == {str(r["trading_day"]): (r["valid_points"], r["above_count"], r["breached"]) for r in whole.collect()}
+    days = {r["trading_day"] for r in spark.read.parquet(f"{path}/points").select(F.col("trading_day").cast("string").alias("trading_day")).distinct().collect()}
+    states = spark.read.parquet(f"{path}/state")
+    assert days == {"2024-01-09"} and {str(r["trading_day"]) for r in states.select("trading_day").collect()} == {"2024-01-09"}
+
+
 def test_vwap_strength_rejects_a_deep_breach(spark):
     t0 = dt.datetime(2024, 1, 2, 9, 31)
     rows = [("sh", s, t0.date(), t0 + dt.timedelta(minutes=i), i, p, 10, int(round(p * 10 * 100 * 100))) for s, prices in (("up", (10.0, 10.1, 10.2)), ("dip", (10.0, 9.0, 12.0)), ("empty", (10.0,))) for i, p in enumerate(prices)]
