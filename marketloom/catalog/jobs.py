@@ -190,12 +190,15 @@ def arc_05(spark, d):
 
 
 # ---- data quality -------------------------------------------------------------------------------------------
-add_view("bar_gaps", f"SELECT *, coalesce(session - lag(session) OVER s - 1, 0) AS suspension_days FROM (SELECT *, dense_rank() OVER (ORDER BY trading_day) AS session FROM bars) {SYMBOL_FRAME}")
-QUALITY = "CASE WHEN volume % 13 = 0 THEN 'invalid' WHEN volume % 7 = 0 THEN 'low' WHEN symbol LIKE '%3' THEN 'medium' ELSE 'high' END"
+add_view("bar_sessions", "SELECT *, dense_rank() OVER (ORDER BY trading_day) AS session FROM bars")
+add_view("bar_gaps", f"""SELECT market, symbol, trading_day, volume, coalesce(session - lag(session) OVER s - 1, 0) AS suspension_days, lag(trading_day) OVER s AS last_trading_date, false AS absent FROM bar_sessions {SYMBOL_FRAME}
+  UNION ALL SELECT market, symbol, (SELECT max(trading_day) FROM bars), NULL, (SELECT max(session) FROM bar_sessions) - max(session), max(trading_day), true FROM bar_sessions GROUP BY 1, 2 HAVING max(trading_day) < (SELECT max(trading_day) FROM bars)""")
+QUALITY = "CASE WHEN volume IS NULL OR volume % 13 = 0 THEN 'invalid' WHEN volume % 7 = 0 THEN 'low' WHEN symbol LIKE '%3' THEN 'medium' ELSE 'high' END"
 COMPARE = "CASE WHEN volume % 3 = 0 THEN 'converted' WHEN volume % 3 = 1 THEN 'comparable' ELSE 'not_comparable' END"
 
 
-@query("dq_01_quality_grades", f"""SELECT market, symbol, {DAY}, suspension_days, CASE WHEN suspension_days > 0 THEN 'resumed' ELSE 'trading' END AS trading_status, suspension_days <= 20 AS eligible_for_intraday, quality AS data_quality, compare AS comparability_status,
+@query("dq_01_quality_grades", f"""SELECT market, symbol, {DAY}, strftime(last_trading_date, '%Y-%m-%d') AS last_trading_date, suspension_days, CASE WHEN absent THEN 'suspended' WHEN suspension_days > 0 THEN 'resumed' ELSE 'trading' END AS trading_status,
+NOT absent AND suspension_days <= 20 AS eligible_for_intraday, quality AS data_quality, compare AS comparability_status,
 CASE WHEN quality = 'invalid' OR (quality = 'low' AND compare = 'not_comparable') THEN 'invalid' WHEN compare = 'not_comparable' THEN 'restricted' WHEN quality = 'low' OR suspension_days > 0 THEN 'observable' ELSE 'executable' END AS permission
 FROM (SELECT *, {QUALITY} AS quality, {COMPARE} AS compare FROM bar_gaps)""")
 def dq_01(spark, d):
@@ -206,7 +209,7 @@ def dq_01(spark, d):
     mode = F.when(v % 3 == 0, "raw").when(v % 3 == 1, "qfq").otherwise("mixed_forbidden")
     rows = rows.withColumn("data_quality", Q.data_quality(["p"], ["q"], ["a"])).withColumn("comparability_status", Q.comparability(mode, F.lit("qfq")))
     rows = rows.withColumn("permission", Q.signal_permission(col("data_quality"), col("trading_status"), col("comparability_status")))
-    return day_text(rows).select("market", "symbol", "trading_day", "suspension_days", "trading_status", "eligible_for_intraday", "data_quality", "comparability_status", "permission")
+    return day_text(rows).select("market", "symbol", "trading_day", F.date_format("last_trading_date", "yyyy-MM-dd").alias("last_trading_date"), "suspension_days", "trading_status", "eligible_for_intraday", "data_quality", "comparability_status", "permission")
 
 
 @query("dq_02_backfill", f"""SELECT market, symbol, {DAY}, CASE WHEN volume % 5 = 0 AND volume % 4 = 0 AND volume % 3 = 0 THEN NULL ELSE close END AS close, volume, CASE WHEN volume % 3 <> 0 THEN 'local' WHEN volume % 4 <> 0 THEN 'api' ELSE 'public' END AS fill_source,

@@ -230,9 +230,21 @@ PEER_SQL = """SELECT market, symbol, industry_level_2_name, report_date, report_
 row_number() OVER (PARTITION BY industry_level_2_name ORDER BY raw_inv_days NULLS LAST, market, symbol) AS position FROM newest_pair JOIN industry USING (market, symbol)"""
 
 
-@query("fin_09_peer_benchmark", PEER_SQL)
+def _peer_table(key, higher, components):
+    own, past = components[:C.INPUTS], [f"{c}_year_ago" for c in components[:C.INPUTS]]
+    columns = [f"CAST({x[i] if i < len(x) else 'NULL'} AS DOUBLE) AS input_{i + 1}{end}" for x, end in ((own, ""), (past, "_year_ago")) for i in range(C.INPUTS)]
+    return (f"SELECT market, symbol, industry_level_2_name, report_date, report_date - 10000 AS previous_report_date, '{key}' AS sub_key, raw_{key} AS metric_value, {', '.join(columns)}, "
+            f"row_number() OVER (PARTITION BY industry_level_2_name ORDER BY raw_{key} {'DESC' if higher else 'ASC'} NULLS LAST, market, symbol) AS position FROM newest_pair JOIN industry USING (market, symbol)")
+
+
+PEER_TABLES = " UNION ALL ".join(_peer_table(k, higher, dict((r[0], r[3].split(",")) for r in spec.DIAGNOSTICS)[k]) for k, _, higher, _ in spec.SUB_INDICATORS if k in {r[0] for r in spec.DIAGNOSTICS})
+
+
+@query("fin_09_peer_benchmark", f"""SELECT p.*, coalesce(s.stock_name, symbol) AS stock_name, c.current_price FROM ({PEER_TABLES}) p LEFT JOIN securities s USING (market, symbol)
+LEFT JOIN (SELECT market, symbol, arg_max(close, trading_day) AS current_price FROM bars GROUP BY 1, 2) c USING (market, symbol)""")
 def fin_09(spark, d):
-    return C.peer_benchmark(newest_pair(spark, d), S.industry(spark, d), "inv_days", bound=S.universe_bound(spark, d))
+    closes = S.bars(spark, d).groupBy("market", "symbol").agg(F.max_by("close", "trading_day").alias("current_price"))
+    return C.peer_tables(newest_pair(spark, d), S.industry(spark, d), S.securities(spark, d), closes, bound=S.universe_bound(spark, d))
 
 
 @query("jon_12_peer_set", "SELECT market, symbol, industry_level_2_name, position, metric_value FROM (" + PEER_SQL.replace("raw_inv_days NULLS LAST", "raw_roe_ex DESC NULLS LAST").replace("raw_inv_days AS metric_value", "raw_roe_ex AS metric_value") + ")")

@@ -161,8 +161,9 @@ def recent_stats(recent, sessions=spec.TAIL_SESSION["limit_up_lookback_days"]):
 def today_points(spark, d):
     """Points of the newest day, keyed by the user that stands for a symbol."""
     t = S.ticks(spark, d)
-    newest = S.table(spark, d, "events").agg(F.to_date(F.max("ts"))).scalar()
-    return t.where(col("trading_day") == newest).withColumn("market", S.market_of(col("user_id"))).withColumn("symbol", S.symbol_of(col("user_id")))
+    # compared with the stored column, so that the newest day reaches the scan as a pushed filter
+    newest = S.table(spark, d, "events").agg(F.max("ts").cast("date").cast("timestamp_ntz")).scalar()
+    return t.where(col("ts") >= newest).withColumn("market", S.market_of(col("user_id"))).withColumn("symbol", S.symbol_of(col("user_id")))
 
 
 def tail_inputs(spark, d):
@@ -197,6 +198,24 @@ def scr_02(spark, d):
     return flags.withColumn("matched", reduce(lambda a, b: a & b, [col("ok_" + k) for k in X.SWITCHES]))
 
 
+SHOWN = {"gain_min_pct": -60.0, "gain_max_pct": 400.0, "min_volume_ratio": 0.5, "turnover_min_pct": 0.5, "turnover_max_pct": 1e9, "max_market_cap_yi": 200.0, "current_above_open": False, "intraday_above_vwap": False}
+R2 = lambda c: sql_round(c, 2)
+add_view("tail_measures", "SELECT *, CASE WHEN float_cap > 0 AND price > 0 THEN volume * 100.0::DOUBLE * price / (float_cap * 1e8) * 100.0 END AS turnover FROM tail_rows")
+
+
+@query("scr_02_tail_session_rows", f"""SELECT t.market, t.symbol, coalesce(n.stock_name, t.symbol) AS stock_name, {R2('t.price')} AS current_price, {R2('t.gain_pct')} AS gain_pct, {R2('t.volume_ratio')} AS volume_ratio, {R2('t.total_market_cap')} AS market_cap_yi,
+{R2('t.turnover')} AS turnover_pct, coalesce(s.industry_level_1_name, i.industry_level_1_name) AS industry_level_1, coalesce(s.industry_level_2_name, i.industry_level_2_name) AS industry_level_2, s.ind_total_score AS industry_total_score, s.industry_total_rank,
+s.industry_total_universe_size, '涨幅|涨停基因|量比|市值|换手率' AS matched_conditions FROM tail_measures t LEFT JOIN securities n ON n.market = t.market AND n.symbol = t.symbol LEFT JOIN industry i ON i.market = t.market AND i.symbol = t.symbol
+LEFT JOIN score_ranked s ON s.market = t.market AND s.symbol = t.symbol
+WHERE t.gain_pct BETWEEN -60 AND 400 AND t.recent_limit_up AND t.volume_ratio >= 0.5 AND t.total_market_cap <= 200 AND t.turnover BETWEEN 0.5 AND 1e9""")
+def scr_02_rows(spark, d):
+    """The matches of wide conditions, as they are shown."""
+    flags = X.tail_session_flags(tail_inputs(spark, d), SHOWN)
+    matches = X.tail_session_matches(flags, conditions=SHOWN)
+    ranked = scores.C.with_ranks(scores.C.snapshot(scores.scored(spark, d)), bound=S.universe_bound(spark, d))
+    return X.tail_session_view(matches, S.securities(spark, d), S.industry(spark, d), ranked)
+
+
 @query("flt_12_condition_switches", "SELECT market, symbol, gain_pct, '市值|全天在均价线上方|大部分时间在均价线上方' AS matched_conditions FROM tail_flags WHERE ok_max_market_cap_yi AND ok_intraday_above_vwap")
 def flt_12(spark, d):
     enabled = {k: k in ("max_market_cap_yi", "intraday_above_vwap") for k in X.SWITCHES}

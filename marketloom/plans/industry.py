@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from marketloom import spec
 from marketloom.functions import numeric as N
 from marketloom.operators import rolling as L
+from marketloom.session import settle
 
 INDUSTRY = ("industry_level_2_code", "industry_level_2_name")
 
@@ -63,10 +64,9 @@ def heatmap(industry: DataFrame, bars: DataFrame, *, anchor: Column, limit: int
     The grid comes from exploding the list of days (at most one year) onto each industry row, so no cross join runs.
     """
     selected = industry_sizes(industry, limit)
-    ytd = bars.where((F.col("trading_day") <= anchor) & (F.col("trading_day") >= F.trunc(anchor, "YEAR")))
-    # One session before the year start is needed for the first return, so returns are taken over all bars.
-    returns = daily_returns(bars.where(F.col("trading_day") <= anchor)).where(F.col("trading_day") >= F.trunc(anchor, "YEAR"))
-    days = ytd.select("trading_day").distinct().agg(F.array_sort(F.collect_set("trading_day"))).scalar()  # <= 366 days
+    # The first return of the year needs the close before it; only the year's rows are kept, once, for both days and cells.
+    returns = settle(daily_returns(bars.where(F.col("trading_day") <= anchor)).where(F.col("trading_day") >= F.trunc(anchor, "YEAR")))
+    days = returns.select("trading_day").distinct().agg(F.array_sort(F.collect_set("trading_day"))).scalar()  # <= 366 days
     grid = selected.select(*INDUSTRY, "member_count", F.explode(days).alias("trading_day"))
     keyed = returns.join(member_keys(industry, selected), ["market", "symbol"])
     n = F.count("pct_change")

@@ -20,18 +20,24 @@ DAY_KEY = ["market", "symbol", "trading_day"]
 
 
 def with_status(bars: DataFrame, max_suspension: int = 20) -> DataFrame:
-    """Trading status from gaps in the symbol's own sessions against the market calendar.
+    """Trading status from gaps in the symbol's own sessions against the market calendar, with the symbol's last session before.
 
-    A session number on the calendar turns gaps into differences of neighbours, so no symbol x day grid is built.
+    A session number on the calendar turns gaps into differences of neighbours, so no symbol x day grid is built. A symbol that does
+    not trade on the calendar's newest day has one more row there, without bar: suspended since its last session.
     """
     calendar = bars.select("trading_day").distinct()
     numbered = calendar.withColumn("_session", F.row_number().over(W.orderBy("trading_day")))  # one row per day
+    newest = numbered.agg(F.max_by("trading_day", "_session").alias("trading_day"), F.max("_session").alias("_session"))
     rows = bars.join(numbered, "trading_day")
-    gap = F.coalesce(F.col("_session") - F.lag("_session").over(L.by_day()) - 1, F.lit(0))
-    rows = rows.withColumn("suspension_days", gap.cast("bigint"))
-    status = F.when(F.col("suspension_days") > 0, "resumed").otherwise("trading")
+    last = rows.groupBy("market", "symbol").agg(F.max("_session").alias("_last"))
+    absent = last.where(F.col("_last") < newest.select("_session").scalar()).select(
+        "market", "symbol", newest.select("trading_day").scalar().alias("trading_day"), newest.select("_session").scalar().alias("_session"), F.lit(True).alias("_absent"))
+    rows = rows.withColumn("_absent", F.lit(False)).unionByName(absent, allowMissingColumns=True)
+    gap = F.coalesce(F.col("_session") - F.lag("_session").over(L.by_day()) - 1, F.lit(0)) + F.col("_absent").cast("int")
+    rows = rows.withColumns({"suspension_days": gap.cast("bigint"), "last_trading_date": F.lag("trading_day").over(L.by_day())})
+    status = F.when(F.col("_absent"), "suspended").when(F.col("suspension_days") > 0, "resumed").otherwise("trading")
     return rows.withColumn("trading_status", status).withColumn(
-        "eligible_for_intraday", F.col("suspension_days") <= max_suspension).drop("_session")
+        "eligible_for_intraday", ~F.col("_absent") & (F.col("suspension_days") <= max_suspension)).drop("_session", "_absent")
 
 
 def data_quality(prices: list[str], volumes: list[str], auxiliaries: list[str]) -> Column:

@@ -249,6 +249,34 @@ def peer_benchmark(newest: DataFrame, industry: DataFrame, sub_key: str, *, boun
     return R.ordinal_rank(rows, ["industry_level_2_name"], [best, F.col("market").asc(), F.col("symbol").asc()], "position", max_group_rows=bound)
 
 
+INPUTS = 4  # components of an indicator, at most
+
+
+def peer_tables(newest: DataFrame, industry: DataFrame, securities: DataFrame, closes: DataFrame, *, bound: int | None, sub_keys: list[str] | None = None) -> DataFrame:
+    """The peer tables of all indicators, or some: every industry's members per indicator, best first, with name, latest price and the
+    indicator's components now and a year ago (``input_1`` ... in the order in which the indicator names them). One table is a filter."""
+    directions = {r[0]: r[2] for r in spec.SUB_INDICATORS}
+    components = {r[0]: r[3].split(",") for r in spec.DIAGNOSTICS}
+    none = F.lit(None).cast("double")
+
+    def row(key: str) -> Column:
+        own = [F.col(c).cast("double") for c in components[key]][:INPUTS]
+        past = [F.col(f"{c}_year_ago").cast("double") for c in components[key]][:INPUTS]
+        value = F.col("raw_" + key).cast("double")
+        fill = lambda some: some + [none] * (INPUTS - len(some))
+        return F.struct(
+            F.lit(key).alias("sub_key"), value.alias("metric_value"), (-value if directions[key] else value).alias("_best"),
+            *[x.alias(f"input_{i}") for i, x in enumerate(fill(own), 1)], *[x.alias(f"input_{i}_year_ago") for i, x in enumerate(fill(past), 1)])
+
+    keys = [k for k in directions if k in components and (sub_keys is None or k in sub_keys)]
+    rows = newest.join(industry.select(*KEYS, "industry_level_2_name"), KEYS).select(
+        *KEYS, "industry_level_2_name", "report_date", (F.col("report_date") - 10000).alias("previous_report_date"), F.inline(F.array(*[row(k) for k in keys])))
+    order = [F.col("_best").asc_nulls_last(), F.col("market").asc(), F.col("symbol").asc()]
+    ranked = R.ordinal_rank(rows, ["industry_level_2_name", "sub_key"], order, "position", max_group_rows=bound).drop("_best")
+    names = securities.select(*KEYS, "stock_name").join(closes.select(*KEYS, "current_price"), KEYS, "left")
+    return ranked.join(names, KEYS, "left").withColumn("stock_name", F.coalesce("stock_name", "symbol"))
+
+
 def total_benchmark(snap: DataFrame, valuation: DataFrame, *, bound: int | None) -> DataFrame:
     """Members of each industry by industry total, with un-weighted dimension scores and valuation columns."""
     rows = snap.where(F.col("industry_level_2_name").isNotNull()).select(

@@ -123,3 +123,20 @@ def tail_session_matches(flags: DataFrame, enabled: dict[str, bool] | None = Non
     test = reduce(lambda a, b: a & b, [F.col("ok_" + k) for k in on], F.lit(True))
     names = [n for k in on for n in spec.TAIL_SESSION_NAMES[k]]
     return flags.where(test).withColumn("matched_conditions", F.lit("|".join(names))).orderBy(F.col("gain_pct").desc(), "market", "symbol")
+
+
+def tail_session_view(matches: DataFrame, securities: DataFrame, industry: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Matches as they are shown: name, rounded figures, industries (the score row's first), industry score, rank and universe; best gain first."""
+    c = F.col
+    first = lambda *names: F.coalesce(*[T.blank_to_null(c(n)) for n in names])
+    score = ranked.select(
+        *KEYS, c("industry_level_1_name").alias("_s1"), c("industry_level_2_name").alias("_s2"), c("ind_total_score").alias("industry_total_score"), "industry_total_rank",
+        "industry_total_universe_size")
+    rows = matches.join(securities.select(*KEYS, "stock_name"), KEYS, "left").join(score, KEYS, "left").join(
+        industry.select(*KEYS, c("industry_level_1_name").alias("_i1"), c("industry_level_2_name").alias("_i2")), KEYS, "left")
+    two = lambda name: N.rounded(c(name), 2)
+    return rows.select(
+        *KEYS, F.coalesce(T.blank_to_null(c("stock_name")), c("symbol")).alias("stock_name"), two("price").alias("current_price"), two("gain_pct").alias("gain_pct"),
+        two("volume_ratio").alias("volume_ratio"), two("total_market_cap").alias("market_cap_yi"), two("turnover_pct").alias("turnover_pct"),
+        first("_s1", "_i1").alias("industry_level_1"), first("_s2", "_i2").alias("industry_level_2"), "industry_total_score", "industry_total_rank",
+        "industry_total_universe_size", "matched_conditions").orderBy(c("gain_pct").desc(), "market", "symbol")

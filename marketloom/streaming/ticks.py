@@ -102,21 +102,27 @@ def vwap_state(
         horizon = F.date_sub(F.lit(days[-1]).cast("date"), kept_days)
         fresh = stored.where((F.col("batch") == batch_id) & (F.col("trading_day") >= horizon))
         live = state.where(F.col("trading_day") >= horizon)
-        touched = fresh.groupBy(*cell).agg(F.min(F.struct("ts", "event_id")).alias("first")).join(live, cell, "left")
-        touched = settle(touched.withColumn("late", F.col("last").isNotNull() & (F.col("first") <= F.col("last"))))
-        late = touched.where("late").select(*cell)
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+        no = lambda c: F.coalesce(F.col(c), F.lit(False))
         totals = [F.sum("amount_cents").alias("cents"), F.sum("volume").alias("volume"), newest.alias("last")]
 
         def counted(some: DataFrame, base: DataFrame | None = None) -> DataFrame:
             counts = D.point_counts(D.cumulative_vwap(some, base), max_breach_pct)
             return some.groupBy(*cell).agg(*totals).join(counts, cell, "left")
 
+        if not before:  # every cell is new
+            changed = settle(counted(fresh).select(*cell, zero("valid_points").cast("bigint").alias("valid_points"), zero("above_count").cast("bigint").alias("above_count"), no("breached").alias("breached"),
+                                                    "cents", "volume", "last"))
+            D.with_verdict(changed.where("valid_points > 0"), min_ratio_pct).drop("cents", "volume", "last").write.mode("overwrite").parquet(f"{path}/cells/batch={batch_id}")
+            changed.write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
+            return
+        touched = fresh.groupBy(*cell).agg(F.min(F.struct("ts", "event_id")).alias("first")).join(live, cell, "left")
+        touched = settle(touched.withColumn("late", F.col("last").isNotNull() & (F.col("first") <= F.col("last"))))
+        late = touched.where("late").select(*cell)
         ahead = touched.where("NOT late")
         base = ahead.select(*cell, F.coalesce("cents", F.lit(0)).alias("base_cents"), F.coalesce("volume", F.lit(0)).alias("base_volume"))
         add = counted(fresh.join(ahead.select(*cell), cell, "left_semi"), base).alias("n").join(ahead.select(*cell, *[
             F.col(c).alias(f"_{c}") for c in ("valid_points", "above_count", "breached", "cents", "volume")]), cell)
-        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-        no = lambda c: F.coalesce(F.col(c), F.lit(False))
         added = add.select(
             *cell, *[(zero(c) + zero(f"_{c}")).cast("bigint").alias(c) for c in ("valid_points", "above_count")], (no("breached") | no("_breached")).alias("breached"),
             *[(zero(c) + zero(f"_{c}")).cast("bigint").alias(c) for c in ("cents", "volume")], "last")
