@@ -20,6 +20,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.ui.enabled": "false",
+    # Column expressions are built by the thousand; recording the Python call site of each costs more than building it.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
