@@ -7,7 +7,7 @@ other can be. The frequent ones of a length are known to tasks as a filter of a
 n-gram through that is not needed, and loses none.
 
 A last pass takes what the filters let through, verifies it and materialises it: in a task each fingerprint points to one
-occurrence, all others are compared with the bytes there, and fingerprints that stand for more than one phrase are told apart. Then text
+occurrence, all others are compared with the text there (bytes word by word, then words), and fingerprints that stand for more than one phrase are told apart. Then text
 and count go through the shuffle, so counts are those of phrases, not of fingerprints.
 """
 
@@ -26,7 +26,7 @@ from marketloom.llm.texthash import lowered, mixed, runs
 WORDS = 5  # of the longest phrase
 LEAST = 100  # occurrences of a candidate
 BEST = 2000  # phrases of a language
-CHUNK = 1 << 20  # bytes hashed at a time; longer texts are cut between words
+CHUNK = 1 << 19  # bytes hashed at a time; longer texts are cut between words
 FILTER_BITS = 1 << 27  # of a length's filter: 16 MB go to every task, whatever the corpus
 BLOCK_BITS = 1 << 16  # of a filter, built by one group
 SALTS = 64  # groups of a language in the first round of ranking
@@ -182,29 +182,37 @@ def filter_of(some: DataFrame) -> Filter:
     return Filter(bytes(whole))
 
 
-def _told_apart(held: Grams, n: int, gram, at):
-    """(pointer, count) of each different phrase among the n-grams at ``at``: occurrences of a fingerprint are compared with the bytes at its
-    pointer; those that differ point elsewhere."""
+def word_numbers(held: Grams):
+    """A number for each word, equal where the bytes are: every word is compared with the first of its hash, and those that differ get
+    numbers of their own."""
+    import numpy as np
+
+    _, first, member = np.unique(held.word, return_index=True, return_inverse=True)
+    pointer, size = first[member], held.ends - held.starts
+    differs = size != size[pointer]
+    live, step = np.flatnonzero(~differs & (pointer != np.arange(len(pointer)))), 0
+    while len(live):
+        live = live[step < size[live]]
+        wrong = held.data[held.starts[live] + step] != held.data[held.starts[pointer[live]] + step]
+        differs[live[wrong]] = True
+        live, step = live[~wrong], step + 1
+    others: dict[bytes, int] = {}
+    for i in np.flatnonzero(differs):
+        member[i] = len(first) + others.setdefault(held.data[held.starts[i]:held.ends[i]].tobytes(), len(others))
+    return member
+
+
+def _told_apart(words, n: int, gram, at):
+    """(pointer, count) of each different phrase among the n-grams at ``at``: occurrences of a fingerprint are compared, word by word, with the
+    one at its pointer; those that differ point elsewhere."""
     import numpy as np
 
-    clean = held.data
     while len(at):
         _, first, member = np.unique(gram[at], return_index=True, return_inverse=True)
         pointer = at[first][member]
         same = np.ones(len(at), dtype=bool)
         for k in range(n):
-            size = held.ends[at + k] - held.starts[at + k]
-            same &= size == held.ends[pointer + k] - held.starts[pointer + k]
-            live = np.flatnonzero(same)
-            low, other, size = held.starts[at[live] + k], held.starts[pointer[live] + k], size[live]
-            step = 0
-            while len(live):
-                inside = step < size
-                live, low, other, size = live[inside], low[inside], other[inside], size[inside]
-                differs = clean[low + step] != clean[other + step]
-                same[live[differs]] = False
-                live, low, other, size = live[~differs], low[~differs], other[~differs], size[~differs]
-                step += 1
+            same &= words[at + k] == words[pointer + k]
         yield from zip(at[first].tolist(), np.bincount(member[same], minlength=len(first)).tolist())
         at = at[~same]
 
@@ -226,12 +234,12 @@ def materialised(docs: DataFrame, known: Filter | None, words: int, least: int)
                 names = np.array(langs, dtype=object)
                 for lang in set(langs):
                     rows.append((lang, 0, "", int((held.own & (names[text] == lang)).sum()) if len(text) else 0))
-                clean = held.data.tobytes()
+                clean, words_ = held.data.tobytes(), word_numbers(held)
                 for n in range(1, words + 1):
                     gram, ok = held.hashes(n)
                     at = np.flatnonzero(ok & held.own)
                     at = at[known.holds(gram[at])]
-                    for pointer, times in _told_apart(held, n, gram, at):
+                    for pointer, times in _told_apart(words_, n, gram, at):
                         said = b" ".join(clean[held.starts[i]:held.ends[i]] for i in range(pointer, pointer + n))
                         rows.append((langs[text[pointer]], n, said.decode("utf-8", "surrogatepass"), times))
                 columns = list(zip(*rows))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marketloom.session import fresh_path
 
-PYTHON_ROWS = "2000"  # rows of a batch sent to Python: texts can be long
+PYTHON_ROWS = "1000"  # rows of a batch sent to Python: texts can be long
 
 _scopes: list[list[str]] = []
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-CHUNK = 1 << 20  # bytes of text hashed at a time
+CHUNK = 1 << 18  # bytes of text hashed at a time: what a worker holds is a small multiple of it
 
 _P = 0x9E3779B97F4A7C15  # odd, so powers have inverses modulo 2**64
 _INVERSE = pow(_P, -1, 1 << 64)
@@ -17,7 +17,7 @@ def _powers(size: int):
 
     if not _held or len(_held["up"]) < size:
         for name, base in (("up", _P), ("down", _INVERSE)):
-            table = np.full(1 << max(20, size.bit_length()), base, dtype=np.uint64)
+            table = np.full(1 << max(18, size.bit_length()), base, dtype=np.uint64)
             table[0] = 1
             _held[name] = np.multiply.accumulate(table)
     return _held["up"], _held["down"]
