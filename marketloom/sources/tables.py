@@ -120,7 +120,9 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
     def total(column: str, where: Column | None = None) -> Column:
-        return F.sum(column) if where is None else F.sum(F.when(where, F.col(column)).otherwise(0))
+        """Sums in 38 digits: a symbol with a large share of all lines does not fit 64 bits."""
+        value = F.col(column).cast("decimal(38,0)")
+        return F.sum(value) if where is None else F.sum(F.when(where, value).otherwise(F.lit(0).cast("decimal(38,0)")))
 
     flag, status = F.col("flag"), F.col("status")
     s = lines.groupBy("l_suppkey", "y", "q").agg(

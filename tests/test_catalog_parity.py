@@ -15,7 +15,8 @@ QUICK = [
     "agg_08_window_sums", "jon_08_anti_join_union", "jon_09_asof_close", "flt_06_member_cascade", "srt_03_page", "set_05_upsert", "fin_04_score_snapshot",
     "fin_11_report_points", "fin_13_driver_triplets", "val_06_member_rows", "val_08_peer_percentiles", "hea_01_industry_heatmap", "ind_01_reference_datasets",
     "scr_02_tail_session", "src_01_json_rows", "src_06_fixed_width_master", "src_11_flatten_reports", "stm_02_vwap_state", "stm_04_bars_with_fallback",
-    "whs_02_detect_updates", "arc_02_dataset_checks", "dq_02_backfill", "dq_04_execution_grade",
+    "whs_02_detect_updates", "whs_03_upsert_periods", "arr_08_rounded_fold", "mom_06_industry_self_rps", "fin_09_peer_benchmark", "dq_01_quality_grades", "sig_05_staleness",
+    "arc_02_dataset_checks", "arc_04_run_record", "src_19_rule_config", "pro_03_basic_info", "scr_02_tail_session_rows", "dq_02_backfill", "dq_04_execution_grade",
 ]
 ORACLES = contract.oracle_sql()
 NAMES = sorted(ORACLES) if os.environ.get("PARITY") == "all" else QUICK
