@@ -1,4 +1,8 @@
-"""Corpus pipeline: quality, exact copies, near copies, source mix, packing. Every stage works on the written rows of the one before."""
+"""Corpus pipeline: quality, exact copies, near copies, source mix, packing. Every stage works on the written rows of the one before.
+
+Every stage takes an empty table and gives none back, reads the key, text and source by name, and passes other columns on as they are. Null
+texts count as empty; what a stage does with rows that repeat an id or have none is said below.
+"""
 
 from __future__ import annotations
 
@@ -32,31 +36,32 @@ def stage(work: Stage) -> Stage:
 
 @stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Documents that the quality classifier keeps. Rows that repeat get one verdict; empty texts have weight 0, a null id is one like any other."""
     return quality.kept_rows(docs, table(spark, sf_dir, "labels"))
 
 
 @stage
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: that of the largest id, rows without an id as well."""
     return exact_dedup.kept_rows(docs)
 
 
 @stage
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five words, similarity of 0.8 or more."""
+    """One document of each group of near copies: five words, similarity of 0.8 or more. Every row is a document, so a text that shares only its
+    id with one that goes stays, and so does one without an id that is like no other; empty texts all stay."""
     return shingle_join.kept_rows(docs, shingle_join.NEAR_COPIES)
 
 
 @stage
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mix of sources; the written files keep it."""
+    """All documents, in the order of the mix of sources; the written files keep it. A null source is one like any other."""
     return mixing.mixed_rows(docs)
 
 
 @stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the training sequences, cut along the order of the mix."""
+    """The pieces of the training sequences, cut along the order of the mix; an empty text is one separator."""
     return packing.pieces(docs)
 
 
