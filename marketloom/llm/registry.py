@@ -23,6 +23,8 @@ QUERIES = {
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op8_warc": warc.OP8_SQL,
+    "op10_shingle_join": shingle_join.OP10_SQL,
     "op11_chat_format": chat_format.OP11_SQL,
     "op12_vector_codes": vector_codes.OP12_SQL,
     "op13_phrases": phrases.OP13_SQL,

@@ -232,7 +232,12 @@ def captured(pages: DataFrame, path: str, **columns) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = captured(table(spark, sf_dir, "pages"), fresh_path(spark, "archives"))
-    return history.select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", F.col("captured").alias("captured_at"), "offset", "record_bytes")
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("captured").alias("captured_at"))
 
 
+OP8_SQL = f"""
+WITH stored AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (SELECT *, CASE WHEN payload_bytes >= {LEAST_SHARED} THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM stored)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first < page_id THEN first END AS refers_to,
+  strftime(make_timestamp(({EPOCH} + page_id % {SPAN}) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured_at FROM firsts
+"""
