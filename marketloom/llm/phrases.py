@@ -26,7 +26,7 @@ from marketloom.llm.texthash import lowered, mixed, runs
 WORDS = 5  # of the longest phrase
 LEAST = 100  # occurrences of a candidate
 BEST = 2000  # phrases of a language
-CHUNK = 1 << 19  # bytes hashed at a time; longer texts are cut between words
+CHUNK = 1 << 20  # bytes hashed at a time; longer texts are cut between words
 FILTER_BITS = 1 << 27  # of a length's filter: 16 MB go to every task, whatever the corpus
 BLOCK_BITS = 1 << 16  # of a filter, built by one group
 SALTS = 64  # groups of a language in the first round of ranking
@@ -182,24 +182,28 @@ def filter_of(some: DataFrame) -> Filter:
     return Filter(bytes(whole))
 
 
-def word_numbers(held: Grams):
-    """A number for each word, equal where the bytes are: every word is compared with the first of its hash, and those that differ get
-    numbers of their own."""
+def word_numbers(held: Grams, some):
+    """A number for each word of ``some`` (a mask), equal where the bytes are; -1 for others. A word is compared with the first of its hash, and
+    those that differ get numbers of their own."""
     import numpy as np
 
-    _, first, member = np.unique(held.word, return_index=True, return_inverse=True)
-    pointer, size = first[member], held.ends - held.starts
+    at = np.flatnonzero(some)
+    out = np.full(len(held.word), -1, dtype=np.int64)
+    _, first, member = np.unique(held.word[at], return_index=True, return_inverse=True)
+    starts, size = held.starts[at], (held.ends - held.starts)[at]
+    pointer = first[member]
     differs = size != size[pointer]
     live, step = np.flatnonzero(~differs & (pointer != np.arange(len(pointer)))), 0
     while len(live):
         live = live[step < size[live]]
-        wrong = held.data[held.starts[live] + step] != held.data[held.starts[pointer[live]] + step]
+        wrong = held.data[starts[live] + step] != held.data[starts[pointer[live]] + step]
         differs[live[wrong]] = True
         live, step = live[~wrong], step + 1
     others: dict[bytes, int] = {}
     for i in np.flatnonzero(differs):
-        member[i] = len(first) + others.setdefault(held.data[held.starts[i]:held.ends[i]].tobytes(), len(others))
-    return member
+        member[i] = len(first) + others.setdefault(held.data[starts[i]:starts[i] + size[i]].tobytes(), len(others))
+    out[at] = member
+    return out
 
 
 def _told_apart(words, n: int, gram, at):
@@ -234,12 +238,15 @@ def materialised(docs: DataFrame, known: Filter | None, words: int, least: int)
                 names = np.array(langs, dtype=object)
                 for lang in set(langs):
                     rows.append((lang, 0, "", int((held.own & (names[text] == lang)).sum()) if len(text) else 0))
-                clean, words_ = held.data.tobytes(), word_numbers(held)
+                clean, often = held.data.tobytes(), known.holds(held.hashes(1)[0]) if known else np.zeros(len(held.word), dtype=bool)
+                numbers = word_numbers(held, often)  # the words of a frequent phrase are frequent
                 for n in range(1, words + 1):
                     gram, ok = held.hashes(n)
-                    at = np.flatnonzero(ok & held.own)
+                    at = np.flatnonzero(ok & held.own & often)
+                    for k in range(1, n):
+                        at = at[often[at + k]]
                     at = at[known.holds(gram[at])]
-                    for pointer, times in _told_apart(words_, n, gram, at):
+                    for pointer, times in _told_apart(numbers, n, gram, at):
                         said = b" ".join(clean[held.starts[i]:held.ends[i]] for i in range(pointer, pointer + n))
                         rows.append((langs[text[pointer]], n, said.decode("utf-8", "surrogatepass"), times))
                 columns = list(zip(*rows))
