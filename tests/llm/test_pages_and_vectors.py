@@ -232,6 +232,21 @@ def test_html_of_templates_that_the_sample_did_not_show(spark):
     assert texts_by_id(spark, pages) == [f"Text {i}" for i in range(300)] + [f"Head {i} Other {i}" for i in range(3)]
 
 
+def test_html_texts_are_the_templates_only_if_all_pages_have_them(spark):
+    page = "<body><section><b>Acme</b><i>{}</i></section><div><p>Own text {}</p></div></body>"
+    writer = lambda i: "By Bob" if i % 60 == 17 else "By Ann"
+    rows = [(i, f"http://sampled{i // 60}.org/", page.format(writer(i), i)) for i in range(300)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_texts(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {i: f"{writer(i)} Own text {i}" for i in range(300)}
+
+
+def test_html_of_an_article_that_the_sample_did_not_show(spark):
+    rows = [(i, "http://mixed.org/", f"<body><div>Top {i}</div><p>Own text {i}</p></body>") for i in range(60)]
+    rows[41] = (41, "http://mixed.org/", "<body><div>Top 41</div><article><p>Told here</p></article></body>")
+    got = {r["page_id"]: r["text"] for r in html_text.main_texts(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {i: "Told here" if i == 41 else f"Top {i} Own text {i}" for i in range(60)}
+
+
 def test_html_labels_leave_out_numbers_of_pages(spark):
     page = "<body><div class=top>Our site</div><div class='entry post{0}' id='post-{0}'><p>Text {0}</p></div><div class=end>All rights</div>"
     assert markup.tree(page.format(7)).children[0].children[1].label == "div.entry.post"
