@@ -3,9 +3,12 @@ number of calendar days, whatever share of the raw ticks a symbol holds."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketloom import spec
 from marketloom.functions import numeric as N
@@ -64,23 +67,43 @@ def highest(column: str, n: int) -> Column:
     return F.max(column).over(by_day().rowsBetween(-(n - 1), 0))
 
 
+def below_counts(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every value, how many of the last n (itself included) lie strictly below it, and how many are there. NaN is missing."""
+    padded = np.concatenate([np.full(n - 1, np.nan), values])
+    here = np.concatenate([[0], np.cumsum(~np.isnan(padded))])
+    below = np.empty(len(values), dtype=np.int64)
+    for start in range(0, len(values), 4096):  # a block of frames at a time
+        frames = np.lib.stride_tricks.sliding_window_view(padded[start:start + 4096 + n - 1], n)
+        below[start:start + 4096] = (frames < values[start:start + 4096, None]).sum(axis=1)
+    return below, here[n:] - here[:-n]
+
+
 def with_self_percentiles(df: DataFrame, names: dict[str, str], n: int, partial: dict[str, str] | None = None, digits: int = 2) -> DataFrame:
     """Share of the last n values strictly below the current one, in percent, for {value column: output column}.
 
-    ``names`` need a full frame of n rows; ``partial`` outputs use whatever history there is. One frame carries all
-    value columns as small structs (n is a fixed small number) and is read with array functions inside the JVM.
+    ``names`` need a full frame of n rows; ``partial`` outputs use whatever history there is. Values are numbers, and NaN counts as missing.
+    Spark brings each symbol's sessions together (never more than calendar days); the frames are compared in numpy, which returns only counts.
     """
     columns = sorted({*names, *(partial or {})})
-    frame = F.collect_list(F.struct(*columns)).over(by_day().rowsBetween(-(n - 1), 0))
-    work = df.select("*", frame.alias("_frame"), F.row_number().over(by_day()).alias("_row"))
+    given = df.columns
+    counts = [f"{kind}_{c}" for c in columns for kind in ("_below", "_here")] + ["_row"]
+
+    def count(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks().sort_by("trading_day")
+        out = [rows[c] for c in given]
+        for c in columns:
+            out += map(pa.array, below_counts(rows[c].to_numpy().astype(np.float64), n))
+        return pa.Table.from_arrays([*out, pa.array(np.arange(1, rows.num_rows + 1))], names=[*given, *counts])
+
+    schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.LongType()) for c in counts]])
+    work = df.groupBy(*SYMBOL).applyInArrow(count, schema)
 
     def pct(c: str) -> Column:
-        below = F.size(F.filter("_frame", lambda v: v[c] < F.col(c)))
-        present = F.size(F.filter("_frame", lambda v: v[c].isNotNull()))
-        return N.rounded(below / present * 100.0, digits)
+        return N.rounded(F.col(f"_below_{c}") / F.col(f"_here_{c}") * 100.0, digits)
 
-    full = [F.when(F.col(c).isNotNull() & (F.col("_row") >= n), pct(c)).alias(out) for c, out in names.items()]
-    short = [F.when(F.col(c).isNotNull(), pct(c)).alias(out) for c, out in (partial or {}).items()]
+    present = {c: F.col(c).isNotNull() & ~F.isnan(c) for c in columns}
+    full = [F.when(present[c] & (F.col("_row") >= n), pct(c)).alias(out) for c, out in names.items()]
+    short = [F.when(present[c], pct(c)).alias(out) for c, out in (partial or {}).items()]
     return work.select(*df.columns, *full, *short)
 
 

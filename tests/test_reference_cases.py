@@ -128,6 +128,19 @@ def test_self_percentile(spark):
     assert [r["part"] for r in out] == [0.0, 0.0, 33.33, 33.33, 66.67]
 
 
+def test_self_percentile_counts_equal_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    values = rng.integers(-3, 4, 9000).astype(float)
+    values[rng.random(9000) < 0.2] = np.nan
+    below, here = L.below_counts(values, 120)
+    frames = [values[max(0, i - 119):i + 1] for i in range(9000)]
+    assert below.tolist() == [int((f < f[-1]).sum()) for f in frames]
+    assert here.tolist() == [int((~np.isnan(f)).sum()) for f in frames]
+    assert L.below_counts(values[:1], 120)[1].tolist() == [int(not np.isnan(values[0]))]
+
+
 def test_heat_cells(spark):
     a, b, c = bars(spark, [100, 101, 104.03]), bars(spark, [100, 103, 108.15], symbol="600002"), bars(spark, [100, 98, 98], symbol="600003")
     ind = spark.createDataFrame([("sh", "600001", "I1", "一"), ("sh", "600002", "I1", "一"), ("sh", "600003", "I2", "二")], "market string, symbol string, industry_level_2_code string, industry_level_2_name string")
