@@ -21,7 +21,7 @@ col = F.col
 
 @query("win_01_cross_section_rank", f"SELECT {DAY}, market, symbol, " + ", ".join(f"rank_{n}" for n in WINDOWS) + ", universe_size FROM daily_rps")
 def win_01(spark, d):
-    rows = M.daily_rps(S.bars(spark, d), bound=S.universe_bound(spark, d))
+    rows = M.daily_rps(S.bars(spark, d), bound=S.universe_bound(spark, d), rows=S.line_bound(spark, d))
     return day_text(rows).select("trading_day", "market", "symbol", *[f"rank_{n}" for n in WINDOWS], "universe_size")
 
 
@@ -32,7 +32,7 @@ NULLS_OUT = ("count(return_250_pct) OVER (PARTITION BY trading_day)::DOUBLE", "r
 CASE WHEN return_250_pct IS NOT NULL THEN {sql_round(f'({NULLS_OUT[0]} - {NULLS_OUT[1]} + 1) / {NULLS_OUT[0]} * 100.0', 2)} END AS rps_without_nulls FROM daily_rps""")
 def win_02(spark, d):
     bound = S.universe_bound(spark, d)
-    base = M.daily_rps(S.bars(spark, d), bound=bound).select("trading_day", "market", "symbol", "return_250_pct", col("rps_250").alias("rps_with_nulls"))
+    base = M.daily_rps(S.bars(spark, d), bound=bound, rows=S.line_bound(spark, d)).select("trading_day", "market", "symbol", "return_250_pct", col("rps_250").alias("rps_with_nulls"))
     out = R.momentum_ranks(base, (250,), max_group_rows=bound, rank_nulls=False)
     return day_text(out).select("trading_day", "market", "symbol", "rps_with_nulls", col("rps_250").alias("rps_without_nulls"))
 
@@ -160,7 +160,7 @@ add_view("ref_base", f"SELECT * FROM (SELECT *, {', '.join(_ref_ret(n, k) for n,
 
 @query("win_19_lagged_rps", f"SELECT market, symbol, {DAY}, {', '.join(_ref_rps(n, k) for n, k in REFS)} FROM ref_base")
 def win_19(spark, d):
-    out = M.reference_rps(M.reference_returns(S.bars(spark, d)), bound=S.universe_bound(spark, d))
+    out = M.reference_rps(M.reference_returns(S.bars(spark, d)), bound=S.universe_bound(spark, d), rows=S.line_bound(spark, d))
     return day_text(out).select("market", "symbol", "trading_day", *[f"ref{k}_rps_{n}" for n, k in REFS])
 
 

@@ -184,7 +184,7 @@ def sql_signal(strategy, label, conditions):
 
 
 def inputs(spark, d):
-    return M.signal_inputs(S.bars(spark, d), bound=S.universe_bound(spark, d))
+    return M.signal_inputs(S.bars(spark, d), bound=S.universe_bound(spark, d), rows=S.line_bound(spark, d))
 
 
 @query("sig_01_standard_launch", sql_signal("rps_standard_launch", "RPS标准", LAUNCH))

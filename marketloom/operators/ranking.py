@@ -24,12 +24,19 @@ from marketloom.operators.prefix import running_totals
 from marketloom.session import ensure_checkpoint_dir
 
 WINDOW_ROW_LIMIT = 2_000_000
+TASK_ROWS = 250_000  # rows of a task that sorts a cross-section once per ranked column
 
 
 def fits_one_task(max_group_rows: int | None) -> bool:
     return max_group_rows is not None and max_group_rows <= WINDOW_ROW_LIMIT
 
 
+def small_parts(df: DataFrame, keys: list[str], rows: int | None, per_task: int | None = None) -> DataFrame:
+    """Whole groups in as many partitions as ``rows`` (of all groups, at most) ask for, so that a task's rows do not grow with the table. A fixed
+    count is not coalesced again. Without ``rows`` the partitions stay as they are."""
+    return df if rows is None else df.repartition(max(1, -(-rows // (per_task or TASK_ROWS))), *keys)
+
+
 def with_group_stats(df: DataFrame, group: list[str], stats: dict[str, Column], *, max_group_rows: int | None) -> DataFrame:
     """Adds aggregates of each row's group: over a window for bounded groups, else by an aggregate with map-side combine
     whose result (one row per group) is joined back."""
@@ -85,15 +92,17 @@ def rps(rank: Column, universe: Column) -> Column:
 
 
 def momentum_ranks(
-    returns: DataFrame, windows: tuple[int, ...], *, max_group_rows: int | None, rank_nulls: bool = True,
+    returns: DataFrame, windows: tuple[int, ...], *, max_group_rows: int | None, rank_nulls: bool = True, rows: int | None = None,
 ) -> DataFrame:
     """rank_N / rps_N / universe_size per trading day for the columns return_N_pct.
 
     ``rank_nulls`` keeps rows without a return at the bottom of the universe; otherwise they leave it.
+    ``rows`` bounds the rows of all days: they are ranked in tasks of a fixed size (see ``small_parts``).
     """
     day = ["trading_day"]
     sizes = {"universe_size": F.count(F.lit(1)), **{f"_n_{n}": F.count(f"return_{n}_pct") for n in windows if not rank_nulls}}
-    out = with_group_stats(returns, day, sizes, max_group_rows=max_group_rows)
+    placed = small_parts(returns, day, rows) if fits_one_task(max_group_rows) else returns
+    out = with_group_stats(placed, day, sizes, max_group_rows=max_group_rows)
     for n in windows:
         value = F.col(f"return_{n}_pct")
         order = [value.desc_nulls_last(), F.col("market").asc(), F.col("symbol").asc()]

@@ -48,10 +48,10 @@ def rps_table(bars: DataFrame, as_of: Column, *, bound: int | None) -> DataFrame
     return R.momentum_ranks(returns, spec.RPS_WINDOWS, max_group_rows=bound)
 
 
-def daily_rps(bars: DataFrame, windows=spec.RPS_WINDOWS, *, bound: int | None) -> DataFrame:
+def daily_rps(bars: DataFrame, windows=spec.RPS_WINDOWS, *, bound: int | None, rows: int | None = None) -> DataFrame:
     """Momentum table of every trading day."""
-    rows = L.with_returns(bars.select("market", "symbol", "trading_day", "close"), windows).where(any_return(windows))
-    return R.momentum_ranks(rows.drop("close"), windows, max_group_rows=bound)
+    returns = L.with_returns(bars.select("market", "symbol", "trading_day", "close"), windows).where(any_return(windows))
+    return R.momentum_ranks(returns.drop("close"), windows, max_group_rows=bound, rows=rows)
 
 
 def reference_returns(bars: DataFrame) -> DataFrame:
@@ -65,11 +65,12 @@ def reference_returns(bars: DataFrame) -> DataFrame:
     ).where(F.col("sessions") >= spec.SIGNAL_MIN_SESSIONS)
 
 
-def reference_rps(returns: DataFrame, *, bound: int | None) -> DataFrame:
+def reference_rps(returns: DataFrame, *, bound: int | None, rows: int | None = None) -> DataFrame:
     """RPS as of t-1, t-2, t-3 and t-5 among the symbols that have that return."""
     refs = ((20, 1), (20, 2), (20, 3), (50, 3), (50, 5))
     sizes = {f"_n{k}_{n}": F.count(f"ref{k}_return_{n}_pct") for n, k in refs}
-    out = R.with_group_stats(returns, ["trading_day"], sizes, max_group_rows=bound)
+    placed = R.small_parts(returns, ["trading_day"], rows) if R.fits_one_task(bound) else returns
+    out = R.with_group_stats(placed, ["trading_day"], sizes, max_group_rows=bound)
     for n, k in refs:
         value = F.col(f"ref{k}_return_{n}_pct")
         order = [value.desc_nulls_last(), F.col("symbol").asc(), F.col("market").asc()]
@@ -112,7 +113,7 @@ CONDITIONS = {
 }
 
 
-def signal_inputs(bars: DataFrame, *, bound: int | None, as_of: Column | None = None) -> DataFrame:
+def signal_inputs(bars: DataFrame, *, bound: int | None, as_of: Column | None = None, rows: int | None = None) -> DataFrame:
     """One row per symbol and ranked day with everything the rules read.
 
     With ``as_of`` only each symbol's last session is kept and ranked as that day.
@@ -126,19 +127,19 @@ def signal_inputs(bars: DataFrame, *, bound: int | None, as_of: Column | None =
          ("close", 50, 3, "ma_50_ago3"), ("volume", 5, 0, "volume_ma_5")],
     )
     refs = [(20, 1), (20, 2), (20, 3), (50, 3), (50, 5)]
-    rows = frames.select(
+    days = frames.select(
         "*",
         *[L.session_return(n).alias(f"return_{n}_pct") for n in spec.RPS_WINDOWS],
         *[N.rolling_return_pct(L.lagged("close", k), L.lagged("close", n + k)).alias(f"ref{k}_return_{n}_pct") for n, k in refs],
         F.row_number().over(L.by_day()).alias("sessions"),
     )
     if as_of is not None:
-        rows = L.latest(rows).withColumn("trading_day", as_of)
+        days = L.latest(days).withColumn("trading_day", as_of)
     short = F.col("sessions") < spec.SIGNAL_MIN_SESSIONS
     for n, k in refs:
         name = f"ref{k}_return_{n}_pct"
-        rows = rows.withColumn(name, F.when(~short, F.col(name)))
-    ranked = R.momentum_ranks(rows.where(any_return()), spec.RPS_WINDOWS, max_group_rows=bound)
+        days = days.withColumn(name, F.when(~short, F.col(name)))
+    ranked = R.momentum_ranks(days.where(any_return()), spec.RPS_WINDOWS, max_group_rows=bound, rows=rows)
     return reference_rps(ranked, bound=bound)
 
 

@@ -42,6 +42,11 @@ def universe_bound(spark: SparkSession, sf_dir: str) -> int:
     return table(spark, sf_dir, "supplier").count()
 
 
+def line_bound(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of the trades: there are no more daily bars or statements. Answered from file footers."""
+    return table(spark, sf_dir, "lineitem").count()
+
+
 def industry(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
     code = F.concat(F.lit("X"), F.lpad(F.col("r_regionkey").cast("string"), 2, "0"))

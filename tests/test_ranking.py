@@ -89,3 +89,13 @@ def test_unbounded_groups_give_the_same_results(spark):
     sample = df.where("return_20_pct > 5").select("trading_day", F.col("return_20_pct").alias("s"))
     a, b = (R.sample_percentiles(df, sample, ["trading_day"], "return_20_pct", "s", "p", max_group_rows=n) for n in (20000, None))
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+@pytest.mark.parametrize("days", [40, 400])
+def test_daily_ranks_in_tasks_of_a_fixed_size(spark, days, monkeypatch):
+    """Ten times the days are ten times the partitions, and a partition's rows stay the same, however the session is set."""
+    monkeypatch.setattr(R, "TASK_ROWS", 100)
+    df = spark.range(days * 50).select((F.col("id") % days).alias("trading_day"), F.lit("sh").alias("market"), F.col("id").cast("string").alias("symbol"), F.rand(1).alias("return_20_pct"))
+    out = R.momentum_ranks(df, (20,), max_group_rows=50, rows=days * 50)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == days * 50 and max(sizes) <= 450
