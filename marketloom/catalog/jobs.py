@@ -97,9 +97,11 @@ TRADING_DAY = "2001-11-02"
 
 
 def datasets(spark, d):
-    """Datasets of one day; the two placeholder datasets of the required list are not built."""
-    ticks = S.ticks(spark, d)
-    ind, con = S.industry(spark, d), S.concepts(spark, d)
+    """Datasets of one day; the two placeholder datasets of the required list are not built.
+
+    What several datasets or a rerun read is settled, so that it is worked out once however often it is written."""
+    ticks = settle(S.ticks(spark, d))
+    ind, con = S.industry(spark, d), settle(S.concepts(spark, d))
     ranks = settle(rps(spark, d))
     keyed = lambda df: df.withColumn("concept_id", T.concept_id(col("concept_name")))
     dictionary = con.groupBy("concept_name").agg(F.min("market").alias("market"), F.min("symbol").alias("symbol"))

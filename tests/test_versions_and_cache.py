@@ -76,3 +76,12 @@ def test_two_builders_leave_one_result(spark):
         return spark.range(7)
 
     assert files.cached_result(spark, root, {"k": 1}, build_while_another_finishes).count() == 7
+
+
+def test_archive_works_concepts_and_ticks_out_once(spark, sf, monkeypatch):
+    """Datasets that are written again, by a rerun too, read settled files and not the trades or events."""
+    from marketloom.catalog import jobs
+
+    sources = {name: " ".join(rows.inputFiles()) for name, _category, _scope, rows in jobs.datasets(spark, sf)}
+    assert not any("lineitem" in s or "events" in s for s in sources.values()), sources
+    assert "settled" in sources["snapshot_stock_concept_membership"] and "settled" in sources["bars_15m"]
