@@ -67,15 +67,23 @@ def highest(column: str, n: int) -> Column:
     return F.max(column).over(by_day().rowsBetween(-(n - 1), 0))
 
 
-def below_counts(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every value, how many of the last n (itself included) lie strictly below it, and how many are there. NaN is missing."""
-    padded = np.concatenate([np.full(n - 1, np.nan), values])
-    here = np.concatenate([[0], np.cumsum(~np.isnan(padded))])
-    below = np.empty(len(values), dtype=np.int64)
-    for start in range(0, len(values), 4096):  # a block of frames at a time
-        frames = np.lib.stride_tricks.sliding_window_view(padded[start:start + 4096 + n - 1], n)
-        below[start:start + 4096] = (frames < values[start:start + 4096, None]).sum(axis=1)
-    return below, here[n:] - here[:-n]
+def _counter():
+    """``below_counts`` as a local function, which travels to the workers as it is: they need not have this package."""
+
+    def below_counts(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """For every value, how many of the last n (itself included) lie strictly below it, and how many are there. NaN is missing."""
+        padded = np.concatenate([np.full(n - 1, np.nan), values])
+        here = np.concatenate([[0], np.cumsum(~np.isnan(padded))])
+        below = np.empty(len(values), dtype=np.int64)
+        for start in range(0, len(values), 4096):  # a block of frames at a time
+            frames = np.lib.stride_tricks.sliding_window_view(padded[start:start + 4096 + n - 1], n)
+            below[start:start + 4096] = (frames < values[start:start + 4096, None]).sum(axis=1)
+        return below, here[n:] - here[:-n]
+
+    return below_counts
+
+
+below_counts = _counter()
 
 
 def with_self_percentiles(df: DataFrame, names: dict[str, str], n: int, partial: dict[str, str] | None = None, digits: int = 2) -> DataFrame:
@@ -85,14 +93,14 @@ def with_self_percentiles(df: DataFrame, names: dict[str, str], n: int, partial:
     Spark brings each symbol's sessions together (never more than calendar days); the frames are compared in numpy, which returns only counts.
     """
     columns = sorted({*names, *(partial or {})})
-    given = df.columns
+    given, counter = df.columns, _counter()
     counts = [f"{kind}_{c}" for c in columns for kind in ("_below", "_here")] + ["_row"]
 
     def count(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks().sort_by("trading_day")
         out = [rows[c] for c in given]
         for c in columns:
-            out += map(pa.array, below_counts(rows[c].to_numpy().astype(np.float64), n))
+            out += map(pa.array, counter(rows[c].to_numpy().astype(np.float64), n))
         return pa.Table.from_arrays([*out, pa.array(np.arange(1, rows.num_rows + 1))], names=[*given, *counts])
 
     schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.LongType()) for c in counts]])
