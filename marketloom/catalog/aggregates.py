@@ -35,7 +35,8 @@ LEFT JOIN securities s USING (market, symbol) LEFT JOIN industry i USING (market
 
 @query("agg_03_concept_members", INDEX_SQL)
 def agg_03(spark, d):
-    return C.concept_index(S.concepts(spark, d), S.securities(spark, d), S.industry(spark, d))
+    return C.concept_index(
+        S.concepts(spark, d), S.securities(spark, d), S.industry(spark, d), bound=S.universe_bound(spark, d), members=S.line_bound(spark, d))
 
 
 @query("agg_04_industry_tree", "SELECT DISTINCT industry_level_1_name, industry_level_2_name FROM industry WHERE industry_level_1_name <> '' AND industry_level_2_name <> ''")

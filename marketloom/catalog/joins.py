@@ -26,7 +26,8 @@ def jon_01(spark, d):
 
 @query("jon_02_concept_security_industry", INDEX_SQL)
 def jon_02(spark, d):
-    return C.concept_index(S.concepts(spark, d), S.securities(spark, d), S.industry(spark, d))
+    return C.concept_index(
+        S.concepts(spark, d), S.securities(spark, d), S.industry(spark, d), bound=S.universe_bound(spark, d), members=S.line_bound(spark, d))
 
 
 @query("jon_03_rps_security_industry", f"SELECT market, symbol, {RPS_COLUMNS}, universe_size, stock_name, name_initials, industry_level_1_name || ' / ' || industry_level_2_name AS industry_display FROM rps LEFT JOIN securities USING (market, symbol) LEFT JOIN industry USING (market, symbol)")

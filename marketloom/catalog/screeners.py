@@ -78,14 +78,14 @@ coalesce(c.auxiliary, 0) AS auxiliary_concept_count, {RPS_LIST}, {MEAN_LIST}, {_
 LEFT JOIN (SELECT market, symbol, count(*) FILTER (rule = 'default_keep_core') AS core, count(*) FILTER (rule <> 'default_keep_core') AS auxiliary FROM (SELECT *, {sql_concept_rule('concept_name', 'rule_id')} AS rule FROM labelled_concepts) GROUP BY 1, 2) c USING (market, symbol)
 LEFT JOIN rps r USING (market, symbol) LEFT JOIN industry_means m ON m.industry_level_2_name = i.industry_level_2_name""")
 def pro_04(spark, d):
-    return R.profiles(S.securities(spark, d), S.industry(spark, d), labelled(spark, d), settle(rps(spark, d)), bound=S.universe_bound(spark, d))
+    return R.profiles(S.securities(spark, d), S.industry(spark, d), labelled(spark, d), settle(rps(spark, d)), bound=S.universe_bound(spark, d), members=S.line_bound(spark, d))
 
 
 @query("pro_04_concept_lists", f"""SELECT market, symbol, sha1('tdx_local:' || concept_name) AS concept_id, concept_name, {sql_concept_rule('concept_name', 'bucket')} AS bucket, {sql_concept_rule('concept_name', 'rule_id')} = 'default_keep_core' AS is_core
 FROM (SELECT DISTINCT market, symbol, concept_name FROM labelled_concepts)""")
 def pro_04_lists(spark, d):
     """The core and auxiliary concepts of every security, one row each."""
-    return R.concept_listing(labelled(spark, d)).select("market", "symbol", "concept_id", "concept_name", "bucket", (col("decision") == "keep_core").alias("is_core"))
+    return R.concept_listing(labelled(spark, d), members=S.line_bound(spark, d)).select("market", "symbol", "concept_id", "concept_name", "bucket", (col("decision") == "keep_core").alias("is_core"))
 
 
 @query("hea_01_industry_heatmap", f"""SELECT k.industry_level_2_code, k.industry_level_2_name, k.member_count, strftime(t.trading_day, '%Y-%m-%d') AS trading_day, c.pct_change, coalesce(c.stock_count, 0) AS stock_count, c.daily_volume

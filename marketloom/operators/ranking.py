@@ -32,9 +32,13 @@ def fits_one_task(max_group_rows: int | None) -> bool:
 
 
 def small_parts(df: DataFrame, keys: list[str], rows: int | None, per_task: int | None = None) -> DataFrame:
-    """Whole groups in as many partitions as ``rows`` (of all groups, at most) ask for, so that a task's rows do not grow with the table. A fixed
-    count is not coalesced again. Without ``rows`` the partitions stay as they are."""
-    return df if rows is None else df.repartition(max(1, -(-rows // (per_task or TASK_ROWS))), *keys)
+    """Whole groups in as many partitions as ``rows`` (of all groups, at most) ask for, so that a task's rows do not grow with the table; a small
+    table still gets one per core, down to a fifth of a task's rows. A fixed count is not coalesced again. Without ``rows`` the partitions stay as they are."""
+    if rows is None:
+        return df
+    task = per_task or TASK_ROWS
+    cores = min(df.sparkSession.sparkContext.defaultParallelism, -(-rows // max(1, task // 5)))
+    return df.repartition(max(1, -(-rows // task), cores), *keys)
 
 
 def with_group_stats(df: DataFrame, group: list[str], stats: dict[str, Column], *, max_group_rows: int | None) -> DataFrame:

@@ -38,11 +38,11 @@ def basic_info(bars: DataFrame, statements: DataFrame, quotes: DataFrame) -> Dat
         F.when(c("ttm_eps") > 0, c("latest_close") / c("ttm_eps")).alias("dynamic_pe"))
 
 
-def profiles(securities: DataFrame, industry: DataFrame, concepts: DataFrame, rps: DataFrame, *, bound: int | None) -> DataFrame:
+def profiles(securities: DataFrame, industry: DataFrame, concepts: DataFrame, rps: DataFrame, *, bound: int | None, members: int | None = None) -> DataFrame:
     """Industry, concept counts by verdict, RPS and the security's place inside its industry."""
     c = F.col
     core = c("decision") == "keep_core"
-    counts = concept_listing(concepts).groupBy(*KEYS).agg(
+    counts = concept_listing(concepts, members=members).groupBy(*KEYS).agg(
         F.count_if(core).alias("core_concept_count"), F.count_if(~core).alias("auxiliary_concept_count"))
     ranked = rps.join(industry.select(*KEYS, "industry_level_2_name"), KEYS, "left")
     tie = [c("market").asc(), c("symbol").asc()]
@@ -62,12 +62,13 @@ def profiles(securities: DataFrame, industry: DataFrame, concepts: DataFrame, rp
     )
 
 
-def concept_listing(concepts: DataFrame) -> DataFrame:
+def concept_listing(concepts: DataFrame, *, members: int | None = None) -> DataFrame:
     """Concepts of each security with bucket and verdict: the rows behind a profile's core and auxiliary lists.
 
-    The regex rules run once per distinct name; the verdicts then meet the far longer membership table by join.
+    The regex rules run once per distinct name; the verdicts then meet the far longer membership table by join, in tasks of a
+    fixed size if ``members`` bounds that table.
     """
-    rows = concepts.select(*KEYS, "concept_name").distinct()
+    rows = R.small_parts(concepts.select(*KEYS, "concept_name").distinct(), ["concept_name"], members)
     names = rows.select("concept_name").distinct()
     verdicts = names.select("concept_name", T.concept_id(F.col("concept_name")).alias("concept_id"), T.concept_rule(F.col("concept_name")).alias("r"))
     verdicts = verdicts.select("concept_name", "concept_id", "r.bucket", "r.decision")

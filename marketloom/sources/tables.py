@@ -1,7 +1,8 @@
 """The equity model projected onto the star-schema tables.
 
 Suppliers stand for securities, line items for trades and statement lines, events for ticks. Every projection reads
-only the columns it needs and ends in one aggregation whose functions combine map-side.
+only the columns it needs. Lines hardly repeat a grouping key inside one input split, so they are not combined before the
+shuffle: a hash table over a split grows with the split. They go to their group in tasks of a fixed number of lines.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from marketloom.functions import numeric as N
 from marketloom.functions import periods as P
 from marketloom.functions import text as T
+from marketloom.operators import ranking as R
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -186,12 +188,15 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct (security, concept) memberships."""
-    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    """Distinct (security, concept) memberships, in tasks of a fixed size by security.
+
+    Distinct pairs come first: a part then has no more rows than there are securities, a security no more than there are parts.
+    """
+    bound = line_bound(spark, sf_dir)
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
+    li = R.small_parts(R.small_parts(li, ["l_suppkey", "l_partkey"], bound).distinct(), ["l_partkey"], bound)
     name = F.concat_ws(" ", "p_brand", "p_type", F.col("p_size").cast("string"))
     part = table(spark, sf_dir, "part").select("p_partkey", name.alias("concept_name"))
-    return (
-        li.join(part, li.l_partkey == part.p_partkey)
-        .select(market_of(F.col("l_suppkey")).alias("market"), symbol_of(F.col("l_suppkey")).alias("symbol"), "concept_name")
-        .distinct()
-    )
+    named = li.join(part, li.l_partkey == part.p_partkey).select(
+        market_of(F.col("l_suppkey")).alias("market"), symbol_of(F.col("l_suppkey")).alias("symbol"), "concept_name")
+    return R.small_parts(named, ["market", "symbol"], bound).distinct()
