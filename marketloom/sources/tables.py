@@ -120,9 +120,14 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarterly statements: one row per code and reporting period."""
     e, d, t, q = (N.scaled(F.col(c), n) for c, n in (
         ("l_extendedprice", 2), ("l_discount", 2), ("l_tax", 2), ("l_quantity", 0)))
+    bound = line_bound(spark, sf_dir)
     lines = table(spark, sf_dir, "lineitem").select(
         "l_suppkey", F.year("l_shipdate").alias("y"), F.quarter("l_shipdate").alias("q"),
         F.to_date("l_shipdate").alias("day"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"),
+        "l_extendedprice", "l_discount", "l_tax", "l_quantity",
+    )
+    lines = R.small_parts(lines, ["l_suppkey", "y", "q"], bound).select(
+        "l_suppkey", "y", "q", "day", "flag", "status",
         e.alias("e"), (e * (100 - d)).alias("r"), (e * d).alias("ed"), (e * t).alias("et"), q.alias("qty"),
     )
 
@@ -178,6 +183,7 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
         N.ratio(c("current_assets") - c("inventory"), c("current_liab")).alias("quick_ratio"),
         (N.ratio(c("revenue") - c("op_cost"), c("revenue")) * 100.0).alias("gross_margin_pct"),
     )
+    s = R.small_parts(s, ["market", "symbol"], bound)
     # The same period one year earlier is exactly four steps back on the dense index; gaps give NULL.
     year_ago = W.partitionBy("market", "symbol").orderBy("period_idx").rangeBetween(-4, -4)
     return s.select(
