@@ -115,10 +115,14 @@ def inputs(spark, d, tables=None):
     return settle(V.current_inputs(statements, bars, S.region_industry(spark, d)))
 
 
-def history(spark, d, tables=None):
+def period_inputs(spark, d, tables=None):
     statements = tables.statements if tables else S.statements(spark, d)
     bars = tables.closes if tables else S.bars(spark, d)
-    return V.temperature_history(V.period_inputs(statements, bars, S.region_industry(spark, d), SINCE))
+    return V.period_inputs(statements, bars, S.region_industry(spark, d), SINCE, bar_rows=S.line_bound(spark, d))
+
+
+def history(spark, d, tables=None):
+    return V.temperature_history(period_inputs(spark, d, tables))
 
 
 def classified(spark, d):
@@ -152,7 +156,7 @@ def jon_10(spark, d):
 @query("jon_09_asof_close", f"SELECT market, symbol, period, {DAY}, current_price AS asof_close, listed_days AS sessions FROM val_period_rows")
 def jon_09(spark, d):
     rows = S.statements(spark, d).where(P.period_year(col("period")) >= SINCE).select("market", "symbol", "period", P.period_end_day(col("period")).alias("trading_day"))
-    return day_text(asof.close_on_or_before(S.bars(spark, d), rows, "trading_day"))
+    return day_text(asof.close_on_or_before(S.bars(spark, d), rows, "trading_day", rows=S.line_bound(spark, d)))
 
 
 INPUT_SQL = ", ".join(V.INPUT_COLUMNS)
@@ -165,7 +169,7 @@ def val_01(spark, d):
 
 @query("val_02_period_inputs", f"SELECT {INPUT_SQL}, {DAY} FROM val_period_inputs")
 def val_02(spark, d):
-    return day_text(V.period_inputs(S.statements(spark, d), S.bars(spark, d), S.region_industry(spark, d), SINCE))
+    return day_text(period_inputs(spark, d))
 
 
 @query("val_03_classification", "SELECT market, symbol, classification, sub_classification, is_new_listing, primary_metric, classification_label FROM val_classified")
@@ -179,7 +183,7 @@ SNAPSHOT = ("industry_level_2_name", "total_member_count", "valid_member_count",
 
 @query("flt_06_member_cascade", f"SELECT market, symbol, period, {REASON} AS reason FROM val_period_inputs")
 def flt_06(spark, d):
-    rows = V.period_inputs(S.statements(spark, d), S.bars(spark, d), S.region_industry(spark, d), SINCE)
+    rows = period_inputs(spark, d)
     return rows.select("market", "symbol", "period", V.rejection().alias("reason"))
 
 
@@ -193,7 +197,7 @@ def agg_06(spark, d):
 
 @query("agg_07_industry_snapshot", f"SELECT {', '.join(SNAPSHOT)}, {DAY} FROM val_period_snapshot")
 def agg_07(spark, d):
-    rows = V.period_inputs(S.statements(spark, d), S.bars(spark, d), S.region_industry(spark, d), SINCE)
+    rows = period_inputs(spark, d)
     return day_text(V.industry_snapshot(rows, ["industry_level_2_name", "trading_day"])).select(*SNAPSHOT, "trading_day")
 
 

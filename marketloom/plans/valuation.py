@@ -59,11 +59,13 @@ def current_inputs(statements: DataFrame, bars: DataFrame, industry: DataFrame)
     return priced(rows).select(*INPUT_COLUMNS)
 
 
-def period_inputs(statements: DataFrame, bars: DataFrame, industry: DataFrame, since_year: int = spec.HISTORY_SINCE_YEAR) -> DataFrame:
-    """Valuation inputs at every past quarter end."""
+def period_inputs(
+    statements: DataFrame, bars: DataFrame, industry: DataFrame, since_year: int = spec.HISTORY_SINCE_YEAR, *, bar_rows: int | None = None,
+) -> DataFrame:
+    """Valuation inputs at every past quarter end. ``bar_rows`` bounds the bars (see ``asof``)."""
     rows = trailing(statements).where(P.period_year(F.col("period")) >= since_year)
     rows = rows.withColumn("trading_day", P.period_end_day(F.col("period")))
-    rows = asof.close_on_or_before(bars, rows, "trading_day")
+    rows = asof.close_on_or_before(bars, rows, "trading_day", rows=bar_rows)
     rows = rows.withColumnRenamed("asof_close", "current_price").withColumnRenamed("sessions", "listed_days").join(industry, KEYS)
     return priced(rows).select(*INPUT_COLUMNS, "trading_day")
 

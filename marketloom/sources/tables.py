@@ -83,6 +83,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         unit.alias("unit"),
         N.scaled(F.col("l_extendedprice"), 2).alias("cents"), N.scaled(F.col("l_quantity"), 0).alias("qty"),
     )
+    trades = R.small_parts(trades, ["l_suppkey", "trading_day"], line_bound(spark, sf_dir))
     daily = trades.groupBy("l_suppkey", "trading_day").agg(
         F.min_by("unit", F.struct("l_orderkey", "l_linenumber", "l_partkey", "unit")).alias("open"),
         F.max("unit").alias("high"),

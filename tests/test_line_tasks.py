@@ -14,7 +14,7 @@ from marketloom.plans import concepts as C
 from marketloom.plans import profile
 from marketloom.sources import tables as S
 
-STEPS = {"statements": S.statements, "concepts": S.concepts}
+STEPS = {"statements": S.statements, "bars": S.bars, "concepts": S.concepts}
 
 
 def copies(sf, path, lines):
@@ -70,7 +70,7 @@ HOT = ("SELECT * REPLACE (CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE l_suppkey END
 
 @pytest.mark.parametrize("name", [
     "agg_03_concept_members", "jon_02_concept_security_industry", "pro_04_concept_lists", "arr_06_first_ten_members", "jon_07_known_symbols",
-    "fin_02_market_scores", "agg_10_industry_raw_means"])
+    "agg_07_industry_snapshot", "val_05_temperature_history", "fin_02_market_scores", "agg_10_industry_raw_means", "agg_18_symbol_count"])
 def test_hot_keys_match_sql(spark, sf, tmp_path, monkeypatch, name):
     """A security with a third of the lines, a part with a fifth and a day with a seventh, in many tasks."""
     monkeypatch.setattr(R, "TASK_ROWS", 300)
