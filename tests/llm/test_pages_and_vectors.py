@@ -321,6 +321,48 @@ def test_neighbours_with_many_lists(spark, monkeypatch):
     assert np.mean(read) < 0.7 * 128
 
 
+def test_neighbours_walk_in_bounded_memory():
+    """4,096 lists, 768 of them for a query: what a task and the driver hold does not grow with lists times queries of a batch."""
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(16_384, 64))
+    longest = float(np.linalg.norm(vectors, axis=1).max())
+    index = neighbours.build(vectors, longest, 4_096)
+    assert len(index.centroids) == 4_096
+    points = neighbours.lifted_queries(vectors[:256])
+    tracemalloc.start()
+    found, far = neighbours.nearest_lists(index, points, 768)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 120e6
+    for i in range(0, 256, 51):
+        assert len(set(found[i])) == 768 and np.allclose(far[i], np.linalg.norm(index.centroids[found[i]] - points[i], axis=1))
+        assert (np.diff(far[i]) >= 0).all()
+
+
+def test_neighbours_do_not_depend_on_places(spark, monkeypatch):
+    """One place or many, shards of a list and groups of queries: the same neighbours, single precision or double."""
+    monkeypatch.setattr(neighbours, "LIST", 16)
+    monkeypatch.setattr(neighbours, "PROBES", 12)
+    monkeypatch.setattr(neighbours, "LEAST_PROBES", 6)
+    monkeypatch.setattr(neighbours, "PROBE_SHARE", 0.1)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate((rng.normal(size=(3000, 8)) * 8).round() / 8)]
+    got = []
+    for shard, kind, least in ((65_536, "double", 65_536), (65_536, "float", 50), (25, "float", 25)):
+        monkeypatch.setattr(neighbours, "SHARD", shard)
+        monkeypatch.setattr(neighbours, "LEAST_PLACE", least)
+        frame = spark.createDataFrame(rows, f"vec_id bigint, embedding array<{kind}>")
+        got.append(sorted(tuple(r) for r in neighbours.neighbours(frame, lambda i: i % 5 == 0).collect()))
+    assert got[0] == got[1] == got[2] and len(got[0]) == 600 * 20
+
+
+def test_neighbours_lists_of_a_place():
+    assert neighbours.place_runs([3, 3, 3, 9, 0, 1, 8, 2], 8) == [0, 0, 1, 2, 3, 3, 4, 5]
+    assert neighbours.place_runs([1] * 6, 2) == [0, 0, 1, 1, 2, 2]
+
+
 def test_neighbours_ties_go_to_the_smallest_ids(spark):
     """199 vectors tie with the query, in many orders of their parts: the smallest ids win."""
     rng = np.random.default_rng(6)
