@@ -1,8 +1,9 @@
 """N-gram Jaccard join by grouped prefixes.
 
 A document's set is its distinct word shingles (64-bit hashes). Two sets of similarity t or more share a shingle among the first
-``n - ceil(t n) + 1`` of each in any common order; the order here puts the most frequent shingles last, so that common
-passages rarely meet. Equal sets are one set. Sets with equal size and prefix form one group; groups meet by the
+``n - ceil(t n) + 1`` of each in any common order; the order here puts shingles of one document first, which meet nobody and are not written,
+then those of a few, and the most frequent ones last, so that common passages rarely meet. What takes part is thus the texts that share
+most of their shingles, not what any two long texts happen to have in common. Equal sets are one set. Sets with equal size and prefix form one group; groups meet by the
 shingles of their prefixes and are filtered by size, then pairs of groups are expanded to members, filtered by counts per hash
 bin (a bound on the overlap) and verified on the whole sets.
 
@@ -28,7 +29,9 @@ from marketloom.llm.texthash import chunks, lowered, mixed, runs, word_bounds
 
 HEAVY_FROM = 32  # a shingle in more documents than this may be put last,
 HEAVY_MOST = 1 << 16  # the most frequent ones only: 1.3 MB go to every task; any choice gives the same links
-RANGES = 8  # key ranges of the frequency count per shuffle partition
+LEVELS = ((2, 28), (8, 26))  # shingles in so many documents or more come later, told by filters of at most 2 to this many bits (32 and 8 MB); a set bit too many costs time only
+FILLED = 16  # a filter is halved while less than one bit in so many is set
+RANGES = 8  # key ranges of the frequency count per shuffle partition, rounded down to a power of two in all
 BINS = 256  # counts of a set's shingles by hash
 FEW = 128  # sets that may meet pairwise under one shingle; more are compared in blocks
 BLOCK = 256  # sets of a block
@@ -90,13 +93,59 @@ def _each_set(texts: list[str], words: int) -> Iterator[tuple[int, object]]:
             yield first + i, gram[bounds[i]:bounds[i + 1]]
 
 
-def heavy_shingles(docs: DataFrame, like: Likeness, text: str = "text") -> dict[int, int]:
-    """The most frequent folded (32-bit) shingles and their counts over all documents.
+@dataclass(frozen=True)
+class Frequencies:
+    """``heavy``: the most frequent folded (32-bit) shingles and their counts over all documents; ``filters``: packed bits by the first bits
+    of the folded shingle, one filter for each of LEVELS. A bit that is not set stands for shingles in fewer documents."""
+
+    heavy: dict[int, int]
+    filters: tuple
+
+    def ranks(self, gram):
+        """0 for a shingle that is in one document only, more for more frequent ones."""
+        import numpy as np
+
+        folded = gram >> np.uint64(32)
+        rank = np.zeros(len(gram), dtype=np.int64)
+        for level, bits in enumerate(self.filters):
+            slot = (folded >> np.uint64(32 - (8 * len(bits)).bit_length() + 1)).astype(np.int64)
+            rank += (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & (rank == level)
+        if self.heavy:
+            known = self._known()
+            at = np.minimum(np.searchsorted(known[0], folded), len(known[0]) - 1)
+            rank = np.where(known[0][at] == folded, len(self.filters) + known[1][at], rank)
+        return rank
+
+    def _known(self):
+        import numpy as np
+
+        if "_table" not in self.__dict__:
+            shingles = np.array(sorted(self.heavy), dtype=np.uint64)
+            object.__setattr__(self, "_table", (shingles, np.array([self.heavy[int(k)] for k in shingles], dtype=np.int64)))
+        return self.__dict__["_table"]
+
+
+def _halved(bits):
+    """Packed bits, two neighbours as one."""
+    import numpy as np
+
+    byte = np.arange(256)
+    pairs = sum((((byte >> (2 * k)) | (byte >> (2 * k + 1))) & 1) << k for k in range(4)).astype(np.uint8)
+    return (pairs[bits[0::2]] << 4) | pairs[bits[1::2]]
+
+
+def frequencies(docs: DataFrame, like: Likeness, text: str = "text") -> Frequencies:
+    """How many documents have a shingle, as far as the common order needs it.
 
     A task sorts its folded shingles, cuts them into key ranges and ships the differences compressed, about two bytes for each
-    shingle; a range is then counted in one task.
+    shingle; a range is then counted in one task, which returns its part of the filters.
     """
-    ranges = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    import zlib
+
+    import numpy as np
+
+    spark = docs.sparkSession
+    ranges = 1 << ((RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length() - 1)
 
     def fold(batches: Iterator) -> Iterator:
         import zlib
@@ -120,36 +169,54 @@ def heavy_shingles(docs: DataFrame, like: Likeness, text: str = "text") -> dict[
 
         runs_ = [np.cumsum(np.frombuffer(zlib.decompress(b), dtype="<u4").astype(np.int64)) for b in part["blob"]]
         shingle, df = np.unique(np.concatenate(runs_), return_counts=True)
-        often = df > HEAVY_FROM
-        return pd.DataFrame({"shingle": shingle[often], "df": df[often]})
+        own, often, filters = int(part["range"].iloc[0]), df > HEAVY_FROM, []
+        for least, size in LEVELS:
+            bits = np.zeros((1 << size) // ranges, dtype=bool)
+            bits[(shingle[df >= least] >> (32 - size)) - own * len(bits)] = True
+            filters.append(zlib.compress(np.packbits(bits).tobytes(), 1))
+        return pd.DataFrame({"range": [own], "filters": [filters], "shingle": [shingle[often]], "df": [df[often]]})
 
     parts = docs.select(filled(text).alias("text")).mapInPandas(fold, "range bigint, blob binary")
-    counted = parts.groupBy("range").applyInPandas(count, "shingle bigint, df bigint")
-    return {r["shingle"]: r["df"] for r in counted.orderBy(F.desc("df"), "shingle").limit(HEAVY_MOST).collect()}
-
-
-def described(docs: DataFrame, heavy: dict[int, int], like: Likeness, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n, digest`` (of the set), ``prefix`` (shingles), ``prefix_digest`` and ``bins`` (counts, 16-bit), one row per document."""
+    with noted() as paths:
+        counted = settled(parts.groupBy("range").applyInPandas(count, "range bigint, filters array<binary>, shingle array<bigint>, df array<bigint>"), "shingle-counts")
+    often = counted.select(F.explode(F.arrays_zip("shingle", "df")).alias("c")).select("c.shingle", "c.df")
+    heavy = {r["shingle"]: r["df"] for r in often.orderBy(F.desc("df"), "shingle").limit(HEAVY_MOST).collect()}
+    filters = []
+    for level, (_, size) in enumerate(LEVELS):
+        bits = np.zeros((1 << size) // 8, dtype=np.uint8).reshape(ranges, -1)
+        got = counted.select("range", F.col("filters")[level].alias("bits")).toArrow()
+        for own, blob in zip(got["range"].to_pylist(), got["bits"]):
+            bits[own] = np.frombuffer(zlib.decompress(blob.as_buffer()), dtype=np.uint8)
+        bits = bits.reshape(-1)
+        while len(bits) > 8 and int(np.bitwise_count(bits).sum()) * FILLED < len(bits) * 8:
+            bits = _halved(bits)
+        filters.append(bits)
+    discard(spark, paths)
+    return Frequencies(heavy, tuple(filters))
+
+
+def described(docs: DataFrame, often: Frequencies, like: Likeness, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n, digest`` (of the set), ``prefix`` (its shingles that other documents may have), ``prefix_digest`` (of the whole prefix) and ``bins``
+    (counts, 16-bit), one row per document. Where the prefix meets nobody, the last three are empty."""
 
     def describe(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        known = np.array(sorted(heavy), dtype=np.uint64)
-        often = np.array([heavy[int(k)] for k in known], dtype=np.int64)
         for batch in batches:
             rows = []
             for _, gram in _each_set(batch.column(1).to_pylist(), like.words):
                 n = len(gram)
-                rank = np.zeros(n, dtype=np.int64)
-                if len(known) and n:
-                    folded = gram >> np.uint64(32)
-                    at = np.minimum(np.searchsorted(known, folded), len(known) - 1)
-                    rank = np.where(known[at] == folded, often[at], 0)
+                rank = often.ranks(gram)
                 length = n - -(-like.percent * n // 100) + 1 if n else 0
-                prefix = gram[np.lexsort((gram, rank))[:length]] if rank.any() else gram[:length]
+                first = np.lexsort((gram, rank))[:length] if rank.any() else np.arange(length)
+                prefix = gram[first]
+                meets = prefix[rank[first] > 0]
+                if not len(meets):
+                    rows.append((n, digest_of(gram), meets.view(np.int64), b"", b""))
+                    continue
                 bins = np.bincount((gram >> np.uint64(20)).astype(np.int64) & (BINS - 1), minlength=BINS)
-                rows.append((n, digest_of(gram), prefix.view(np.int64), digest_of(prefix), np.minimum(bins, 65535).astype("<u2").tobytes()))
+                rows.append((n, digest_of(gram), meets.view(np.int64), digest_of(prefix), np.minimum(bins, 65535).astype("<u2").tobytes()))
             types = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             columns = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, types)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n", "digest", "prefix", "prefix_digest", "bins"])
@@ -365,7 +432,7 @@ def _found(docs: DataFrame, like: Likeness, key: str, text: str) -> DataFrame:
     """``doc_id, n, digest, part, component_id``, one row per document; ``part`` numbers the component (null for an empty set)."""
     spark = docs.sparkSession
     with noted() as wide:
-        described_docs = settled(described(docs, heavy_shingles(docs, like, text), like, key=key, text=text), "shingle-prefixes")
+        described_docs = settled(described(docs, frequencies(docs, like, text), like, key=key, text=text), "shingle-prefixes")
     held = settled(described_docs.select("doc_id", "n", "digest"), "set-digests")
     with noted() as whole_unique:
         unique = described_docs.where("n > 0").groupBy("n", "digest").agg(
@@ -373,17 +440,18 @@ def _found(docs: DataFrame, like: Likeness, key: str, text: str) -> DataFrame:
         unique = settled(unique.withColumn("rep", F.monotonically_increasing_id()), "shingle-sets")
     discard(spark, wide)
     names = settled(unique.select("rep", "n", "digest", "first"), "set-names")
+    meeting = unique.where(F.size("s.prefix") > 0)  # a prefix of which nothing is written is that of one document
     with noted() as grouping:
-        grouped = settled(unique.groupBy("n", "s.prefix_digest").agg(
+        grouped = settled(meeting.groupBy("n", "s.prefix_digest").agg(
             F.min("rep").alias("gid"), F.count(F.lit(1)).alias("weight"), F.min_by("s.prefix", "rep").alias("prefix")), "prefix-groups")
-    own = unique.select("rep", "n", F.col("s.prefix_digest").alias("prefix_digest"))
+    own = meeting.select("rep", "n", F.col("s.prefix_digest").alias("prefix_digest"))
     members = settled(own.join(grouped.drop("prefix"), ["n", "prefix_digest"]).select("rep", "gid", "n", "weight"), "group-members")
     postings = grouped.select("gid", "n", "weight", F.explode("prefix").alias("shingle"))
     met = postings.groupBy("shingle").agg(F.sum("weight").alias("met"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
     multi = settled(postings.select("gid", "n", "shingle").join(met.select("shingle", "met"), "shingle"), "met-shingles")
     discard(spark, grouping)
 
-    maybe = settled(possible(candidate_pairs(multi, members, like), unique.select("rep", "n", "s.bins"), like).distinct(), "possible-pairs")
+    maybe = settled(possible(candidate_pairs(multi, members, like), meeting.select("rep", "n", "s.bins"), like).distinct(), "possible-pairs")
     discard(spark, whole_unique)
     many = settled(many_met(multi, members), "crowded-keys")
     wanted = maybe.select(F.col("a").alias("rep")).union(maybe.select("b")).union(many.select("rep")).distinct()

@@ -339,6 +339,33 @@ def test_shingle_components(spark, docs, monkeypatch, few, like):
     assert linked(frame, like) == sorted(components(rows, like), key=str)
 
 
+def test_texts_that_share_some_shingles_do_not_meet(spark):
+    """Common words make any two long texts share shingles; only what shares most of them is written and compared."""
+    rng = np.random.default_rng(12)
+    texts = [[f"w{i}" for i in rng.integers(0, 60, 300)] for _ in range(200)]
+    near = [" ".join([*texts[0][:150], f"edit{k}", *texts[0][151:]]) for k in range(3)]
+    rows = [(i, " ".join(t)) for i, t in enumerate([*texts, ["a", "few", "words"], ["a", "few", "words", "more"]])] + [(1000 + k, t) for k, t in enumerate(near)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    like = shingle_join.CONTRACT
+    often = shingle_join.frequencies(frame, like)
+    prefixes = {r["doc_id"]: r for r in shingle_join.described(frame, often, like).collect()}
+    assert {i for i, r in prefixes.items() if r["prefix"]} == {0, 200, 201, 1000, 1001, 1002}
+    assert all(bool(r["bins"]) == bool(r["prefix"]) for r in prefixes.values())
+    assert linked(frame) == sorted(components(rows, like), key=str)
+
+
+def test_ranks_of_shingles(spark, docs):
+    """A shingle of several documents never counts as one of a single document; the filters are sized by what they hold."""
+    like = shingle_join.CONTRACT
+    often = shingle_join.frequencies(docs, like)
+    texts = [(r["text"] or "").encode("utf-8", "surrogatepass") for r in docs.select("text").collect()]
+    shingle, df = np.unique(np.concatenate([g for t in texts for g in [shingle_join.shingle_sets([t], like.words)[1]]]), return_counts=True)
+    rank = often.ranks(shingle)
+    assert (df >= 2).any() and (rank[df >= 2] > 0).all() and (rank[df >= 8] > 1).all()
+    assert (rank[df == 1] == 0).mean() > 0.8
+    assert all(len(bits) * 8 < 32 * max(64, (df >= least).sum()) for bits, (least, _) in zip(often.filters, shingle_join.LEVELS))
+
+
 def test_crowds_around_several_pivots(spark, monkeypatch):
     """One passage in all texts, so that all meet: masses of near copies of some texts, chains of copies of copies, and texts of their own."""
     monkeypatch.setattr(shingle_join, "FEW", 2)
